@@ -7,10 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, langid, media, mixing
 from .common import table
 
 
+def op1_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = media.thumbnails(media.store(table(spark, sf_dir, "documents")))
+    return read.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        F.octet_length("thumb").cast("long").alias("payload_bytes"),
+        F.sha2("thumb", 256).alias("payload_sha256"),
+        F.crc32(F.substring("thumb", -64, 64)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        F.concat_ws(":", F.concat_ws("x", "width", "height"), "mean_hash").alias("feature"),
+    )
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -19,9 +33,20 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"))
+    model = langid.fit_on(docs.filter(~out))
+    return langid.identify(docs, model, flag=out).select(
+        F.col("id").alias("doc_id"), F.col("flag").alias("held_out"), "lang_pred", "score", "ambiguous"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jpeg_media": op1_jpeg_media,
     "op2_mixing": op2_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_language_id": op9_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
