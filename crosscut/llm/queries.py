@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, media, mixing
+from . import exact_dedup, langid, media, mixing, token_file, warc
 from .common import table
 
 
@@ -42,11 +42,30 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = token_file.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end=2)
+    return docs.withColumnRenamed("id", "doc_id")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, _ = warc.round_trip(table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jpeg_media": op1_jpeg_media,
     "op2_mixing": op2_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -75,5 +94,19 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 g AS (SELECT t, min(doc_id) AS keep_id, count(*)::BIGINT AS group_size FROM n GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(n.t) AS text_sha256
 FROM n JOIN g USING (t)
+""",
+    "op8_warc": r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body)::BIGINT AS payload_bytes, sha1(body) AS x FROM p),
+d AS (
+  SELECT page_id, payload_bytes, list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      ((('0x' || substr(x, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INTEGER + 1, 1)), 'string_agg', '') AS payload_digest
+  FROM h),
+m AS (SELECT payload_digest, max(page_id) AS last FROM d GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+FROM d JOIN m USING (payload_digest)
 """,
 }
