@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, media, mixing, token_file, warc
+from . import exact_dedup, langid, media, mixing, subword, token_file, warc
 from .common import table
 
 
@@ -54,6 +54,20 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.withColumnRenamed("id", "doc_id")
 
 
+def op7_subword_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path("piece_bpe_32k.model")
+    rows = subword.encode_best(table(spark, sf_dir, "documents"), model, k=2)
+    return rows.select(
+        F.col("id").alias("doc_id"),
+        "sample",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.xxhash64("ids").alias("ids_hash"),
+        "log_prob",
+        "log_inclusion",
+        F.sha2(subword.decode(F.col("ids"), model), 256).alias("text_sha256"),
+    )
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = warc.round_trip(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -63,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jpeg_media": op1_jpeg_media,
     "op2_mixing": op2_mixing,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_subword_samples": op7_subword_samples,
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
