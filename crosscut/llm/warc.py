@@ -26,11 +26,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filled, scratch
+from .common import cut, filled, scratch
 
 END = "\r\n\r\n"
 VERSION = b"WARC/1."
 RECORDS_PER_FILE = 2000
+#: So many shared digests (about 50 bytes each) at most are broadcast.
+BROADCAST_DIGESTS = 200_000
 URN = "urn:page:"
 
 
@@ -56,6 +58,9 @@ def plan(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_c
         .filter(F.col("last") > F.col("first"))
         .select("sha", "last")
     )
+    shared = cut(shared)
+    if shared.limit(BROADCAST_DIGESTS + 1).count() <= BROADCAST_DIGESTS:  # else the payloads are shuffled by digest
+        shared = F.broadcast(shared)
     refers = F.when((F.col("n_bytes") >= min_bytes) & (F.col("id") < F.col("last")), F.col("last"))
     return rows.join(shared, "sha", "left").withColumn("refers_to", refers).drop("last")
 
