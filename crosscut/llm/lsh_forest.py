@@ -24,7 +24,7 @@ counts; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -229,6 +229,29 @@ def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
     return rows.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
+def link(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], k: int, threshold: int) -> DataFrame:
+    """rows: key, deep, id, n, bits; rows of equal keys are candidates, in the order of deep. texts: id and body of
+    some ids. Gives id and component of every id that has a confirmed link."""
+    found = rows.repartition("key").sortWithinPartitions("key", "deep", "id").drop("deep").mapInArrow(_regions(threshold), PAIRS)
+    found = cut(found)
+    pairs = cut(found.filter("a is not null").select("a", "b").distinct())
+    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    bodies = cut(texts(ends(pairs)).dropDuplicates(["id"]))
+    links = cut(confirm(pairs, bodies, k, threshold))
+    comps = components(links)
+    # what large regions skipped
+    wide = found.filter("key is not null").select("key", "id", "n", "bits")
+    wide = wide.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    wide = wide.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key")
+    more = wide.select("key", "id", "n", "bits", "component").mapInArrow(_across(threshold), "a long, b long").distinct()
+    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
+    if more.take(1):
+        rest = cut(texts(ends(more)).dropDuplicates(["id"]))
+        comps = components(links.unionByName(confirm(more, rest, k, threshold)))
+    return comps
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     feats = cut(features(docs, k, id_col, text_col))
@@ -248,24 +271,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
         "n",
         "bits",
     )
-    found = rows.repartition("key").sortWithinPartitions("key", "deep", "id").drop("deep").mapInArrow(_regions(threshold), PAIRS)
-    found = cut(found)
-    pairs = cut(found.filter("a is not null").select("a", "b").distinct())
-    ends = lambda p: p.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = cut(texts_of(docs, ends(pairs), id_col, text_col).dropDuplicates(["id"]))
-    links = cut(confirm(pairs, texts, k, threshold))
-    comps = components(links)
-    # what large regions skipped
-    wide = found.filter("key is not null").select("key", "id", "n", "bits")
-    wide = wide.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    wide = wide.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key")
-    more = wide.select("key", "id", "n", "bits", "component").mapInArrow(_across(threshold), "a long, b long").distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-    if more.take(1):
-        texts = texts_of(docs, ends(more), id_col, text_col).dropDuplicates(["id"])
-        links = links.unionByName(confirm(more, texts, k, threshold))
-        comps = components(links)
+    comps = link(rows, lambda ids: texts_of(docs, ids, id_col, text_col), k, threshold)
     comps = comps.withColumnRenamed("id", "rep")
     out = member.join(comps, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
     kept = F.col("id").isNull() | (F.col("id") == F.col("component_id"))

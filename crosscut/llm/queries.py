@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, lsh_forest, media, mixing, subword, token_file, warc
+from . import exact_dedup, langid, lsh_forest, media, mixing, paragraphs, subword, token_file, warc
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), k=2, threshold=80)
 
 
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeats(table(spark, sf_dir, "documents")).withColumnRenamed("keep_id", "keep_doc_id")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -81,6 +85,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jpeg_media": op1_jpeg_media,
     "op2_mixing": op2_mixing,
     "op4_lsh_forest": op4_lsh_forest,
+    "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_subword_samples": op7_subword_samples,
     "op8_warc": op8_warc,
