@@ -28,6 +28,7 @@ import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,12 +38,12 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, filled, scratch
 
-BLOCK = 1024
-GROUP = 4096  # blocks in lockstep
+BLOCK = 512
+GROUP = 8192  # blocks in lockstep
 SEGMENT = BLOCK * GROUP
 SLICE = 4 << 20
 MAGIC = b"CMR1"
-ONE, TWO = 128, 256  # cells of the context tables of a block
+ONE, TWO = 64, 128  # cells of the context tables of a block
 CLASSES, BITS, STEP = 17, 14, 24  # size classes; their distribution sums to 2**BITS, each has at least about STEP / 3
 TOTAL = 20  # bits of a mixed decision
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)  # a span of BOTTOM outlasts a decision and a place
@@ -338,12 +339,18 @@ class Encoder:
         return ids, np.diff(edges) + (end is not None)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder per Python worker, for all tasks that the worker runs."""
+    return Encoder(path)
+
+
 SEGMENTS = "part int, seg int, docs long, ids long, segment binary"
 
 
 def _write(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, seg, part = Encoder(path), 0, TaskContext.get().partitionId()
+        enc, seg, part = encoder(path), 0, TaskContext.get().partitionId()
         docs, sizes, ids, held = [], [], [], 0
 
         def flush() -> pa.RecordBatch:
