@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, lsh_forest, media, mixing, paragraphs, subword, token_file, warc
-from .common import table
+from . import compaction, exact_dedup, langid, lsh_forest, media, mixing, paragraphs, subword, token_file, warc
+from .common import scratch, table
 
 
 def op1_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,23 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document of the compacted store: its shard, that shard's rows, bytes of the stored text and their hash."""
+    store = compaction.Store(spark, scratch(spark, "store"))
+    store.append(table(spark, sf_dir, "documents"))
+    version = store.compact()
+    store.vacuum()
+    shards = store.manifest(version).select(F.col("shard").alias("_n"), F.col("rows").alias("shard_rows"))
+    rows = store.read(version)
+    return rows.join(F.broadcast(shards), rows[compaction.SHARD] == F.col("_n")).select(
+        "doc_id",
+        F.col(compaction.SHARD).alias("shard"),
+        "shard_rows",
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"),
+        F.sha2("text", 256).alias("text_sha256"),
+    )
+
+
 def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), k=2, threshold=80)
 
@@ -84,6 +101,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jpeg_media": op1_jpeg_media,
     "op2_mixing": op2_mixing,
+    "op3_compaction": op3_compaction,
     "op4_lsh_forest": op4_lsh_forest,
     "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_exact_dedup": op6_exact_dedup,
