@@ -89,6 +89,12 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Ids of documents to drop are broadcast up to so many (8 bytes each); beyond it the documents are shuffled by id.
+BROADCAST_IDS = 1_000_000
+
+
 def anti(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     """The rows of docs whose id is not among the dropped ones; all columns stay."""
-    return docs.join(dropped.select(F.col(id_col)), id_col, "left_anti").select(*docs.columns)
+    ids = cut(dropped.select(F.col(id_col)))
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, id_col, "left_anti").select(*docs.columns)

@@ -172,5 +172,24 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(_predict(model), "id long, flag boolean, lang_pred string, score double, ambiguous boolean")
 
 
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """The documents, with all their columns, that have a language; ambiguous ones need a score of `least`."""
+
+    @F.arrow_udf("boolean")
+    def good(body: pa.Array) -> pa.Array:
+        out = np.zeros(len(body), bool)
+        at = 0
+        for part in by_bytes(pa.RecordBatch.from_arrays([body], ["body"]), "body", SLICE):
+            n = part.num_rows
+            if model.langs:
+                _, score, close = model.decode(model.margins(*flat(part.column("body"))))
+                out[at : at + n] = ~close | (score >= least)
+            at += n
+        return pa.array(out)
+
+    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    return docs.filter(letter).filter(good(F.coalesce(F.col(text_col), F.lit(""))))
+
+
 def held_out(id_col: Column, of: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % of == fold, F.lit(False))

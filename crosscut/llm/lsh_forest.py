@@ -31,15 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti, by_bytes, cut, filled, flat
+from .common import BROADCAST_IDS, anti, by_bytes, cut, filled, flat
 from .components import components
 from .shingles import fingerprints, overlap, sets, signatures, sketches
 
 TREES, DEPTH, ROOT, NEAR = 20, 7, 3, 3
 AGREE = 96
 SLICE = 1 << 20
-#: Ids of candidate documents are broadcast up to so many (8 bytes each).
-BROADCAST_IDS = 1_000_000
 TILE = 2048
 
 

@@ -57,40 +57,55 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: fl
     )
 
 
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    weights: tuple[float, ...] = (1, 2, 3),
-    most: float = 3.0,
-    seed: int = 1,
-) -> DataFrame:
-    """One row per document: id, size, source_size, target (both of its source), taken (words), copies."""
-    sized = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("src"),
-        F.regexp_count(filled(F.col(text_col)), F.lit(WORD)).cast("long").alias("size"),
-        draw(F.col(id_col), seed).alias("u"),
-    )
-    sized = cut(sized)  # ids, sources and sizes only: the texts are read once
-    cells = F.lit(1 << (4 * DIGITS)) / CELLS
-    sized = sized.withColumn("c1", F.floor(F.col("u") / cells).cast("int")).withColumn(
-        "c2", F.floor((F.col("u") % cells.cast("long")) / (cells / CELLS)).cast("int")
-    )
-    coarse = sized.groupBy("src", "c1").agg(F.sum("size").alias("words"))
-    goal = targets(coarse.groupBy("src").agg(F.sum("words").alias("source_size")), weights, most)
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(0)
-    goal = goal.withColumn("whole", whole.cast("int")).withColumn(
-        "rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))
-    )
-    goal = cut(goal)
-    small = F.broadcast if goal.count() <= BROADCAST_SOURCES else lambda df: df
-    same = lambda a, b: a["src"].eqNullSafe(b["src"])
+def _cells(u: Column) -> tuple[Column, Column]:
+    width = (1 << (4 * DIGITS)) // CELLS
+    return F.floor(u / width).cast("int"), F.floor((u % width) / (width // CELLS)).cast("int")
+
+
+class _Cuts:
+    """Where each source's ranking is cut.
+
+    sized: src, id, u, size per document. sources: a row per source; last: the documents of the cells that are cut.
+    """
 
-    def crossing(cells: DataFrame, cell: str, left: DataFrame, rest: str, out: str) -> DataFrame:
+    def __init__(self, sized: DataFrame, weights: tuple[float, ...], most: float) -> None:
+        self.most = int(most)
+        c1, c2 = _cells(F.col("u"))
+        sized = sized.withColumn("c1", c1).withColumn("c2", c2)
+        coarse = sized.groupBy("src", "c1").agg(F.sum("size").alias("words"))
+        goal = targets(coarse.groupBy("src").agg(F.sum("words").alias("source_size")), weights, most)
+        rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") + F.lit(1e-12))).otherwise(0)
+        goal = goal.withColumn("whole", rate.cast("int")).withColumn(
+            "rest", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size"))
+        )
+        goal = cut(goal)
+        self.small = small = F.broadcast if goal.count() <= BROADCAST_SOURCES else lambda df: df
+        first = self._crossing(coarse, "c1", goal, "rest", "rest1")
+        inner = sized.join(small(first), sized["src"].eqNullSafe(first["src"]) & (sized["c1"] == first["c1_cut"])).select(sized["*"])
+        fine = inner.groupBy("src", "c2").agg(F.sum("size").alias("words"))
+        second = cut(self._crossing(fine, "c2", first, "rest1", "rest2"))
+        last = inner.join(small(second), inner["src"].eqNullSafe(second["src"]) & (inner["c2"] == second["c2_cut"])).select(
+            inner["src"], "id", "u", "size", "rest2"
+        )
+        order = Window.partitionBy("src").orderBy("u", F.col("id").asc_nulls_last())
+        # the document at the cut is taken if that comes nearer to the target than leaving it
+        last = last.withColumn("run", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).select(
+            F.col("src").alias("__l_src"),
+            F.col("id").alias("__l_id"),
+            (2 * F.col("rest2") >= 2 * F.col("run") - F.col("size")).alias("__l_take"),
+        )
+        self.last = cut(last.groupBy("__l_src", "__l_id").agg(F.max("__l_take").alias("__l_take")))
+        f, s = first.withColumnRenamed("src", "f_src"), second.withColumnRenamed("src", "s_src")
+        self.sources = cut(
+            goal.join(f, F.col("src").eqNullSafe(F.col("f_src")), "left")
+            .join(s, F.col("src").eqNullSafe(F.col("s_src")), "left")
+            .select(*[F.col(c).alias(f"__{c}") for c in ("src", "source_size", "target", "whole", "rest", "c1_cut", "c2_cut")])
+        )
+
+    @staticmethod
+    def _crossing(cells: DataFrame, cell: str, left: DataFrame, rest: str, out: str) -> DataFrame:
         """For each source the first cell whose running words exceed what is left, and what is left before it."""
-        run = F.sum("words").over(Window.partitionBy("src").orderBy(cell))
+        run = F.sum("words").over(Window.partitionBy("src").orderBy(cell))  # at most CELLS rows of a source
         t = cells.withColumn("run", run).alias("a")
         t = t.join(left.select("src", F.col(rest).alias("_rest")).alias("b"), F.col("a.src").eqNullSafe(F.col("b.src")))
         return (
@@ -100,51 +115,63 @@ def mix(
             .select("src", F.col(f"m.{cell}").alias(f"{cell}_cut"), F.col("m.r").alias(out))
         )
 
-    first = crossing(coarse, "c1", goal, "rest", "rest1")
-    inner = sized.join(
-        small(first), sized["src"].eqNullSafe(first["src"]) & (sized["c1"] == first["c1_cut"])
-    ).select(sized["*"])
-    fine = inner.groupBy("src", "c2").agg(F.sum("size").alias("words"))
-    second = crossing(fine, "c2", first, "rest1", "rest2")
-    last = inner.join(small(second), same(inner, second) & (inner["c2"] == second["c2_cut"])).select(
-        inner["src"], "id", "u", "size", "rest2"
-    )
-    run = F.sum("size").over(
-        Window.partitionBy("src").orderBy("u", F.col("id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    )
-    # the document at the cut is taken if that comes nearer to the target than leaving it
-    last = last.withColumn("run", run).select(
-        F.col("src").alias("l_src"),
-        F.col("id").alias("l_id"),
-        (2 * F.col("rest2") >= 2 * F.col("run") - F.col("size")).alias("l_take"),
-    )
-    last = last.groupBy("l_src", "l_id").agg(F.max("l_take").alias("l_take"))
-    edges = goal.join(first.withColumnRenamed("src", "f_src"), F.col("src").eqNullSafe(F.col("f_src")), "left").join(
-        second.withColumnRenamed("src", "s_src"), F.col("src").eqNullSafe(F.col("s_src")), "left"
-    ).select(F.col("src").alias("e_src"), "source_size", "target", "whole", "rest", "c1_cut", "c2_cut")
-    out = sized.join(small(edges), F.col("src").eqNullSafe(F.col("e_src")), "left").join(
-        last, F.col("src").eqNullSafe(F.col("l_src")) & F.col("id").eqNullSafe(F.col("l_id")), "left"
-    )
-    before = (
-        F.col("c1_cut").isNull()
-        | (F.col("c1") < F.col("c1_cut"))
-        | ((F.col("c1") == F.col("c1_cut")) & (F.col("c2") < F.col("c2_cut")))
+    def copies(self, rows: DataFrame, src: Column, id_: Column, u: Column) -> DataFrame:
+        """rows with the columns of their source (prefixed __) and __copies."""
+        c1, c2 = _cells(u)
+        few = self.last.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+        out = rows.join(self.small(self.sources), src.eqNullSafe(F.col("__src")), "left")
+        last = F.broadcast(self.last) if few else self.last
+        out = out.join(last, src.eqNullSafe(F.col("__l_src")) & id_.eqNullSafe(F.col("__l_id")), "left")
+        at = F.col("__c1_cut")
+        before = at.isNull() | (c1 < at) | ((c1 == at) & (c2 < F.col("__c2_cut")))
+        extra = (F.col("__rest") > 0) & (before | F.coalesce(F.col("__l_take"), F.lit(False)))
+        whole = F.col("__whole") + F.coalesce(extra, F.lit(False)).cast("int")
+        return out.withColumn("__copies", F.least(whole, F.lit(self.most)).cast("int"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
+    sized = docs.select(
+        F.col(id_col).alias("id"),
+        F.col(source_col).alias("src"),
+        F.regexp_count(filled(F.col(text_col)), F.lit(WORD)).cast("long").alias("size"),
+        draw(F.col(id_col), seed).alias("u"),
     )
-    extra = (F.col("rest") > 0) & (before | F.coalesce(F.col("l_take"), F.lit(False)))
-    copies = F.least(F.col("whole") + F.coalesce(extra, F.lit(False)).cast("int"), F.lit(int(most)))
+    return cut(sized)  # ids, sources and sizes only: the texts are read once
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (1, 2, 3),
+    most: float = 3.0,
+    seed: int = 1,
+) -> DataFrame:
+    """One row per document: id, size, source_size, target (both of its source), taken (words), copies."""
+    sized = _sized(docs, id_col, text_col, source_col, seed)
+    out = _Cuts(sized, weights, most).copies(sized, F.col("src"), F.col("id"), F.col("u"))
     return out.select(
         F.col("id").alias(id_col),
         "size",
-        "source_size",
-        "target",
-        (F.col("size") * copies).cast("long").alias("taken"),
-        copies.cast("int").alias("copies"),
+        F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
+        (F.col("size") * F.col("__copies")).cast("long").alias("taken"),
+        F.col("__copies").alias("copies"),
     )
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:
-    """The mix itself: each document as often as it was taken, with all its columns."""
-    n = mix(docs, id_col, **kw).filter(F.col("copies") > 0).select(F.col(id_col).alias("_mix_id"), "copies")
-    n = n.groupBy("_mix_id").agg(F.max("copies").alias("_mix_n"))
-    out = docs.join(n, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    return out.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*docs.columns)
+def mixed(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    weights: tuple[float, ...] = (1, 2, 3),
+    most: float = 3.0,
+    seed: int = 1,
+) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with all its columns; the texts aren't shuffled."""
+    cuts = _Cuts(_sized(docs, id_col, text_col, source_col, seed), weights, most)
+    out = cuts.copies(docs, docs[source_col], docs[id_col], draw(docs[id_col], seed)).filter(F.col("__copies") > 0)
+    again = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__turn")
+    return out.select(*[docs[c] for c in docs.columns], again).drop("__turn")

@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, cut, filled, flat
-from .lsh_forest import BROADCAST_IDS, link
+from .common import BROADCAST_IDS, by_bytes, cut, filled, flat
+from .lsh_forest import link
 from .shingles import fingerprints, sets, signatures, sketches, words
 
 MIN_WORDS, WORDS = 25, 5
