@@ -81,7 +81,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_subword_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = tokenizer_path("piece_bpe_32k.model")
-    rows = subword.encode_best(table(spark, sf_dir, "documents"), model, k=2)
+    rows = subword.encode_best(table(spark, sf_dir, "documents"), model, k=2, with_text=True)
     return rows.select(
         F.col("id").alias("doc_id"),
         "sample",
@@ -89,7 +89,7 @@ def op7_subword_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.xxhash64("ids").alias("ids_hash"),
         "log_prob",
         "log_inclusion",
-        F.sha2(subword.decode(F.col("ids"), model), 256).alias("text_sha256"),
+        F.sha2("text", 256).alias("text_sha256"),
     )
 
 

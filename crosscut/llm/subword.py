@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes, filled, mix64
 
 RANK_SHIFT = 10.0
-SLICE = 2 << 20
+SLICE = 1 << 20
 SPACE = 0x2581
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,31 +138,31 @@ class Lattice:
         order = np.argsort(left, kind="stable")
         ends = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
         offs = np.arange(1, most + 1)
-        prob = np.zeros((n, most))
         for d in range(len(ends) - 1):
             i = order[ends[d] : ends[d + 1]]
             wide = min(most, d + 1)
             # the node at the end of the part has 0; it shares its index with the next part's first
-            nxt = i[:, None] + offs[:wide]
-            s = logw[i, :wide] + np.where(offs[:wide] == d + 1, 0.0, beta[nxt])
+            s = logw[i, :wide] + np.where(offs[:wide] == d + 1, 0.0, beta[i[:, None] + offs[:wide]])
             top = s.max(1)
-            e = np.exp(s - top[:, None])
-            z = e.sum(1)
-            beta[i] = top + np.log(z)
-            prob[i, :wide] = e / z[:, None]
-        self.prob, self.left, self.most = prob, left, most
+            beta[i] = z = top + np.log(np.exp(s - top[:, None]).sum(1))
+            logw[i, :wide] = s - z[:, None]
+        self.left, self.most, self.logp = left, most, logw  # the log probability of each edge
         ok = self.edge != -1
         self.single = ok.sum(1) == 1
         self.only = ok.argmax(1)
-        self.cum = np.cumsum(prob, 1, dtype=np.float32)
+        self.logp[np.flatnonzero(self.single), self.only[self.single]] = 0.0
+        self.cum = np.cumsum(np.exp(self.logp), 1, dtype=np.float32)
         last = most - 1 - np.argmax(ok[:, ::-1], 1)
         self.cum[np.arange(most)[None, :] >= last[:, None]] = 2.0  # sums that rounding leaves under 1
-        # by node and edge: the log of the edge's probability, and of all others' together
-        edges = np.flatnonzero(ok & ~self.single[:, None])
-        self.logp, self.log_others = np.zeros(n * most), np.full(n * most, -np.inf)
+        # the log of all other edges' probability together
+        many = np.flatnonzero(ok & ~self.single[:, None])
+        self.log_others = np.full(n * most, -np.inf, np.float32)
         with np.errstate(divide="ignore"):
-            self.logp[edges] = np.log(prob.ravel()[edges])
-            self.log_others[edges] = np.log1p(-np.minimum(prob.ravel()[edges], 1.0))
+            self.log_others[many] = np.log(-np.expm1(np.minimum(self.logp.ravel()[many], 0.0)))
+
+    def probabilities(self, nodes: np.ndarray) -> np.ndarray:
+        """nodes x edges."""
+        return np.exp(self.logp[nodes])
 
 
 def _uniform(key: np.ndarray) -> np.ndarray:
@@ -289,12 +289,13 @@ def sample(voc: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed: in
             at = best_at[mine]
             fork[mine] = at - bq[mine]
             # another edge at the fork, in proportion to those not yet taken there
-            row = lat.prob[nq[at]] * ((banq[at][:, None] >> np.arange(lat.prob.shape[1])) & 1 == 0)
+            prob = lat.probabilities(nq[at])
+            row = prob * ((banq[at][:, None] >> np.arange(lat.most)) & 1 == 0)
             cum = np.cumsum(row, 1)
             r = _uniform(key(mine, fork[mine], j + 1, 4)) * cum[:, -1]
             other = np.minimum((cum <= r[:, None]).sum(1), row.shape[1] - 1)
             banq[at] |= np.int64(1) << other
-            left = np.where((banq[at][:, None] >> np.arange(row.shape[1])) & 1 == 0, lat.prob[nq[at]], 0.0).sum(1)
+            left = np.where((banq[at][:, None] >> np.arange(row.shape[1])) & 1 == 0, prob, 0.0).sum(1)
             left[left < 1e-15] = 0.0
             with np.errstate(divide="ignore"):
                 uq[at] = _truncated(befq[at] + np.log(left), best[mine], _uniform(key(mine, fork[mine], j + 1, 5)))
@@ -315,7 +316,7 @@ def sample(voc: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed: in
             edges_.append(ee)
         part, node, edge = (np.concatenate(x) for x in (parts_, nodes_, edges_))
         # by part, and within one by node: nodes of a path ascend
-        order = np.lexsort((node, part))
+        order = np.argsort(part << 32 | node - root[part], kind="stable")
         part, node, edge = part[order], node[order], edge[order]
         top = best
     kappa = best if n else np.zeros(0)
@@ -350,11 +351,21 @@ def _ids(voc: Vocabulary, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, edges
 
 
-SAMPLES = "id long, samples array<struct<ids:array<int>,log_prob:double,log_inclusion:double>>"
+def decoded(voc: Vocabulary, ids: np.ndarray, edges: np.ndarray) -> list[str]:
+    """The texts of flat ids; edges: where each text's ids begin. The space that encoding puts in front goes."""
+    n = voc.raw_size[ids]
+    run = np.concatenate(([0], np.cumsum(n)))
+    raw = voc.raw_data[np.repeat((voc.raw_at[ids] - run[:-1]).astype(np.int32), n) + np.arange(run[-1], dtype=np.int32)].tobytes()
+    at = run[edges].tolist()
+    return [raw[lo + (raw[lo : lo + 1] == b" " and hi > lo) : hi].decode("utf-8", "replace") for lo, hi in zip(at[:-1], at[1:], strict=True)]
+
+
+SAMPLES = "id long, samples array<struct<ids:array<int>,log_prob:double,log_inclusion:double,text:string>>"
 
 
-def _encode(path: str, alpha: float, k: int, seed: int):
-    kind = pa.list_(pa.struct([("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("log_inclusion", pa.float64())]))
+def _encode(path: str, alpha: float, k: int, seed: int, with_text: bool):
+    fields = [("ids", pa.list_(pa.int32())), ("log_prob", pa.float64()), ("log_inclusion", pa.float64()), ("text", pa.string())]
+    kind = pa.list_(pa.struct(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = vocabulary(path, alpha)
@@ -364,9 +375,10 @@ def _encode(path: str, alpha: float, k: int, seed: int):
                 found = sample(voc, b.column("body").to_pylist(), keys, k, seed)
                 flat = [s for rows in found for s in rows]
                 offs = np.concatenate(([0], np.cumsum([len(s[0]) for s in flat]))).astype(np.int32)
-                ids = pa.array(np.concatenate([s[0] for s in flat]) if flat else [], pa.int32())
+                ids = np.concatenate([s[0] for s in flat]) if flat else np.zeros(0, np.int32)
+                texts = pa.array(decoded(voc, ids, offs), pa.string()) if with_text else pa.nulls(len(flat), pa.string())
                 struct = pa.StructArray.from_arrays(
-                    [pa.ListArray.from_arrays(pa.array(offs), ids), pa.array([s[1] for s in flat], pa.float64()), pa.array([s[2] for s in flat], pa.float64())],
+                    [pa.ListArray.from_arrays(pa.array(offs), pa.array(ids, pa.int32())), *(pa.array([s[i] for s in flat], pa.float64()) for i in (1, 2)), texts],
                     fields=list(kind.value_type),
                 )
                 rows = np.concatenate(([0], np.cumsum([len(r) for r in found]))).astype(np.int32)
@@ -375,9 +387,9 @@ def _encode(path: str, alpha: float, k: int, seed: int):
     return run
 
 
-def encode(docs: DataFrame, model: str, k: int = 3, alpha: float = 1.0, seed: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and up to k samples (ids, log_prob, log_inclusion) of each text."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), filled(F.col(text_col)).alias("body")).mapInArrow(_encode(model, alpha, k, seed), SAMPLES)
+def encode(docs: DataFrame, model: str, k: int = 3, alpha: float = 1.0, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """id and up to k samples (ids, log_prob, log_inclusion) of each text; with_text: and what each decodes to."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), filled(F.col(text_col)).alias("body")).mapInArrow(_encode(model, alpha, k, seed, with_text), SAMPLES)
 
 
 def decode(ids: Column, model: str) -> Column:
@@ -385,20 +397,12 @@ def decode(ids: Column, model: str) -> Column:
 
     @F.arrow_udf("string")
     def texts(rows: pa.Array) -> pa.Array:
-        voc = vocabulary(model)
-        out = []
+        voc, out = vocabulary(model), []
         for i in range(0, len(rows), 500):
             part = rows.slice(i, 500)
-            null = np.asarray(part.is_null())
             count = np.array([x or 0 for x in part.value_lengths().to_pylist()], np.int64)
-            flat = part.flatten().to_numpy(zero_copy_only=False)
-            n = voc.raw_size[flat]
-            run = np.concatenate(([0], np.cumsum(n)))
-            raw = voc.raw_data[np.repeat(voc.raw_at[flat] - run[:-1], n) + np.arange(run[-1])].tobytes()
-            edges = run[np.concatenate(([0], np.cumsum(count)))].tolist()
-            for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-                lo += raw[lo : lo + 1] == b" " and hi > lo  # the space that encoding puts in front
-                out.append(None if null[k] else raw[lo:hi].decode("utf-8", "replace"))
+            found = decoded(voc, part.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(count))))
+            out += [x if ok else None for x, ok in zip(found, part.is_valid().to_pylist(), strict=True)]
         return pa.array(out, pa.string())
 
     return texts(ids)
@@ -406,4 +410,4 @@ def decode(ids: Column, model: str) -> Column:
 
 def encode_best(docs: DataFrame, model: str, **kw) -> DataFrame:
     """One row per document and sample: id, sample (from 0), ids, log_prob, log_inclusion."""
-    return encode(docs, model, **kw).select("id", F.posexplode("samples").alias("sample", "s")).select("id", "sample", "s.*")
+    return encode(docs, model, **kw).select("id", F.posexplode("samples").alias("sample", "s")).select("id", "sample", "s.*").drop(*[] if kw.get("with_text") else ["text"])
