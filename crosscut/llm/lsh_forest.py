@@ -5,13 +5,14 @@ classes of near-duplicates. Steps:
 
 1. Documents with equal sets (by a 128-bit fingerprint) are one class, represented by the smallest id.
 2. `TREES` orders of `DEPTH` MinHash values each sort the representatives. A region is a run of rows that share the
-   first `ROOT` values. Its rows are candidates of each other; a region of more than `NEAR` + 1 rows goes deeper: there
-   a row's candidates are its `NEAR` next rows in the sorted order, which have the longest common prefixes, and the
-   region's first row.
+   first `ROOT` values. Its rows are candidates of each other. A region of more than `NEAR` + 1 rows goes deeper, by the
+   further values: a row's candidates are the region's row of the smallest id and, in one of `SPARSE` large regions, its
+   next row in the sorted order, with which it has the longest common prefix.
 3. Candidates whose sizes rule the link out, or whose 128 signature bits agree too seldom (see `AGREE`), go; the rest
    are confirmed on the full sets, and confirmed links give components.
 4. What the deeper regions skipped is made up for: in each large region whose rows lie in more than one component, all
-   pairs across components are compared by their bits, and confirmed in turn. Regions within one component need nothing.
+   pairs across components are compared by their bits, and confirmed: first the best pair of each row and foreign
+   component, then, with the components that gives, all pairs. Regions within one component need nothing.
 
 Recall of a link at similarity 0.8: a tree has both ends in one region with probability 0.8**3, so all trees miss it
 with probability 0.488**20 = 6e-7; fewer than `AGREE` of 128 bits agree with probability 1e-7. Sets of fewer than
@@ -35,7 +36,10 @@ from .common import BROADCAST_IDS, anti, by_bytes, cut, filled, flat
 from .components import components
 from .shingles import fingerprints, overlap, sets, signatures, sketches
 
-TREES, DEPTH, ROOT, NEAR = 20, 7, 3, 3
+TREES, DEPTH, ROOT, NEAR = 20, 7, 3, 5
+#: Of large regions, one in so many gives neighbours in the sorted order.
+SPARSE = 4
+CHUNK = 200_000
 AGREE = 96
 SLICE = 1 << 20
 TILE = 2048
@@ -82,80 +86,72 @@ def _columns(b: pa.RecordBatch) -> tuple[np.ndarray, ...]:
 PAIRS = "a long, b long, key long, id long, n long, bits binary"
 
 
+def _batch(pair: np.ndarray | None = None, rows: tuple[np.ndarray, ...] | None = None) -> pa.RecordBatch:
+    """Candidate pairs, or rows of large regions."""
+    m = len(pair) if pair is not None else len(rows[0])
+    none = pa.nulls(m, pa.int64())
+    if pair is not None:
+        cols = [pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, none, none, pa.nulls(m, pa.binary())]
+    else:
+        cols = [none, none, *(pa.array(x) for x in rows[:3]), pa.array([r.tobytes() for r in rows[3]], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in PAIRS.split(", ")])
+
+
+def _candidates(cols: tuple[np.ndarray, ...], threshold: int) -> Iterator[pa.RecordBatch]:
+    """cols: whole regions, one after the other."""
+    key, ids, n, bits = cols
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    size = np.diff(np.append(start, len(key)))
+    big = np.repeat(size > NEAR + 1, size)
+    found = []
+    for o in range(1, min(NEAR, len(key) - 1) + 1):
+        i = np.flatnonzero((key[:-o] == key[o:]) & (~big[:-o] | (o == 1) & (key[:-o] % SPARSE == 0)))
+        i = i[_agree(bits[i], bits[i + o], n[i], n[i + o], threshold)]
+        found.append((ids[i], ids[i + o]))
+    # large regions: each row with the one of the smallest id, which is the same in most trees
+    low = np.lexsort((ids, np.repeat(np.arange(len(start)), size)))[start]
+    head = np.repeat(low, size)
+    i = np.flatnonzero(big)
+    i = i[_agree(bits[i], bits[head[i]], n[i], n[head[i]], threshold)]
+    found.append((ids[head[i]], ids[i]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    lo, hi = np.minimum(a, b), np.maximum(a, b)
+    pair = np.unique(np.stack((lo, hi), 1)[lo < hi], axis=0)
+    if len(pair):
+        yield _batch(pair)
+    if big.any():
+        yield _batch(rows=tuple(x[big] for x in cols))
+
+
 def _regions(threshold: int):
-    """Candidates of sorted rows, as (a, b); and the rows of large regions, as (key, id, n, bits)."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("bits", pa.binary())])
+    """Candidates of sorted rows, as (a, b); and the rows of large regions, as (key, id, n, bits).
+
+    A region is held until it ends; one of more than CHUNK rows is handled in parts that share their first row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep: tuple[np.ndarray, ...] | None = None
-        first: tuple | None = None  # the first row of the region at the end of the last batch, and that region's rows
-        pending: list = []
-
-        def large(rows: list) -> pa.RecordBatch:
-            m = len(rows)
-            none = pa.nulls(m, pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [none, none, *(pa.array([r[i] for r in rows], pa.int64()) for i in range(3)), pa.array([r[3].tobytes() for r in rows], pa.binary())], schema=schema
-            )
-
         for b in batches:
             if not b.num_rows:
                 continue
             cols = _columns(b)
-            start = 0
             if keep is not None:
-                start = len(keep[0])
                 cols = tuple(np.concatenate((x, y)) for x, y in zip(keep, cols, strict=True))
-            key, ids, n, bits = cols
-            m = len(key)
-            found = []
-            for o in range(1, NEAR + 1):
-                i = np.arange(max(0, start - o), m - o)
-                i = i[(i + o >= start) & (key[i] == key[i + o])]
-                i = i[_agree(bits[i], bits[i + o], n[i], n[i + o], threshold)]
-                found.append((ids[i], ids[i + o]))
-            # each row with the first of its region
-            new = np.ones(m, bool)
-            new[1:] = key[1:] != key[:-1]
-            head = np.maximum.accumulate(np.where(new, np.arange(m), 0))
-            hid, hn, hbits = ids[head], n[head], bits[head].copy()
-            if first is not None and key[0] == first[0]:
-                run0 = head == 0
-                hid, hn = np.where(run0, first[1], hid), np.where(run0, first[2], hn)
-                hbits[run0] = first[3]
-            i = np.arange(start, m)
-            i = i[_agree(bits[i], hbits[i], n[i], hn[i], threshold)]
-            found.append((hid[i], ids[i]))
-            a, c = (np.concatenate(x) for x in zip(*found, strict=True))
-            lo, hi = np.minimum(a, c), np.maximum(a, c)
-            pair = np.unique(np.stack((lo, hi), 1)[lo < hi], axis=0)
-            none = pa.nulls(len(pair), pa.int64())
-            if len(pair):
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1]), none, none, none, pa.nulls(len(pair), pa.binary())], schema=schema)
-            # rows of regions with more than NEAR + 1 rows; the last region may go on
-            ends = np.append(np.flatnonzero(new)[1:], m)
-            for lo_, hi_ in zip(np.flatnonzero(new), ends, strict=True):
-                s = max(lo_, start)
-                same = bool(pending) and pending[0][0] == key[lo_]
-                if hi_ - lo_ <= 1 and hi_ < m and not same:
-                    continue
-                if not same:
-                    if len(pending) > NEAR + 1:
-                        yield large(pending)
-                    pending = []
-                pending += [(int(key[j]), int(ids[j]), int(n[j]), bits[j]) for j in range(s, hi_)]
-                if len(pending) > TILE:  # stream a very large region; it stays known as large
-                    yield large(pending[: -(NEAR + 2)])
-                    pending = pending[-(NEAR + 2) :]
-            first = (key[-1], hid[-1], hn[-1], hbits[-1].copy())
-            keep = tuple(x[-NEAR:].copy() for x in cols)
-        if len(pending) > NEAR + 1:
-            yield large(pending)
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if last:
+                yield from _candidates(tuple(x[:last] for x in cols), threshold)
+            keep = tuple(x[last:] for x in cols)
+            if len(keep[0]) > CHUNK:
+                yield from _candidates(keep, threshold)
+                first = int(keep[1].argmin())
+                keep = tuple(x[[first, *range(len(x) - NEAR, len(x))]] for x in keep)
+        if keep is not None:
+            yield from _candidates(keep, threshold)
 
     return run
 
 
-def _across(threshold: int):
+def _across(threshold: int, best: bool):
     """Pairs across components within each region of sorted rows that their bits don't rule out."""
 
     def region(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
@@ -165,16 +161,26 @@ def _across(threshold: int):
         # the largest component needs no comparison within itself: the others go against all rows
         names, inverse, count = np.unique(comp, return_inverse=True, return_counts=True)
         rest = np.flatnonzero(inverse != count.argmax())
+        order = np.argsort(inverse, kind="stable")
+        ids, n, bits, inverse = ids[order], n[order], bits[order], inverse[order]
+        rest = np.flatnonzero(inverse != count.argmax())
         for s in range(0, len(rest), 64):
             r = rest[s : s + 64]
+            found = []
             for t in range(0, len(ids), TILE):
                 u = slice(t, t + TILE)
-                ok = _agree(bits[r][:, None], bits[None, u], n[r][:, None], n[None, u], threshold) & (comp[r][:, None] != comp[None, u])
-                i, j = np.nonzero(ok)
-                if len(i):
-                    a, b = ids[r[i]], ids[u][j]
-                    pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+                i, j = np.nonzero(_agree(bits[r][:, None], bits[None, u], n[r][:, None], n[None, u], threshold) & (inverse[r][:, None] != inverse[None, u]))
+                if best and len(i):  # of each row and foreign component the pair that agrees most
+                    far = np.bitwise_count(bits[r[i]] ^ bits[u][j]).sum(1)
+                    by = np.lexsort((far, inverse[u][j], i))
+                    i, j = i[by], j[by]
+                    new = np.append(True, (np.diff(i) != 0) | (np.diff(inverse[u][j]) != 0))
+                    i, j = i[new], j[new]
+                found.append((ids[r[i]], ids[u][j]))
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
+            if len(pair):
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
@@ -238,15 +244,21 @@ def link(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], k: int, thres
     links = cut(confirm(pairs, bodies, k, threshold))
     comps = components(links)
     # what large regions skipped
-    wide = found.filter("key is not null").select("key", "id", "n", "bits")
-    wide = wide.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    wide = wide.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key")
-    more = wide.select("key", "id", "n", "bits", "component").mapInArrow(_across(threshold), "a long, b long").distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-    if more.take(1):
+    large = found.filter("key is not null").select("key", "id", "n", "bits")
+    for best in (True, False):
+        wide = large.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+        wide = wide.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key")
+        more = wide.select("key", "id", "n", "bits", "component").mapInArrow(_across(threshold, best), "a long, b long").distinct()
+        more = cut(more.join(pairs, ["a", "b"], "left_anti"))
+        if not more.take(1):
+            break
         rest = cut(texts(ends(more)).dropDuplicates(["id"]))
-        comps = components(links.unionByName(confirm(more, rest, k, threshold)))
+        new = cut(confirm(more, rest, k, threshold))
+        pairs = pairs.unionByName(more)
+        if new.take(1):
+            links = links.unionByName(new)
+            comps = components(links)
     return comps
 
 
