@@ -29,6 +29,7 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -267,7 +268,7 @@ def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 _KIND = {k: "".join(re.escape(chr(i)) for i in range(256) if unicodedata.category(chr(i))[0] == k) for k in "LN"}
 # The pre-tokens of the tokenizer's own split pattern, here for the first 256 code points.
-_SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_KIND['L']}]+|[{_KIND['N']}]|[^\t-\r \x85\xa0{_KIND['L']}{_KIND['N']}]+")
+_SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_KIND['L']}]+|[{_KIND['N']}]|[^\t-\r \x85\xa0{_KIND['L']}{_KIND['N']}]+")
 _WIDE = re.compile("[^\x00-\xff]")
 _SPACE = re.compile("[\t-\r ]+")
 CACHE = 600_000
@@ -309,7 +310,7 @@ class Encoder:
     def _parts(self, text: str) -> list[str]:
         if any(m in text for m in self.marks):
             return [text]
-        if not _WIDE.search(text):
+        if text.isascii() or not _WIDE.search(text):
             return _SPLIT.findall(text.lower())
         out: list[str] = []
         for word in _SPACE.split(text):  # no pre-token crosses white space
@@ -324,11 +325,12 @@ class Encoder:
         if len(self.index) > CACHE:
             self._reset()
         parts = [self._parts(t) for t in texts]
-        new = list({w for p in parts for w in p}.difference(self.index))
-        self._learn(new)
-        get = self.index.__getitem__
+        found = list(map(self.index.get, chain.from_iterable(parts)))
+        if None in found:
+            self._learn(list({w for w, k in zip(chain.from_iterable(parts), found, strict=True) if k is None}))
+            found = list(map(self.index.get, chain.from_iterable(parts)))
         counts = np.array([len(p) for p in parts], np.int64)
-        at = np.fromiter((get(w) for p in parts for w in p), np.int64, int(counts.sum()))
+        at = np.array(found, np.int64)
         size, start = np.frombuffer(self.size, np.int64)[at] if len(at) else at, np.frombuffer(self.start, np.int64)[at] if len(at) else at
         flat = np.frombuffer(self.flat, np.int32) if len(self.flat) else np.zeros(0, np.int32)
         run = np.concatenate(([0], np.cumsum(size)))
