@@ -10,9 +10,9 @@ classes of near-duplicates. Steps:
    next row in the sorted order, with which it has the longest common prefix.
 3. Candidates whose sizes rule the link out, or whose 128 signature bits agree too seldom (see `AGREE`), go; the rest
    are confirmed on the full sets, and confirmed links give components.
-4. What the deeper regions skipped is made up for: in each large region whose rows lie in more than one component, all
-   pairs across components are compared by their bits, and confirmed: first the best pair of each row and foreign
-   component, then, with the components that gives, all pairs. Regions within one component need nothing.
+4. What the deeper regions skipped is made up for: in each large region whose rows lie in more than one component, the
+   rows outside its largest component are compared with all its rows, by counting their shingles' occurrences (an exact
+   overlap, without emitting pairs), and the links that join components are added. Other regions need nothing.
 
 Recall of a link at similarity 0.8: a tree has both ends in one region with probability 0.8**3, so all trees miss it
 with probability 0.488**20 = 6e-7; fewer than `AGREE` of 128 bits agree with probability 1e-7. Sets of fewer than
@@ -42,7 +42,6 @@ SPARSE = 4
 CHUNK = 200_000
 AGREE = 96
 SLICE = 1 << 20
-TILE = 2048
 
 
 def _features(k: int):
@@ -151,57 +150,85 @@ def _regions(threshold: int):
     return run
 
 
-def _across(threshold: int, best: bool):
-    """Pairs across components within each region of sorted rows that their bits don't rule out."""
-
-    def region(rows: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        ids, n, bits, comp = (np.concatenate(x) for x in zip(*rows, strict=True))
-        if (comp == comp[0]).all():
-            return
-        # the largest component needs no comparison within itself: the others go against all rows
-        names, inverse, count = np.unique(comp, return_inverse=True, return_counts=True)
-        rest = np.flatnonzero(inverse != count.argmax())
-        order = np.argsort(inverse, kind="stable")
-        ids, n, bits, inverse = ids[order], n[order], bits[order], inverse[order]
-        rest = np.flatnonzero(inverse != count.argmax())
-        for s in range(0, len(rest), 64):
-            r = rest[s : s + 64]
-            found = []
-            for t in range(0, len(ids), TILE):
-                u = slice(t, t + TILE)
-                i, j = np.nonzero(_agree(bits[r][:, None], bits[None, u], n[r][:, None], n[None, u], threshold) & (inverse[r][:, None] != inverse[None, u]))
-                if best and len(i):  # of each row and foreign component the pair that agrees most
-                    far = np.bitwise_count(bits[r[i]] ^ bits[u][j]).sum(1)
-                    by = np.lexsort((far, inverse[u][j], i))
-                    i, j = i[by], j[by]
-                    new = np.append(True, (np.diff(i) != 0) | (np.diff(inverse[u][j]) != 0))
-                    i, j = i[new], j[new]
-                found.append((ids[r[i]], ids[u][j]))
-            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-            pair = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), 1), axis=0)
-            if len(pair):
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+def _links_across(ids: np.ndarray, comp: np.ndarray, items: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
+    """Links that join components of a region's rows, by exact set overlap; one for each join of two components.
+
+    Each row outside the largest component looks up the rows that hold its shingles, so that all overlaps of a row are
+    one count. Rows of the largest component need no lookup: a link to them is found from its other end.
+    """
+    n = np.array([len(x) for x in items])
+    flat = np.concatenate(items)
+    order = np.argsort(flat, kind="stable")
+    flat, row = flat[order], np.repeat(np.arange(len(ids)), n)[order]
+    start = np.flatnonzero(np.append(True, flat[1:] != flat[:-1]))
+    value, size = flat[start], np.diff(np.append(start, len(flat)))
+    names, label, count = np.unique(comp, return_inverse=True, return_counts=True)
+    root = list(range(len(names)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for r in np.flatnonzero(label != count.argmax()).tolist():
+        at = np.searchsorted(value, items[r])
+        many = at[size[at] > 1]
+        if not len(many):
+            continue
+        held = np.repeat(start[many] - np.concatenate(([0], np.cumsum(size[many])[:-1])), size[many]) + np.arange(size[many].sum())
+        both = np.bincount(row[held], minlength=len(ids))
+        hit = np.flatnonzero((100 * both >= threshold * (n[r] + n - both)) & (both > 0))
+        for j in hit[np.unique(label[hit], return_index=True)[1]].tolist():  # one row of each component
+            x, y = find(int(label[r])), find(int(label[j]))
+            if x != y:
+                root[x] = y
+                out.append((min(int(ids[r]), int(ids[j])), max(int(ids[r]), int(ids[j]))))
+    return out
+
+
+def _across(threshold: int):
+    """Links between components within each region of sorted rows (key, id, component, items)."""
+
+    def region(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        ids, comp = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        items = [np.frombuffer(x, np.uint64) for p in parts for x in p[2]]
+        links = _links_across(ids, comp, items, threshold) if (comp != comp[0]).any() else []
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
         for b in batches:
             if not b.num_rows:
                 continue
-            key, ids, n, bits = _columns(b)
-            comp = b.column("component").to_numpy(zero_copy_only=False)
+            key, ids, comp = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "id", "component"))
+            items = b.column("items").to_pylist()
             edges = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             for lo, hi in zip(edges, np.append(edges[1:], len(key)), strict=True):
                 if at is not None and key[lo] != at:
                     yield from region(held)
                     held = []
                 at = key[lo]
-                held.append((ids[lo:hi], n[lo:hi], bits[lo:hi], comp[lo:hi]))
+                held.append((ids[lo:hi], comp[lo:hi], items[lo:hi]))
         if held:
             yield from region(held)
 
     return run
 
 
+def _items(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in by_bytes(whole, "body", SLICE):
+                shingle, offs = sets(*flat(b.column("body")), k)
+                items = [shingle[i:j].tobytes() for i, j in zip(offs[:-1], offs[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(items, pa.binary())], ["id", "items"])
+
+    return run
+
+
 def _confirm(k: int, threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -244,21 +271,16 @@ def link(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], k: int, thres
     links = cut(confirm(pairs, bodies, k, threshold))
     comps = components(links)
     # what large regions skipped
-    large = found.filter("key is not null").select("key", "id", "n", "bits")
-    for best in (True, False):
-        wide = large.join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-        wide = wide.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key")
-        more = wide.select("key", "id", "n", "bits", "component").mapInArrow(_across(threshold, best), "a long, b long").distinct()
-        more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-        if not more.take(1):
-            break
-        rest = cut(texts(ends(more)).dropDuplicates(["id"]))
-        new = cut(confirm(more, rest, k, threshold))
-        pairs = pairs.unionByName(more)
-        if new.take(1):
-            links = links.unionByName(new)
-            comps = components(links)
+    wide = found.filter("key is not null").select("key", "id").join(comps, "id", "left")
+    wide = wide.withColumn("component", F.coalesce("component", "id"))
+    mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    wide = cut(wide.join(mixed, "key", "left_semi"))
+    if wide.take(1):
+        items = cut(texts(wide.select("id").distinct()).dropDuplicates(["id"]).mapInArrow(_items(k), "id long, items binary"))
+        rows = wide.join(items, "id").repartition("key").sortWithinPartitions("key").select("key", "id", "component", "items")
+        more = cut(rows.mapInArrow(_across(threshold), "a long, b long").distinct())
+        if more.take(1):
+            comps = components(links.unionByName(more))
     return comps
 
 
