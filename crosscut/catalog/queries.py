@@ -257,7 +257,7 @@ _FIT = ", ".join(f"{r(c)} AS {c}" for c in ("beta_cap", "r2_cap", "beta_eq", "r2
 query("a1_weighted_fit", q(f"SELECT date, cut, {r('beta_cap')} AS beta, {r('r2_cap')} AS r2 FROM beta WHERE n > 0"))(
     lambda x: x.beta.filter("n > 0").select("date", "cut", F.col("beta_cap").alias("beta"), F.col("r2_cap").alias("r2"))
 )
-query("a2_slope_only", q(f"SELECT date, cut, {r('CASE WHEN var_pop(x) > 1e-12::DOUBLE * avg(x) * avg(x) AND count(*) >= 10 THEN regr_slope(y, x) END')} AS beta FROM beta_1 GROUP BY date, cut HAVING count(*) >= 10"))(
+query("a2_slope_only", q(f"SELECT date, cut, {r('CASE WHEN var_pop(x) > 1e-12::DOUBLE * avg(x) * avg(x) AND count(*) >= 10 THEN regr_slope(y, x) END')} AS beta FROM beta_1 WHERE date IN (SELECT date FROM rets WHERE asset_class = 'Eq') GROUP BY date, cut HAVING count(*) >= 10"))(
     lambda x: x.beta.filter("not suppressed").select("date", "cut", F.col("beta_eq").alias("beta"))
 )
 query("a3_cross_section", q(f"SELECT date, cut, {_FIT}, {r('beta_cap - beta_eq')} AS slope_spread, n, suppressed, singular FROM beta"))(lambda x: x.beta.drop("cut_ord"))
