@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes, filled, mix64
 
 RANK_SHIFT = 10.0
-SLICE = 1 << 20
+SLICE = 2 << 20
 SPACE = 0x2581
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -233,7 +233,7 @@ def sample(voc: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed: in
     base = mix64(keys.astype(np.uint64) * GOLD + np.uint64(seed))
 
     def key(docs: np.ndarray, places: np.ndarray, j: int, stream: int) -> np.ndarray:
-        return mix64(base[docs] + places.astype(np.uint64) * GOLD + np.uint64((j * 64 + stream) * 0xA24BAED4963EE407 & (1 << 64) - 1))
+        return (base[docs] + places.astype(np.uint64) * GOLD + np.uint64((j * 64 + stream) * 0xA24BAED4963EE407 & (1 << 64) - 1))
 
     def scored(which_doc: np.ndarray, node: np.ndarray, edge: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Running log probability before each step and of the whole, by text; bounds: first step of each text."""
