@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 TARGET, ROWS_PER_SHARD = 64 << 20, 1000
 FAN_IN, MAX_FAN_IN, GROWTH = 4, 256, 4
+SPARE = 8
 SHARD = "__crosscut_shard"
 MANIFEST = "shard long, version long, rows long, bytes long, min_id long, max_id long, file string"
 #: Merges of so many shards at most are broadcast by name; beyond it Spark joins by shuffle.
@@ -147,8 +148,8 @@ class Store:
                 continue
             folder = self._folder(v + 1)
             rows = self._rows(merges.select(F.col("into").alias("shard"), "file"))
-            # a merge is one partition and one file
-            rows.repartition(n, SHARD).write.partitionBy(SHARD).option("compression", "zstd").parquet(folder)
+            # a merge is one partition and one file; spare partitions keep two merges from meeting in one
+            rows.repartition(SPARE * n, SHARD).write.partitionBy(SHARD).option("compression", "zstd").parquet(folder)
             rest = shards.join(merges.select("shard"), "shard", "left_anti").select(*shards.columns)
             self.commit(rest.unionByName(self._entries(folder, v + 1, self._last(shards))), v + 1)
             if leftovers:
