@@ -109,7 +109,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
             for cells in grams(data, np.concatenate(([0], np.cumsum([len(r) for r in part])))) if len(data) else ():
                 counts[k] += np.bincount(cells, minlength=NONE + 1)
     counts[:, NONE] = 0
-    rate = (counts + SMOOTH / len(names)) / (counts.sum(1, keepdims=True) + SMOOTH * 2 * CELLS / max(len(names), 1))
+    rate = (counts + SMOOTH / max(len(names), 1)) / (counts.sum(1, keepdims=True) + SMOOTH * 2 * CELLS / max(len(names), 1))
     weights = np.zeros((NONE + 1, codes.shape[1]), np.float32)
     for b in range(codes.shape[1]):
         weights[:NONE, b] = np.log(rate[codes[:, b] > 0].mean(0) / rate[codes[:, b] < 0].mean(0))[:NONE]
