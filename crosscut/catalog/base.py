@@ -74,12 +74,13 @@ class Inputs:
     def prices(self) -> DataFrame:
         from ..sources.panel import shared_countries
 
-        return shared_countries(self.raw_prices)
+        # a few rows a month and country: kept, as the dense calendar, the returns and the cuts all start from it
+        return shared_countries(self.raw_prices).cache()
 
     @cached_property
     def universe(self) -> DataFrame:
         eq, fi = (f.groupBy("country").agg((F.sum(cents("v")) / F.lit(100.0)).alias(c)) for f, c in zip(self._facts(), ("eq_mcap", "fi_mcap"), strict=True))
-        return self.nations.select("country", "segment").join(eq, "country", "left").join(fi, "country", "left").withColumn("is_composite", F.lit(False))
+        return self.nations.select("country", "segment").join(eq, "country", "left").join(fi, "country", "left").withColumn("is_composite", F.lit(False)).cache()
 
     @cached_property
     def series(self) -> DataFrame:
