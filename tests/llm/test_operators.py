@@ -432,3 +432,24 @@ def test_pipeline_stages(spark, tmp_path):
     assert Counter(r.doc_id for r in d.collect()) == taken
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in out if r.sample == 0) == taken and len(corpus_pipeline.STAGES) == 5
+
+
+def test_null_and_repeated_ids(spark):
+    t, u = "one two three four five six seven", " ".join(WORDS[:40])
+    rows = [(None, t, "en", None, "x", 1), (3, t, "en", "s", "x", 1), (3, t, "en", "s", "x", 1), (None, u, None, "s", "x", 1), (7, u, None, "s", "x", 1), (7, u, None, "s", "x", 1), (None, "alone", None, "s", "x", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    exact = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(df).collect())
+    assert exact == {(None, 3, 3, False): 1, (3, 3, 3, True): 2, (None, 7, 3, False): 1, (7, 7, 3, True): 2, (None, None, 1, True): 1}
+    near = Counter((r.doc_id, r.component_id, r.kept) for r in lsh_forest.near_duplicates(df).collect())
+    assert near == {(None, None, True): 3, (3, 3, True): 2, (7, 7, True): 2}
+    assert mixing.mix(df).count() == 7
+    found = paragraphs.repeats(df).collect()
+    assert Counter(r.doc_id for r in found) == {None: 1, 7: 2} and sum(r.removed for r in found) == 2 and {r.keep_id for r in found} == {None}
+    assert media.thumbnails(media.store(df)).filter("id is null and status = 'ok'").count() == 3
+    tokens = token_file.round_trip(df, public_tokenizers.path("word_bpe_49k.json")).orderBy("start").collect()
+    assert [r.id for r in tokens] == [None] * 3 + [3, 3, 7, 7] and tokens[0].start == 0
+    assert subword.encode(df, public_tokenizers.path("piece_bpe_32k.model"), k=2).count() == 7
+    assert langid.identify(df, langid.fit_on(df)).filter("lang_pred = 'en'").count() == 7
+    pages = df.select(F.col("doc_id").alias("page_id"), F.col("kept").alias("url"), F.col("text").alias("html"))
+    got = Counter((r.page_id, r.record_type) for r in warc.round_trip(pages)[0].collect())
+    assert got == {(None, "response"): 3, (3, "response"): 2, (7, "response"): 2}
