@@ -1,7 +1,7 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs are the lines of a text (cut at U+000A and U+000D) with at least `MIN_WORDS` words; shorter ones repeat by
-nature and stay. Their sets of 5-word shingles get MinHash values in `BANDS` bands of `ROWS`: paragraphs with an equal
+Paragraphs are the lines of a text (cut at U+000A and U+000D) with at least `MIN_WORDS` words and, with `joined`, runs of
+consecutive shorter lines that have as many words together; fewer words repeat by nature and stay. Their sets of 5-word shingles get MinHash values in `BANDS` bands of `ROWS`: paragraphs with an equal
 band are candidates, confirmed by exact Jaccard similarity of the full sets (edit distance is the alternative check).
 Components of links are classes of repeats; of each class the paragraph that comes first (by document, then place)
 stays and the others are to be removed.
@@ -43,7 +43,7 @@ def spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return text, start, end
 
 
-def _features(min_words: int):
+def _features(min_words: int, joined: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in by_bytes(whole, "body", SLICE):
@@ -56,6 +56,13 @@ def _features(min_words: int):
                 edge = np.concatenate(([0], np.cumsum(end - start)))
                 own = data[np.repeat(start - edge[:-1], end - start) + np.arange(edge[-1])]
                 _, at = words(own, edge)
+                if joined and len(text):
+                    short = np.diff(at) < min_words
+                    first = np.flatnonzero(np.append(True, ~(short[1:] & short[:-1]) | (text[1:] != text[:-1])))
+                    text, start, place, end = text[first], start[first], place[first], end[np.append(first[1:], len(end)) - 1]
+                    edge = np.concatenate(([0], np.cumsum(end - start)))
+                    own = data[np.repeat(start - edge[:-1], end - start) + np.arange(edge[-1])]
+                    _, at = words(own, edge)
                 long = np.flatnonzero(np.diff(at) >= min_words)
                 size = (end - start)[long]
                 kept = np.concatenate(([0], np.cumsum(size)))
@@ -87,12 +94,15 @@ def _features(min_words: int):
     return run
 
 
-def repeats(docs: DataFrame, threshold: int = 80, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph that has a repeat: id, para (number of the line among the text's non-empty lines), start
-    and size (bytes of the text), keep_id and keep_para (the one that stays), class_size, removed."""
+def repeats(
+    docs: DataFrame, threshold: int = 80, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", joined: bool = False
+) -> DataFrame:
+    """One row per paragraph that has a repeat: id, para (number of the line, or of the first of joined lines, among the
+    text's non-empty lines), start and size (bytes of the text), keep_id and keep_para (the one that stays), class_size,
+    removed. joined: consecutive shorter lines are one paragraph."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), filled(F.col(text_col)).alias("body"))
     # numbers are fixed by the checkpoint
-    paras = cut(rows.mapInArrow(_features(min_words), SCHEMA).withColumn("pid", F.monotonically_increasing_id()))
+    paras = cut(rows.mapInArrow(_features(min_words, joined), SCHEMA).withColumn("pid", F.monotonically_increasing_id()))
     reps = paras.groupBy("print").agg(F.min("pid").alias("rep"), F.count("*").alias("copies"))
     member = cut(paras.join(reps, "print").select("pid", "rep", "copies", "id", "para", "start", "size"))
     own = paras.join(member.filter("pid = rep").select("pid"), "pid", "left_semi")

@@ -51,7 +51,7 @@ def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeats(table(spark, sf_dir, "documents")).withColumnRenamed("keep_id", "keep_doc_id")
+    return paragraphs.repeats(table(spark, sf_dir, "documents"), joined=True).withColumnRenamed("keep_id", "keep_doc_id")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
