@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compaction, exact_dedup, langid, lsh_forest, media, mixing, paragraphs, subword, token_file, warc
+from . import compaction, exact_dedup, langid, lsh_forest, media, mixing, passages, subword, token_file, warc
 from .common import scratch, table
 
 
@@ -51,7 +51,7 @@ def op4_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeats(table(spark, sf_dir, "documents"), joined=True).withColumnRenamed("keep_id", "keep_doc_id")
+    return passages.repeats(table(spark, sf_dir, "documents")).withColumnRenamed("keep_id", "keep_doc_id")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

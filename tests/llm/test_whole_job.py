@@ -1,10 +1,11 @@
 """Parts of the operators' jobs that a review found missing."""
 
 import random
+from collections import defaultdict
 
-from crosscut.llm import queries
+from crosscut.llm import passages, queries
 
-from .test_operators import SCHEMA, words
+from .test_operators import SCHEMA, lowered, odd_rows, words
 
 
 def registered(spark, tmp_path, name, rows, schema=SCHEMA, of="documents"):
@@ -19,3 +20,41 @@ def test_short_lines_join_to_paragraphs(spark, tmp_path):
     rows = registered(spark, tmp_path, "op5_paragraph_dedup", [(i, t, "en", "s", "x", 1) for i, t in enumerate(texts)])
     assert sorted((r.doc_id, r.para, r.keep_doc_id, r.keep_para, r.class_size, r.removed) for r in rows) == [(0, 0, 0, 0, 2, False), (1, 1, 0, 0, 2, True)]
     assert all(texts[r.doc_id].encode()[r.start : r.start + r.size].split() == " ".join(lines).encode().split() for r in rows)
+
+
+def test_passages_against_all_windows(spark):
+    rng = random.Random(8)
+    shared = [words(n, rng) for n in (51, 50, 60, 140)]
+    rows = odd_rows(40)
+    for i, p in enumerate([*shared, *shared, shared[2].upper(), shared[3].replace(" ", "\n")]):
+        rows.append((1000 + i, words(40, rng) + " " + p + "\r\n" + words(40, rng), "en", "s", "x", 1))
+    text = {r[0]: r[1] or "" for r in rows}
+    places = defaultdict(list)
+    for i, t in sorted(text.items()):
+        w = lowered(t)
+        for s in range(len(w) - passages.SPAN + 1):
+            places[tuple(w[s : s + passages.SPAN])].append((i, s))
+    want, gone = defaultdict(set), defaultdict(set)
+    for found in places.values():
+        for n, (i, s) in enumerate(found if len(found) > 1 else []):
+            want[i].update(range(s, s + passages.SPAN))
+            if n and i != found[0][0]:
+                gone[i].update(range(s, s + passages.SPAN))
+    got, removed = defaultdict(set), defaultdict(set)
+    for r in passages.passages(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect():
+        raw = text[r.doc_id].encode()
+        before, span = len(raw[: r.start].split()), len(raw[r.start : r.start + r.size].split())
+        got[r.doc_id].update(range(before, before + span))
+        if r.removed and r.keep_id != r.doc_id:
+            removed[r.doc_id].update(range(before, before + span))
+        assert r.para == max(0, len([x for x in raw[: r.start + 1].replace(b"\r", b"\n").split(b"\n") if x]) - 1)
+    assert got == want and removed == gone and {1005, 1001}.isdisjoint(got) and {1004, 1008, 1009} <= set(removed)
+
+
+def test_passage_within_longer_lines(spark, tmp_path):
+    rng = random.Random(9)
+    p = words(60, rng)
+    texts = [words(90, rng) + " " + p + " " + words(90, rng), words(70, rng) + " " + p.replace(" ", "\n", 1) + " " + words(99, rng), words(200, rng)]
+    rows = registered(spark, tmp_path, "op5_paragraph_dedup", [(i, t, "en", "s", "x", 1) for i, t in enumerate(texts)])
+    found = {(r.doc_id, r.keep_doc_id, r.removed): texts[r.doc_id].encode()[r.start : r.start + r.size].decode().split() for r in rows}
+    assert found == {(0, 0, False): p.split(), (1, 0, True): p.split()}
