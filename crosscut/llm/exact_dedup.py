@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_RUN, anti, filled
+from .common import BROADCAST_IDS, SPACE_RUN, cut, filled
 
 #: Bytes of labels that one partition's trie holds before it spills.
 SPILL_BYTES = 96 << 20
@@ -192,5 +192,17 @@ def exact_dedup(
 
 
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
-    return anti(docs, exact_dedup(docs, id_col, text_col).filter(~F.col("kept")), id_col)
+    """The documents that stay, with all their columns: each row by its own decision, and one of those that repeat an id
+    and its text."""
+    own = exact_dedup(docs, id_col, text_col).filter("group_size > 1")
+    own = cut(own.select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_sha"), "kept"))
+    twins = own.filter("kept").groupBy("_id", "_sha").count().filter("count > 1").select("_id", "_sha")
+    marks = cut(own.filter("not kept").select("_id", "_sha").distinct().unionByName(twins))
+    few = marks.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4
+    sha = F.unhex(F.sha2(F.regexp_replace(filled(F.col(text_col)), SPACE_RUN, " "), 256))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    out = docs.join(F.broadcast(marks) if few else marks, same, "left_anti")
+    if twins.take(1):
+        one = docs.join(twins, same, "left_semi").withColumn("_sha", sha).dropDuplicates([id_col, "_sha"])
+        out = out.unionByName(one.drop("_sha"))
+    return out.select(*docs.columns)

@@ -3,7 +3,7 @@
 import random
 from collections import defaultdict
 
-from crosscut.llm import passages, queries
+from crosscut.llm import exact_dedup, passages, queries
 
 from .test_operators import SCHEMA, lowered, odd_rows, words
 
@@ -58,3 +58,11 @@ def test_passage_within_longer_lines(spark, tmp_path):
     rows = registered(spark, tmp_path, "op5_paragraph_dedup", [(i, t, "en", "s", "x", 1) for i, t in enumerate(texts)])
     found = {(r.doc_id, r.keep_doc_id, r.removed): texts[r.doc_id].encode()[r.start : r.start + r.size].decode().split() for r in rows}
     assert found == {(0, 0, False): p.split(), (1, 0, True): p.split()}
+
+
+def test_drop_exact_decides_by_row(spark):
+    rows = [(3, "one text"), (5, "one  text"), (5, "alone"), (None, "one text"), (None, None), (7, "twin"), (7, "twin"), (9, "twin"), (None, "b"), (None, "b")]
+    df = spark.createDataFrame([(i, t, "en", "s", "x", 1) for i, t in rows], SCHEMA).repartition(3)
+    kept = exact_dedup.drop_exact(df)
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, "b"), (3, "one text"), (5, "alone"), (7, "twin")]
+    assert kept.columns == df.columns
