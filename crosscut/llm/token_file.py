@@ -1,22 +1,30 @@
 """Token-id files coded by adaptive context mixing and a range coder, in independent blocks.
 
-Ids are coded in blocks of `BLOCK` ids that are reset and checksummed each. A coding step mixes three predictions of
-the next id: order 2 (the id that last followed the previous two), order 1 (the id that last followed the previous one)
-and order 0 (an adaptive distribution of the id's size class in the block). The share of each prediction in the coding
-interval follows how often it was right lately in the block. A 64-bit carry-less range coder codes the mixed decision,
-and the place within a class as a second, uniform step.
+A segment's header lists its distinct ids with their frequencies (in steps of a third of a power of two) and, for frequent
+ids with a clear successor, that successor. Ids are ranked by frequency; ranks fall into classes by powers of two. Each
+block of `BLOCK` ids starts from the header's statistics anew, adapts to its own ids and has its own checksum. A coding
+step mixes three predictions of the next id:
+
+* order 2: the id that last followed the previous two in the block;
+* order 1: the id that last followed the previous one in the block, or else the header's successor of it;
+* order 0: the class by an adaptive distribution of the block, and the id within its class by the header's frequencies.
+
+The shares of orders 2 and 1 are learned weights: how often each was right lately in the block. A 64-bit carry-less range
+coder codes the mixed decision, and the place within a class as a second step.
 
 Blocks are coded in lockstep: step k codes id k of every block of a group, so the state of a block (its two context
 tables, distribution and coder) is one lane of numpy arrays. A segment holds whole documents, so each can be read
 alone; its header has the ids and lengths of the documents, and each block its length and crc32.
 
 Files are Parquet containers with one segment a row, in ascending order of document and partition, so that any store
-that Spark writes to will do. Encoding splits texts into the tokenizer's own pre-tokens, each of which the tokenizers
-library encodes once per worker; texts for which this split isn't plainly the same go to the library whole.
+that Spark writes to will do. Encoding finds the tokenizer's own pre-tokens on the bytes of many texts at once; the
+tokenizers library encodes each distinct one once per worker while it stays in the worker's cache. Words with characters
+other than ASCII and U+00C0 to U+00FF go to the library up to their white space, and texts with a special token's mark
+go to it whole.
 
 Defined results: a null or empty text is the end id alone; repeated document ids keep any order among each other;
 documents with a null id come first; an empty table writes no segment; other columns are ignored; damaged segments
-raise an error that names the block.
+raise an error that names the block; ids may be any unsigned 32-bit integers under 2**32 - 1.
 """
 
 from __future__ import annotations
@@ -24,7 +32,6 @@ from __future__ import annotations
 import os
 import re
 import struct
-import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -37,45 +44,119 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, filled, scratch
+from .common import by_bytes, filled, flat, mix64, scratch
 
-BLOCK = 512
-GROUP = 8192  # blocks in lockstep
+BLOCK = 1024
+GROUP = 4096  # blocks in lockstep
 SEGMENT = BLOCK * GROUP
-SLICE = 4 << 20
-MAGIC = b"CMR1"
-ONE, TWO = 64, 128  # cells of the context tables of a block
-CLASSES, BITS, STEP = 17, 14, 24  # size classes; their distribution sums to 2**BITS, each has at least about STEP / 3
+SLICE = 2 << 20
+MAGIC = b"CMR2"
+ONE, TWO = 128, 256  # cells of the context tables of a block
+BITS, STEP, RATE = 14, 24, 5  # the classes' distribution sums to 2**BITS, each has at least about STEP / 3
 TOTAL = 20  # bits of a mixed decision
+SURE, DOUBT = 943_718, 1 << 10  # an order that was always right gets 0.9 of 2**TOTAL
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)  # a span of BOTTOM outlasts a decision and a place
 U16, U48 = np.uint64(16), np.uint64(48)
-#: Of an id + 1: its number of bits, less 1.
-CLASS = (np.frexp(np.arange(1 << CLASSES) * 1.0)[1] - 1).astype(np.int16)
+#: Steps of the stored frequencies, as thousandths of a power of two.
+THIRDS = np.array([1000, 1260, 1587])
+#: A successor is stored for ids seen so often, if it follows so large a share of them.
+FOLLOWED, CLEAR = 8, 0.25
+DENSE = 1 << 22  # ids under it are counted in an array
+
+
+class _Prior:
+    """Ranks, frequencies and successors of a segment's ids; equal on both sides, as it's computed from the header."""
+
+    def __init__(self, ids: np.ndarray, level: np.ndarray, follow: np.ndarray) -> None:
+        """ids: distinct, ascending; level: of each one's frequency; follow: rank + 1 of each rank's successor, or 0."""
+        n = len(ids)
+        order = np.lexsort((ids, -level.astype(np.int64)))
+        self.ids, self.level, self.follow = ids, level, np.append(0, follow).astype(np.int32)
+        self.by_rank = ids[order]
+        self.rank = np.zeros(n, np.int64)
+        self.rank[order] = np.arange(n)
+        weight = THIRDS[level[order] % 3] << (level[order].astype(np.int64) // 3)
+        self.classes = max(1, n.bit_length())
+        first = np.minimum((1 << np.arange(self.classes + 1)) - 1, n)
+        size = np.diff(first)
+        self.bits = max(16, int(size.max(initial=1)).bit_length() + 1)
+        run = np.concatenate(([0], np.cumsum(weight)))
+        mass = np.maximum(run[first[1:]] - run[first[:-1]], 1)
+        cls = np.repeat(np.arange(self.classes), size)
+        self.width = 1 + weight * ((1 << self.bits) - size[cls]) // mass[cls] if n else np.zeros(0, np.int64)
+        ends = np.concatenate(([0], np.cumsum(self.width)))
+        left = (1 << self.bits) - (ends[first[1:]] - ends[first[:-1]])
+        self.width[first[:-1][size > 0]] += left[size > 0]
+        ends = np.concatenate(([0], np.cumsum(self.width)))
+        self.low = ends[:-1] - ends[first[:-1]][cls] if n else self.width
+        self.ends = ends[1:]  # class c has the places from c << bits on
+        share = np.concatenate(([0], np.cumsum(mass * size.astype(bool))))
+        room = (1 << BITS) - self.classes * STEP
+        self.cdf = share * room // max(int(share[-1]), 1) + np.arange(self.classes + 1) * STEP
+        self.cdf[-1] = 1 << BITS
+        # of a rank + 1: its number of bits, less 1
+        self.cls = (np.frexp(np.arange(n + 2) * 1.0)[1] - 1).astype(np.int16)
+
+    @classmethod
+    def of(cls, ids: np.ndarray) -> tuple[_Prior, np.ndarray]:
+        """The prior of a segment, and the ranks of its ids."""
+        if len(ids) and int(ids.max()) < DENSE:
+            count = np.bincount(ids)
+            names = np.flatnonzero(count)
+            where, count = (np.cumsum(count > 0) - 1)[ids], count[names]
+        else:
+            names, where, count = np.unique(ids, return_inverse=True, return_counts=True)
+        level = np.round(3 * np.log2(np.maximum(count, 1))).astype(np.uint8)
+        bare = cls(names, level, np.zeros(len(names), np.int32))
+        ranks = bare.rank[where] if len(ids) else np.zeros(0, np.int64)
+        follow = np.zeros(len(names), np.int64)
+        if len(ids) > 1:
+            pair, times = np.unique(ranks[:-1] << 32 | ranks[1:], return_counts=True)
+            seen = np.zeros(len(names), np.int64)
+            seen[bare.rank] = count
+            before = pair >> 32
+            good = np.flatnonzero((seen[before] >= FOLLOWED) & (times >= CLEAR * seen[before]))
+            good = good[np.argsort(times[good], kind="stable")]
+            follow[before[good]] = (pair[good] & 0xFFFFFFFF) + 1
+        return cls(names, level, follow), ranks
+
+    def pack(self) -> bytes:
+        n = len(self.ids)
+        steps = np.diff(self.ids, prepend=0).astype("<u4")
+        return struct.pack("<I", n) + steps.tobytes() + self.level.tobytes() + self.follow[1:].astype("<u4").tobytes()
+
+    @classmethod
+    def unpack(cls, raw: bytes) -> _Prior:
+        n = struct.unpack("<I", raw[:4])[0]
+        ids = np.cumsum(np.frombuffer(raw, "<u4", n, 4).astype(np.int64))
+        return cls(ids, np.frombuffer(raw, np.uint8, n, 4 + 4 * n), np.frombuffer(raw, "<u4", n, 4 + 5 * n).astype(np.int32))
 
 
 class _Model:
     """The predictions of all lanes."""
 
-    def __init__(self, lanes: int) -> None:
-        self.lane = np.arange(lanes, dtype=np.int32)
+    def __init__(self, lanes: int, prior: _Prior) -> None:
+        self.lane, self.follow, n = np.arange(lanes, dtype=np.int32), prior.follow, prior.classes
         self.one, self.two = np.zeros(lanes * ONE, np.int32), np.zeros(lanes * TWO, np.int32)
         self.base1, self.base2 = self.lane * np.int32(ONE), self.lane * np.int32(TWO)
-        even = (np.arange(CLASSES + 1) << BITS) // CLASSES
-        self.cdf = np.repeat(even[:, None], lanes, 1).astype(np.int16)
+        self.cdf = np.repeat(prior.cdf[:, None], lanes, 1).astype(np.int16)
         self.flat = self.cdf.reshape(-1)
-        self.rows = np.arange(1, CLASSES, dtype=np.int16)[:, None]
+        self.rows = np.arange(1, n, dtype=np.int16)[:, None]
         self.low = (self.rows * STEP).astype(np.int16)
-        self.hit1, self.hit2 = np.full(lanes, 1 << 15, np.int32), np.full(lanes, 1 << 16, np.int32)  # of 2**TOTAL
+        self.room = np.int16((1 << BITS) - n * STEP)
+        self.hit1, self.hit2 = np.full(lanes, 1 << 18, np.int32), np.full(lanes, 1 << 17, np.int32)  # of 2**TOTAL
         self.before, self.last = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
 
     def predict(self) -> None:
-        """Sets the ids + 1 that order 2 and order 1 predict (0: none) and the shares of the three orders."""
+        """Sets the ranks + 1 that order 2 and order 1 predict (0: none) and the shares of the three orders."""
         h = self.last * np.int32(40503)
         self.i1 = self.base1 + (h >> 4 & ONE - 1)
         self.i2 = self.base2 + ((h ^ self.before * np.int32(60493)) >> 5 & TWO - 1)
         self.p2, self.p1 = self.two.take(self.i2), self.one.take(self.i1)
+        new = np.flatnonzero(self.p1 == 0)
+        self.p1[new] = self.follow.take(self.last.take(new))
         self.w2 = self.hit2 * (self.p2 > 0)
-        self.w1 = self.hit1 * ((self.p1 > 0) & (self.p1 != self.p2)) >> (self.w2 > 1 << 19)
+        self.w1 = (self.hit1 >> 10) * ((1 << TOTAL) - self.w2 >> 10) * ((self.p1 > 0) & (self.p1 != self.p2))
         self.w12 = self.w2 + self.w1
         self.rest = (1 << TOTAL) - self.w12
 
@@ -86,42 +167,45 @@ class _Model:
         lo = self.flat.take(at) * rest >> BITS
         return lo, (self.flat.take(at + len(self.lane)) * rest >> BITS) - lo
 
-    def update(self, next_id: np.ndarray, cls: np.ndarray) -> None:
+    def update(self, coded: np.ndarray, cls: np.ndarray) -> None:
         for h, p in ((self.hit2, self.p2), (self.hit1, self.p1)):
-            h += ((p == next_id) * np.int32((1 << 19) - (1 << 14)) + (1 << 10) - h >> 4) * (p > 0)
+            h += ((p == coded) * np.int32(SURE) + DOUBT - h >> 4) * (p > 0)
         c = self.cdf[1:-1]
-        step = (self.rows > cls) * np.int16((1 << BITS) - CLASSES * STEP)
+        step = (self.rows > cls) * self.room
         step += self.low
         step -= c
-        step >>= 4
+        step >>= RATE
         c += step
-        self.one[self.i1] = self.two[self.i2] = next_id
-        self.before, self.last = self.last, next_id
+        self.one[self.i1] = self.two[self.i2] = coded
+        self.before, self.last = self.last, coded
 
 
-def _encode_group(grid: np.ndarray) -> list[bytes]:
-    """grid: ids, steps x lanes. The code of each lane."""
+def _encode_group(grid: np.ndarray, prior: _Prior) -> list[bytes]:
+    """grid: ranks, steps x lanes. The code of each lane."""
     steps, n = grid.shape
-    m = _Model(n)
+    m = _Model(n, prior)
     low, span = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0), np.uint64)
     out = np.zeros((n, 3 * steps + 8), np.uint16)
     cells, at = out.reshape(-1), np.arange(n) * out.shape[1]
-    grid = (grid + 1).astype(np.int32)
-    classes = CLASS.take(grid)
+    bits, start, width_of = np.uint64(prior.bits), prior.low.astype(np.uint64), prior.width.astype(np.uint64)
+    coded = (grid + 1).astype(np.int32)
+    classes = prior.cls.take(coded)
     for k in range(steps):
-        x, cls = grid[k], classes[k]
+        x, cls = coded[k], classes[k]
         m.predict()
         is2 = m.p2 == x
         is1 = (m.p1 == x) & (m.w1 > 0)
         miss = ~(is2 | is1)
-        wide = cls.astype(np.int32)
-        lo, width = m.within(wide)
+        lo, width = m.within(cls.astype(np.int32))
         span >>= np.uint64(TOTAL)
         low += span * np.where(miss, m.w12 + lo, m.w2 * is1).astype(np.uint64)
         span *= np.where(miss, width, np.where(is2, m.w2, m.w1)).astype(np.uint64)
-        wide *= miss
-        span >>= wide.astype(np.uint64)
-        low += span * ((x - (np.int32(1) << wide)) * miss).astype(np.uint64)
+        # the place within the class: all of it where orders 1 and 2 were right
+        i = np.flatnonzero(miss)
+        r = grid[k].take(i)
+        unit = span[i] >> bits
+        low[i] += unit * start.take(r)
+        span[i] = unit * width_of.take(r)
         at_once, idx = True, None
         while True:
             lo_, sp_ = (low, span) if at_once else (low[idx], span[idx])
@@ -153,19 +237,20 @@ def _encode_group(grid: np.ndarray) -> list[bytes]:
     return [big[i, : used[i]].tobytes() for i in range(n)]
 
 
-def _decode_group(codes: list[bytes], steps: int) -> np.ndarray:
+def _decode_group(codes: list[bytes], steps: int, prior: _Prior) -> np.ndarray:
     """The grid that _encode_group coded."""
     n = len(codes)
     sizes = np.array([len(c) // 2 for c in codes])
     cells = np.frombuffer(b"".join(codes) + bytes(8), ">u2").astype(np.uint64)
     at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    m = _Model(n)
+    m = _Model(n, prior)
     low, span, code = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0), np.uint64), np.zeros(n, np.uint64)
     for _ in range(4):
         code = code << U16 | cells.take(at, mode="clip")
         at += 1
+    bits, start, width_of = np.uint64(prior.bits), prior.low.astype(np.uint64), prior.width.astype(np.uint64)
     grid = np.zeros((steps, n), np.int32)
-    most = np.uint64((1 << TOTAL) - 1)
+    most, last_place, last_rank = np.uint64((1 << TOTAL) - 1), np.uint64((1 << prior.bits) - 1), len(prior.by_rank) - 1
     for k in range(steps):
         m.predict()
         span >>= np.uint64(TOTAL)
@@ -177,12 +262,14 @@ def _decode_group(codes: list[bytes], steps: int) -> np.ndarray:
         lo, width = m.within(cls)
         low += span * np.where(miss, m.w12 + lo, m.w2 * ~is2).astype(np.uint64)
         span *= np.where(miss, width, np.where(is2, m.w2, m.w1)).astype(np.uint64)
-        cls *= miss
-        span >>= cls.astype(np.uint64)
-        first = np.int32(1) << cls
-        u = np.minimum((code - low) // span, (first - 1).astype(np.uint64))
-        low += span * u
-        x = np.where(miss, first + u.astype(np.int32), np.where(is2, m.p2, m.p1))
+        x = np.where(is2, m.p2, m.p1)
+        i = np.flatnonzero(miss)
+        unit = span[i] >> bits
+        place = np.minimum((code[i] - low[i]) // unit, last_place).astype(np.int64)
+        r = np.minimum(np.searchsorted(prior.ends, place + (cls[i].astype(np.int64) << prior.bits), "right"), last_rank)
+        x[i] = r + 1
+        low[i] += unit * start.take(r)
+        span[i] = unit * width_of.take(r)
         at_once, idx = True, None
         while True:
             lo_, sp_ = (low, span) if at_once else (low[idx], span[idx])
@@ -207,23 +294,24 @@ def _decode_group(codes: list[bytes], steps: int) -> np.ndarray:
             at[idx] += 1
             low[idx], span[idx] = lo_ << U16, sp_ << U16
         grid[k] = x
-        m.update(x, CLASS.take(x, mode="clip"))
+        m.update(x, prior.cls.take(x, mode="clip"))
     return grid - 1
 
 
 def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
     """A segment: header, then the code of each block."""
     n = len(ids)
-    if n and (ids.min() < 0 or ids.max() + 1 >= 1 << CLASSES):
-        raise ValueError(f"ids must be under {(1 << CLASSES) - 1}")
+    if n and (ids.min() < 0 or ids.max() >= (1 << 32) - 1):
+        raise ValueError("ids must be unsigned 32-bit integers under 2**32 - 1")
+    prior, ranks = _Prior.of(ids)
     blocks = -(-n // BLOCK)
     padded = np.zeros(blocks * BLOCK, np.int64)
-    padded[:n] = ids
+    padded[:n] = ranks
     codes: list[bytes] = []
     for g in range(0, blocks, GROUP):
         part = padded[g * BLOCK : (g + GROUP) * BLOCK].reshape(-1, BLOCK)
         steps = BLOCK if blocks > 1 else n
-        codes += _encode_group(np.ascontiguousarray(part[:, :steps].T))
+        codes += _encode_group(np.ascontiguousarray(part[:, :steps].T), prior)
     le = ids.astype("<u4")
     sums = [zlib.crc32(le[i * BLOCK : (i + 1) * BLOCK].tobytes()) for i in range(blocks)]
     head = zlib.compress(
@@ -231,7 +319,8 @@ def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes
         + np.array([d or 0 for d in doc_ids], "<i8").tobytes()
         + np.asarray(sizes, "<i8").tobytes()
         + np.array([len(c) for c in codes], "<u4").tobytes()
-        + np.array(sums, "<u4").tobytes(),
+        + np.array(sums, "<u4").tobytes()
+        + prior.pack(),
         1,
     )
     return MAGIC + struct.pack("<IIQII", len(doc_ids), blocks, n, len(head), zlib.crc32(head)) + head + b"".join(codes)
@@ -249,13 +338,14 @@ def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     sizes = np.frombuffer(head, "<i8", docs, 9 * docs).astype(np.int64)
     lengths = np.frombuffer(head, "<u4", blocks, 17 * docs).astype(np.int64)
     sums = np.frombuffer(head, "<u4", blocks, 17 * docs + 4 * blocks)
+    prior = _Prior.unpack(head[17 * docs + 8 * blocks :])
     ends = np.cumsum(lengths) + 28 + size
     out = np.zeros(blocks * BLOCK, np.int64)
     for g in range(0, blocks, GROUP):
         codes = [segment[e - k : e] for e, k in zip(ends[g : g + GROUP], lengths[g : g + GROUP], strict=True)]
-        grid = _decode_group(codes, BLOCK if blocks > 1 else n)
+        grid = _decode_group(codes, BLOCK if blocks > 1 else n, prior)
         part = out[g * BLOCK : (g + GROUP) * BLOCK].reshape(-1, BLOCK)
-        part[:, : len(grid)] = grid.T
+        part[:, : len(grid)] = prior.by_rank[grid.T]
     out = out[:n]
     le = out.astype("<u4")
     for i in range(blocks):
@@ -266,76 +356,185 @@ def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 # ---- encoding texts
 
-_KIND = {k: "".join(re.escape(chr(i)) for i in range(256) if unicodedata.category(chr(i))[0] == k) for k in "LN"}
-# The pre-tokens of the tokenizer's own split pattern, here for the first 256 code points.
-_SPLIT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{_KIND['L']}]+|[{_KIND['N']}]|[^\t-\r \x85\xa0{_KIND['L']}{_KIND['N']}]+")
-_WIDE = re.compile("[^\x00-\xff]")
-_SPACE = re.compile("[\t-\r ]+")
+SPACE, LETTER, DIGIT, OTHER = range(4)
+_KIND = np.full(256, OTHER, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = SPACE
+_KIND[48:58] = DIGIT
+_KIND[65:91] = _KIND[97:123] = _KIND[128:] = LETTER
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+LATIN = 0xC3  # the first byte of U+00C0 to U+00FF
+_WIDE = re.compile(b"[\x80-\xff](?<!\xc3)(?<!\xc3.)", re.S)
+# The characters that byte-level vocabularies write for bytes; the space between words stays.
+_AS_IS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_MAPPED = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_AS_IS))) if b != 0x20}
+_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
+_ODD = 0x9E3779B97F4A7C15
+#: Distinct words that a worker's cache holds; beyond it the half that was used longest ago goes.
 CACHE = 600_000
+JOINED = 1000  # words that the library gets as one text
+
+
+@lru_cache(maxsize=1)
+def _powers(log: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2**log powers of an odd number and of its inverse."""
+    up = np.cumprod(np.full(1 << log, np.uint64(_ODD)))
+    return up, np.cumprod(np.full(1 << log, np.uint64(pow(_ODD, -1, 1 << 64))))
+
+
+def pre_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts without marks: the bytes without white space (lower-cased but for words that stay whole), where each
+    pre-token begins in them, and the first pre-token of each text (n + 1)."""
+    n = len(data)
+    kind, low = _KIND[data], _FOLD[data]
+    high = data >= 128
+    if len(pair := np.flatnonzero(data == LATIN)):
+        high[pair] = high[pair + 1] = False
+        second = data[pair + 1]
+        sign = (second == 0x97) | (second == 0xB7)
+        kind[pair[sign]] = kind[pair[sign] + 1] = OTHER
+        up = pair[(second <= 0x9E) & ~sign]
+        low[up + 1] += 32
+    edge = np.zeros(n + 1, bool)
+    edge[offs[:-1]] = True
+    edge = edge[:n]
+    before = np.empty(n, np.uint8)
+    before[1:] = kind[:-1]
+    before[edge] = SPACE
+    begin = (kind != SPACE) & ((kind != before) | (kind == DIGIT))
+    # 's 't 'm 'd 're 've 'll where an apostrophe begins a run of others
+    quote = np.flatnonzero((data == 39) & (before != OTHER))
+    quote = quote[quote + 1 < n]
+    one = low[quote + 1]
+    two = low[np.minimum(quote + 2, n - 1)]
+    inside2 = (quote + 2 < n) & ~edge[np.minimum(quote + 2, n - 1)]
+    size = np.where(np.isin(one, (115, 116, 109, 100)), 2, 0)
+    size[inside2 & ((two == 101) & ((one == 114) | (one == 118)) | (one == 108) & (two == 108))] = 3
+    size[edge[quote + 1]] = 0
+    quote, size = quote[size > 0], size[size > 0]
+    begin[quote + 1] = False
+    after = (quote + size)[quote + size < n]
+    begin[after[(kind[after] == LETTER) & ~edge[after]]] = True
+    inner = kind != SPACE
+    if high.any():  # words with such bytes stay whole and as they are
+        word = np.cumsum(inner & (before == SPACE)) - 1
+        wide = np.zeros(max(int(word[-1]) + 1, 1), bool)
+        wide[word[high]] = True
+        own = np.flatnonzero(wide[np.maximum(word, 0)] & inner)
+        begin[own] = before[own] == SPACE
+        low[own] = data[own]
+    tokens = np.concatenate(([0], np.cumsum(begin)))
+    place = np.concatenate(([0], np.cumsum(inner)))
+    return low[inner], place[np.flatnonzero(begin)], tokens[offs]
 
 
 class Encoder:
     """Ids of texts by the tokenizers library, with each distinct pre-token encoded once."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache: int = CACHE) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok = Tokenizer.from_file(path)
-        # for pre-tokens of lower-cased text: what normalises and splits does nothing more to them
+        self.tok, self.cache = Tokenizer.from_file(path), cache
+        # for pre-tokens whose bytes are mapped to characters here, so that nothing normalises or splits them again
         self.bare = Tokenizer.from_file(path)
-        self.bare.normalizer = None
-        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.marks = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self._reset()
-
-    def _reset(self) -> None:
-        self.index: dict[str, int] = {}
-        self.start, self.size, self.flat = array("q"), array("q"), array("i")
-
-    def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if self._plain(w)]
-        for tok, words in ((self.bare, plain), (self.tok, [w for w in new if not self._plain(w)])):
-            for word, enc in zip(words, tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
-                ids = enc.ids
-                self.index[word] = len(self.start)
-                self.start.append(len(self.flat))
-                self.size.append(len(ids))
-                self.flat.extend(ids)
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        vocab, suffix = self.bare.get_vocab(), getattr(self.bare.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # of ids, whether a word ends there
+        self.ends[[i for piece, i in vocab.items() if suffix and piece.endswith(suffix)]] = True
+        self.marks = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
+        self.index: dict[bytes, int] = {}
+        self.start, self.size, self.ids, self.used, self.now = array("q"), array("q"), array("q"), array("q"), 0
+
+    def _learn(self, new: list[bytes]) -> None:
+        plain, other = [], []
+        for w in new:
+            (other if _WIDE.search(w) else plain).append(w)
+        # many words are one text for the library; its ids tell where each word ends
+        texts = [b" ".join(plain[i : i + JOINED]).decode("latin-1").translate(_MAPPED) for i in range(0, len(plain), JOINED)]
+        found = [e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.array(list(chain.from_iterable(found)), np.int64)
+        stop = np.flatnonzero(self.ends[ids]) + 1
+        if len(stop) == len(plain) and len(ids) == (stop[-1] if len(stop) else 0):
+            self._add(plain, np.diff(stop, prepend=0), ids)
+        else:
+            other = new
+        found = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]
+        self._add(other, np.array([len(x) for x in found], np.int64), np.array(list(chain.from_iterable(found)), np.int64))
+
+    def _add(self, words: list[bytes], size: np.ndarray, ids: np.ndarray) -> None:
+        n = len(self.start)
+        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+        self.start.frombytes((np.cumsum(size) - size + len(self.ids)).tobytes())
+        self.size.frombytes(size.tobytes())
+        self.ids.frombytes(ids.tobytes())
+        self.used.extend([self.now] * len(words))
+
+    def _forget(self) -> None:
+        """Keeps the words used last."""
+        used, start, size, ids = (np.array(x) for x in (self.used, self.start, self.size, self.ids))
+        keep = np.sort(np.argsort(-used, kind="stable")[: self.cache // 2])
+        run = np.concatenate(([0], np.cumsum(size[keep])))
+        at = np.repeat(start[keep] - run[:-1], size[keep]) + np.arange(run[-1])
+        new = np.full(len(used), -1)
+        new[keep] = np.arange(len(keep))
+        new = new.tolist()
+        self.index = {w: new[i] for w, i in self.index.items() if new[i] >= 0}
+        self.start, self.size, self.ids, self.used = (array("q", x.tobytes()) for x in (run[:-1], size[keep], ids[at], used[keep]))
+
+    def encode(self, data: np.ndarray, offs: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (UTF-8, one after the other), each followed by the end id, and how many each has."""
+        raw = data.tobytes()
+        marked = sorted({i for m in self.marks for i in self._rows_with(raw, m, offs)})
+        if not marked:
+            return self._encode(data, offs, end)
+        ids, counts, at = [], [], 0
+        for i in [*marked, len(offs) - 1]:
+            if i > at:
+                x, n = self._encode(data[offs[at] : offs[i]], offs[at : i + 1] - offs[at], end)
+                ids.append(x)
+                counts.append(n)
+            if i < len(offs) - 1:
+                whole = self.tok.encode(raw[offs[i] : offs[i + 1]].decode(), add_special_tokens=False).ids
+                ids.append(np.array(whole + [end] * (end is not None), np.int64))
+                counts.append(np.array([len(ids[-1])]))
+            at = i + 1
+        return np.concatenate(ids), np.concatenate(counts)
 
     @staticmethod
-    def _plain(word: str) -> bool:
-        return not _WIDE.search(word) and _SPLIT.fullmatch(word) is not None
-
-    def _parts(self, text: str) -> list[str]:
-        if any(m in text for m in self.marks):
-            return [text]
-        if text.isascii() or not _WIDE.search(text):
-            return _SPLIT.findall(text.lower())
-        out: list[str] = []
-        for word in _SPACE.split(text):  # no pre-token crosses white space
-            if _WIDE.search(word):
-                out.append(word)
-            else:
-                out += _SPLIT.findall(word.lower())
-        return out
-
-    def encode(self, texts: list[str], end: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each followed by the end id, and how many each has."""
-        if len(self.index) > CACHE:
-            self._reset()
-        parts = [self._parts(t) for t in texts]
-        found = list(map(self.index.get, chain.from_iterable(parts)))
-        if None in found:
-            self._learn(list({w for w, k in zip(chain.from_iterable(parts), found, strict=True) if k is None}))
-            found = list(map(self.index.get, chain.from_iterable(parts)))
-        counts = np.array([len(p) for p in parts], np.int64)
-        at = np.array(found, np.int64)
-        size, start = np.frombuffer(self.size, np.int64)[at] if len(at) else at, np.frombuffer(self.start, np.int64)[at] if len(at) else at
-        flat = np.frombuffer(self.flat, np.int32) if len(self.flat) else np.zeros(0, np.int32)
+    def _rows_with(raw: bytes, mark: bytes, offs: np.ndarray) -> Iterator[int]:
+        at = raw.find(mark)
+        while at >= 0:
+            yield int(np.searchsorted(offs, at, "right")) - 1
+            at = raw.find(mark, at + 1)
+
+    def _encode(self, data: np.ndarray, offs: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        low, start, first = pre_tokens(data, offs)
+        if len(start):
+            up, down = _powers(max(21, len(low).bit_length()))
+            run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[low] * up[: len(low)])))
+            stop = np.append(start[1:], len(low))
+            key = mix64((run[stop] - run[start]) * down[start] + (stop - start).astype(np.uint64))
+            _, pick, kind = np.unique(key, return_index=True, return_inverse=True)
+            raw = low.tobytes()
+            words = [raw[i:j] for i, j in zip(start[pick].tolist(), stop[pick].tolist(), strict=True)]
+            self.now += 1
+            if len(self.index) + len(words) > self.cache and len(self.index) > self.cache // 2:
+                self._forget()
+            found = list(map(self.index.get, words))
+            if None in found:
+                self._learn([w for w, k in zip(words, found, strict=True) if k is None])
+                found = list(map(self.index.get, words))
+            known = np.array(found, np.int64)
+            np.frombuffer(self.used, np.int64)[known] = self.now
+            at = known[kind]
+        else:
+            at = np.zeros(0, np.int64)
+        view = lambda x: np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64)
+        size, begin = view(self.size)[at], view(self.start)[at]
         run = np.concatenate(([0], np.cumsum(size)))
-        ids = flat[np.repeat(start - run[:-1], size) + np.arange(run[-1])].astype(np.int64)
-        edges = run[np.concatenate(([0], np.cumsum(counts)))]
+        ids = view(self.ids)[np.repeat(begin - run[:-1], size) + np.arange(run[-1])]
+        edges = run[first]
         if end is not None:
             ids = np.insert(ids, edges[1:], end)
         return ids, np.diff(edges) + (end is not None)
@@ -363,7 +562,7 @@ def _write(path: str, end: int):
 
         for whole in batches:
             for b in by_bytes(whole, "body", SLICE):
-                x, n = enc.encode(b.column("body").to_pylist(), end)
+                x, n = enc.encode(*flat(b.column("body")), end)
                 docs += b.column("id").to_pylist()
                 sizes.append(n)
                 ids.append(x)

@@ -4,14 +4,18 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from crosscut.llm import compaction, exact_dedup, langid, lsh_forest, media, mixing, paragraphs, subword, token_file, warc
+from crosscut.llm.common import flat
 from crosscut.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string, n long"
@@ -280,27 +284,44 @@ def test_token_files_against_the_library(spark, docs, empty):
     got = {r.id: r for r in token_file.round_trip(docs, path).collect()}
     for r in sorted(docs.collect(), key=lambda r: r.doc_id):
         ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 2]
-        import zlib
-
         crc = zlib.crc32(np.array(ids, "<u4").tobytes())
         assert (got[r.doc_id].start, got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (at, len(ids), crc)
         at += len(ids)
     assert token_file.round_trip(empty, path).count() == 0
-    odd = ["<|endoftext|> x", "ΑΣ Σ. don'T ½ ²x", "áb ́", "İx ǅ ﬁ\x1cq\x85z\xa0k", "日本 中文's ١٢", "''s 're"]
-    ids, n = token_file.Encoder(path).encode(odd, None)
+    odd = ["<|endoftext|> x", "ΑΣ Σ. don'T ½ ²x", "áb ́", "İx ǅ ﬁ\x1cq\x85z\xa0k", "日本 中文's ١٢", "''s 're", "", "a'", "'", "s", "'r", "e"]
+    odd += ["É×x÷y ÀÉé't Ñ'té 'ñ", "Ñ´x é\u0301 \x01a\x7f", "x'll'vez 'sam it's-'s 12'd", " <|startoftext|>", "plain", "'l", "l 're"]
+    ids, n = token_file.Encoder(path).encode(*flat(pa.array(odd)), None)
     assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == [tok.encode(t, add_special_tokens=False).ids for t in odd]
 
 
-@pytest.mark.parametrize("ids", [[], [5], [7] * 1500, list(range(1300)), [131070] * 4])
+@pytest.mark.parametrize("ids", [[], [5], [7] * 1500, list(range(1300)), [2**32 - 2, 0, 2**32 - 2], [1, 2, 3, 9] * 700 + [131_072]])
 def test_token_coder_round_trip(ids):
     x = np.array(ids, np.int64)
     seg = token_file.pack([None, 4], np.array([len(x), 0]), x)
     names, sizes, back = token_file.unpack(seg)
     assert names == [None, 4] and list(sizes) == [len(x), 0] and (back == x).all()
     if len(x) > 1000:
-        with pytest.raises(ValueError):
-            token_file.unpack(seg[:-9] + bytes([seg[-9] ^ 255]) + seg[-8:])
-            token_file.unpack(seg[:60] + bytes([seg[60] ^ 255]) + seg[61:])
+        for at in (len(seg) * 3 // 4, 60):
+            with pytest.raises(ValueError):
+                token_file.unpack(seg[:at] + bytes([seg[at] ^ 255]) + seg[at + 1 :])
+    with pytest.raises(ValueError):
+        token_file.pack([1], np.array([1]), np.array([2**32 - 1]))
+
+
+def test_token_coder_saves_more_than_zlib():
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"]
+    x, n = token_file.Encoder(public_tokenizers.path("word_bpe_49k.json")).encode(*flat(texts), 2)
+    seg = token_file.pack(list(range(len(n))), n, x)
+    blocks = [x[i : i + token_file.BLOCK].astype("<u2").tobytes() for i in range(0, len(x), token_file.BLOCK)]
+    assert 8 * len(seg) / len(x) < 9 and len(seg) < sum(len(zlib.compress(b, 6)) for b in blocks)
+
+
+def test_token_cache_forgets_what_is_old():
+    enc, rng = token_file.Encoder(public_tokenizers.path("word_bpe_49k.json"), cache=100), random.Random(3)
+    for _ in range(20):
+        texts = [words(rng.randrange(40), rng) + f" {rng.random()}" for _ in range(10)]
+        ids, n = enc.encode(*flat(pa.array(texts)), None)
+        assert [list(x) for x in np.split(ids, np.cumsum(n)[:-1])] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_subword_samples_follow_the_lattice(docs, empty):
