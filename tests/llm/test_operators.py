@@ -300,7 +300,7 @@ def test_token_coder_round_trip(ids):
     seg = token_file.pack([None, 4], np.array([len(x), 0]), x)
     names, sizes, back = token_file.unpack(seg)
     assert names == [None, 4] and list(sizes) == [len(x), 0] and (back == x).all()
-    if len(x) > 1000:
+    if len(set(ids)) > 100:
         for at in (28 + int.from_bytes(seg[20:24], "little") + 5, 60):  # in the first block's code, in the header
             with pytest.raises(ValueError):
                 token_file.unpack(seg[:at] + bytes([seg[at] ^ 255]) + seg[at + 1 :])
