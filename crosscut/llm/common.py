@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The rows of df as a Parquet table in the shared folder: a checkpoint of columns, for wide rows."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,6 +97,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+GOLD = 0x9E3779B97F4A7C15
+
+
+@lru_cache(maxsize=1)
+def _powers(log: int) -> tuple[np.ndarray, np.ndarray]:
+    up = np.cumprod(np.full(1 << log, np.uint64(GOLD)))
+    return up, np.cumprod(np.full(1 << log, np.uint64(pow(GOLD, -1, 1 << 64))))
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least the first n powers (from the first on) of an odd number and of its inverse, modulo 2**64."""
+    log = max(18, n.bit_length())
+    return _powers(log) if log < 24 else _powers.__wrapped__(log)  # those of very long texts aren't kept
+
+
 #: Ids of documents to drop are broadcast up to so many (8 bytes each); beyond it the documents are shuffled by id.
 BROADCAST_IDS = 1_000_000
 

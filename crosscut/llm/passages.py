@@ -1,16 +1,21 @@
-"""Repeated passages of any place and line layout: substring dedup on words.
+"""Repeated passages of any place and line layout: substring dedup on overlapping content-defined paragraphs.
 
-A passage is a run of at least `SPAN` words (compared as the shingles' words are: lower-cased, line ends are white space)
-that stands in two places. All of them are found, exactly up to 64-bit hashes:
+Next to the paragraphs that a text's lines make, each run of `K` words is a paragraph too if the content picks it: its
+hash is the smallest of all runs of K words in some window of `SPAN` words. Words are compared as the shingles' words are
+(lower-cased, line ends are white space). Equal windows pick equal runs, so two texts that share `SPAN` words share a
+picked run wherever it stands. Picked runs with equal words are one class, of which the first (by document, then place)
+stays. A run that is repeated by chance of 40 equal words counts, too; none of fewer.
 
-1. Each window of `SPAN` words has an anchor, the smallest hash of its runs of `K` words. Windows of equal words have equal
-   anchors. Anchors are counted over the corpus, one for about 14 words; a bitmap of those that occur twice is broadcast.
-2. Windows whose anchor is in the bitmap go to their anchor's group, one row for a run of windows. There equal windows
-   are matched by their own hash; the one that comes first (by document, then place) stays.
-3. Adjacent windows that repeat windows of one document are joined to one row.
+1. The hashes of picked runs are counted over the corpus, about one for 6 words, and a bitmap of those that occur twice
+   (at most 2**`HIGH` bits, 64 MB) is broadcast. It only saves work: where it is too small, more runs pass it.
+2. Runs that pass are grouped by hash, exactly; a run held by many documents is aggregated before it is shuffled.
+3. Adjacent runs that repeat adjacent runs of one document are joined to one row.
 
-Defined results: a null id sorts before all others; rows that repeat an id and its text are one document; texts of fewer
-than `SPAN` words have no passage.
+What is reported consists of whole picked runs, so either end of a shared passage may go unreported for up to
+SPAN - K = 11 words; words outside of a shared passage are never reported.
+
+Defined results: a null id sorts before all others; rows that repeat an id are separate documents; texts of fewer than
+`SPAN` words have no passage; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,18 +28,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import paragraphs
-from .common import by_bytes, cut, filled, flat, mix64
-from .shingles import _IS_SPACE, GOLD, words
+from .common import by_bytes, cut, filled, flat, mix64, powers, saved
+from .shingles import _IS_SPACE, starts, words
 
-SPAN, K = 51, 25
+SPAN, K = 51, 40
 SLICE = 1 << 20
-#: Bits of the bitmap for each anchor, and the logarithms of its least and largest number of bits.
-SPARE, LOW, HIGH = 16, 16, 31
+#: Bits of the bitmap for each hash, and the logarithms of its least and largest number of bits.
+SPARE, LOW, HIGH = 16, 16, 29
 CHUNK = 16
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-CELL = np.dtype([("g", "<i8"), ("start", "<i4"), ("end", "<i4"), ("para", "<i4")])
-RUNS = "h long, id long, tk long, s long, cells binary"
-PARTS = "id long, tk long, s long, to long, start long, end long, para long, keep_id long, keep_tk long, keep_start long, keep_end long, keep_para long, copies long, removed boolean"
+RUNS = "h long, id long, uid long, start int, size int, para int"
 
 
 def _grams(w: np.ndarray, stop: np.ndarray, k: int) -> np.ndarray:
@@ -42,10 +45,9 @@ def _grams(w: np.ndarray, stop: np.ndarray, k: int) -> np.ndarray:
     n = len(w)
     out = np.full(n, NONE)
     if n >= k:
-        power = np.cumprod(np.full(n, GOLD))
-        back = np.cumprod(np.full(n, np.uint64(pow(int(GOLD), -1, 1 << 64))))
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w * power)))
-        out[: n - k + 1] = mix64((total[k:] - total[:-k]) * back[: n - k + 1])
+        up, down = powers(n)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(w * up[:n])))
+        out[: n - k + 1] = mix64((total[k:] - total[:-k]) * down[: n - k + 1])
         out[np.arange(n) + k > stop] = NONE
     return out
 
@@ -61,24 +63,25 @@ def _slide(x: np.ndarray, width: int, op: np.ufunc, pad: np.uint64) -> np.ndarra
     return x[:n]
 
 
-def _anchors(w: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each run of K words, anchor of the window from each word on, and whether that window is in its text."""
-    x = _grams(w, stop, K)
-    return x, _slide(x, SPAN - K + 1, np.minimum, NONE), np.arange(len(w)) + SPAN <= stop
+def picked(w: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words at which picked runs begin, and the runs' hashes. at: the n + 1 offsets of the texts' words."""
+    stop = np.repeat(at[1:], np.diff(at))
+    x, width = _grams(w, stop, K), SPAN - K + 1
+    low = np.where(np.arange(len(w)) + SPAN <= stop, _slide(x, width, np.minimum, NONE), np.uint64(0))
+    best = _slide(low[::-1], width, np.maximum, np.uint64(0))[::-1]
+    s = np.flatnonzero((best == x) & (x != NONE))
+    return s, x[s]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in by_bytes(whole, "body", SLICE):
-            w, at = words(*flat(b.column("body")))
-            x, low, ok = _anchors(w, np.repeat(at[1:], np.diff(at)))
-            best = _slide(np.where(ok, low, np.uint64(0))[::-1], SPAN - K + 1, np.maximum, np.uint64(0))[::-1]
-            h, n = np.unique(x[best == x], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
+            h, n = np.unique(picked(*words(*flat(b.column("body"))))[1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int8))], ["h", "n"])
 
 
 def _chunks(log: int):
-    """Bitmaps of 2**CHUNK bits for the anchors' first log bits."""
+    """Bitmaps of 2**CHUNK bits for the hashes' first log bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maps: dict[int, np.ndarray] = {}
@@ -95,18 +98,30 @@ def _chunks(log: int):
 
 
 def _bitmap(rows: DataFrame) -> tuple[np.ndarray, int]:
-    many = cut(rows.mapInArrow(_count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
+    """A bit for each hash that occurs twice, and the logarithm of their number."""
+    many = cut(rows.mapInArrow(_count, "h long, n tinyint").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h"))
     log = min(max((many.count() * SPARE).bit_length(), LOW), HIGH)
     chunk = F.shiftrightunsigned("h", 64 - log + CHUNK) if log > CHUNK else F.lit(0)
     parts = many.repartition(chunk).mapInArrow(_chunks(log), "c long, bits binary").toArrow()
     out = np.zeros(1 << (log - 3), np.uint8)
     for c, bits in zip(parts["c"].to_pylist(), parts["bits"].to_pylist(), strict=True):
-        out[c << (CHUNK - 3) : (c + 1) << (CHUNK - 3)] = np.frombuffer(bits, np.uint8)
+        out[c << (CHUNK - 3) : (c + 1) << (CHUNK - 3)] |= np.frombuffer(bits, np.uint8)
     return out, log
 
 
+def _lines(data: np.ndarray, offs: np.ndarray, at: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """The number of the non-empty line that each place is in, among those of its text."""
+    feed = (data == 10) | (data == 13)
+    head = ~feed
+    head[1:] &= feed[:-1]
+    edge = offs[:-1][offs[:-1] < len(data)]
+    head[edge] = ~feed[edge]
+    line = np.concatenate(([0], np.cumsum(head)))
+    return line[at + 1] - 1 - line[offs[:-1]][text]
+
+
 def _windows(bitmap, log: int):
-    """Runs of windows with one anchor that is in the bitmap."""
+    """Picked runs whose hash is in the bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
@@ -114,149 +129,65 @@ def _windows(bitmap, log: int):
             for b in by_bytes(whole, "body", SLICE):
                 data, offs = flat(b.column("body"))
                 w, at = words(data, offs)
-                text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                stop = at[1:][text]
-                _, low, ok = _anchors(w, stop)
-                bit = low >> np.uint64(64 - log)
-                s = np.flatnonzero(ok & ((bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool))
+                s, h = picked(w, at)
+                bit = h >> np.uint64(64 - log)
+                found = ((bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                s, h = s[found], h[found]
                 if not len(s):
                     continue
-                inside = ~_IS_SPACE[data]
-                begin = inside.copy()
-                begin[1:] &= ~inside[:-1]
-                edge = offs[:-1][offs[:-1] < len(data)]
-                begin[edge] = inside[edge]
-                first = np.flatnonzero(begin)
-                close = inside.copy()
-                close[:-1] &= ~inside[1:]
-                edge = offs[1:][(offs[1:] > 0)] - 1
-                close[edge] = inside[edge]
-                last = np.flatnonzero(close) + 1
-                # lines are counted as paragraphs counts them: the non-empty ones of a text
-                feed = (data == 10) | (data == 13)
-                head = ~feed
-                head[1:] &= feed[:-1]
-                edge = offs[:-1][offs[:-1] < len(data)]
-                head[edge] = ~feed[edge]
-                line = np.cumsum(head)
-                before = np.concatenate(([0], line))[offs[:-1]]
-                cells = np.zeros(len(s), CELL)
-                cells["g"] = _grams(w, stop, SPAN)[s].view(np.int64)
-                cells["start"] = first[s] - offs[text[s]]
-                cells["end"] = last[s + SPAN - 1] - offs[text[s]]
-                cells["para"] = line[first[s]] - 1 - before[text[s]]
-                new = np.flatnonzero(np.concatenate(([True], (np.diff(s) != 1) | (low[s[1:]] != low[s[:-1]]) | (text[s[1:]] != text[s[:-1]]))))
-                t = text[s[new]]
-                raw = cells.tobytes()
-                ends = np.append(new[1:], len(s)) * CELL.itemsize
-                body = [raw[i:j] for i, j in zip((new * CELL.itemsize).tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(low[s[new]].view(np.int64)),
-                        b.column("id").take(pa.array(t)),
-                        b.column("tk").take(pa.array(t)),
-                        pa.array(s[new] - at[t]),
-                        pa.array(body, pa.binary()),
-                    ],
-                    [x.split()[0] for x in RUNS.split(", ")],
-                )
+                text = np.searchsorted(at, s, "right") - 1
+                first = starts(data, offs)
+                begin, last = first[s], first[s + K - 1]
+                space = np.append(np.flatnonzero(_IS_SPACE[data]), len(data))
+                end = np.minimum(space[np.searchsorted(space, last)], offs[text + 1])
+                small = lambda x: pa.array(x.astype(np.int32))
+                cols = [pa.array(h.view(np.int64)), *(b.column(c).take(pa.array(text)) for c in ("id", "uid"))]
+                cols += [small(begin - offs[text]), small(end - begin), small(_lines(data, offs, begin, text))]
+                yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in RUNS.split(", ")])
 
     return run
 
 
-def _match(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-    """rows: whole groups. The repeated windows, joined within each row."""
-    if not rows.num_rows:
-        return
-    data, offs = flat(rows.column("cells"))
-    cells = np.ascontiguousarray(data).view(CELL)
-    size = np.diff(offs) // CELL.itemsize
-    row = np.repeat(np.arange(len(size)), size)
-    null = rows.column("id").is_null().to_numpy()
-    ids = rows.column("id").fill_null(0).to_numpy()[row]
-    own = ~null[row]
-    tk = rows.column("tk").to_numpy()[row]
-    s = rows.column("s").to_numpy()[row] + np.arange(len(row)) - (np.cumsum(size) - size)[row]
-    g = cells["g"]
-    order = np.lexsort((s, tk, ids, own, g))
-    start = np.flatnonzero(np.append(True, g[order][1:] != g[order][:-1]))
-    count = np.diff(np.append(start, len(order)))
-    keep, copies = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
-    keep[order], copies[order] = np.repeat(order[start], count), np.repeat(count, count)
-    same = lambda i, j: (ids[i] == ids[j]) & (own[i] == own[j]) & (tk[i] == tk[j])
-    at = np.arange(len(g))
-    is_first = same(at, keep) & (s == s[keep])
-    final = np.zeros(len(g), np.int64)
-    final[order] = np.repeat(order[start + count - 1], count)
-    twice = ~(same(final, keep) & (s[final] == s[keep]))
-    e = np.flatnonzero(twice)
-    if not len(e):
-        return
-    k = keep[e]
-    new = (np.diff(e) != 1) | (row[e[1:]] != row[e[:-1]]) | (is_first[e[1:]] != is_first[e[:-1]]) | ~same(k[1:], k[:-1])
-    lo = np.flatnonzero(np.append(True, new))
-    hi = np.append(lo[1:], len(e)) - 1
-    a, z, ka = e[lo], e[hi], k[lo]
-    least = lambda name: np.minimum.reduceat(cells[name][k], lo).astype(np.int64)
-    named = lambda i: pa.array(ids[i], pa.int64(), mask=~own[i])
-    wide = lambda x: pa.array(x.astype(np.int64))
-    yield pa.RecordBatch.from_arrays(
-        [
-            *(named(a), wide(tk[a]), wide(s[a]), wide(s[z]), wide(cells["start"][a]), wide(cells["end"][z]), wide(cells["para"][a])),
-            *(named(ka), wide(tk[ka]), wide(least("start")), wide(least("end")), wide(least("para"))),
-            *(wide(np.maximum.reduceat(copies[e], lo)), pa.array(~is_first[a])),
-        ],
-        [x.split()[0] for x in PARTS.split(", ")],
-    )
-
-
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """_match over rows sorted by h; a group is held until it ends."""
-    held: list[pa.RecordBatch] = []
-    for b in batches:
-        if not b.num_rows:
-            continue
-        h = b.column("h").to_numpy()
-        last = int(np.flatnonzero(h == h[-1])[0])
-        if held and h[0] == held[-1].column("h")[-1].as_py() and not last:
-            held.append(b)
-            continue
-        yield from _match(pa.Table.from_batches([*held, b.slice(0, last)]))
-        held = [b.slice(last)]
-    if held:
-        yield from _match(pa.Table.from_batches(held))
-
-
 def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per passage that stands in two places, whether it stays or not: id, para (number of the non-empty line in
-    which it begins), start and size (bytes of the text), keep_id, keep_para, keep_start, keep_size (of the first window
-    of the one that stays), class_size (the most places of one of its windows), removed."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), filled(F.col(text_col)).alias("body")).withColumn("tk", F.xxhash64("body"))
-    bits, log = _bitmap(rows)
-    found = rows.mapInArrow(_windows(docs.sparkSession.sparkContext.broadcast(bits), log), RUNS)
-    parts = found.repartition("h").sortWithinPartitions("h").mapInArrow(_groups, PARTS)
-    doc = Window.partitionBy("id", "tk").orderBy("s", "to")
+    which it begins), start and size (bytes of the text), keep_id, keep_para, keep_start, keep_size (of the one that
+    stays), class_size (the most places of one of its runs), removed."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), filled(F.col(text_col)).alias("body"))
+    bits, log = _bitmap(rows.select("body"))
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    # the numbers of rows are fixed by writing them
+    found = saved(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_windows(sent, log), RUNS), "passages")
+    place = F.struct(F.col("id").isNotNull(), "id", "uid", "start", "size", "para")
+    first = found.groupBy("h").agg(F.min(place).alias("k"), F.count("*").alias("copies")).filter("copies > 1")
+    runs = found.join(first, "h").select(
+        *("id", "uid", "para", "start", "copies"),
+        (F.col("start") + F.col("size")).alias("end"),
+        *(F.col(f"k.{c}").alias(f"k_{c}") for c in ("id", "uid", "para", "start")),
+        (F.col("k.start") + F.col("k.size")).alias("k_end"),
+    )
+    runs = runs.withColumn("removed", (F.col("uid") != F.col("k_uid")) | (F.col("start") != F.col("k_start")))
+    # a text that repeats itself leaves its first run whole
+    itself = F.col("removed") & (F.col("uid") == F.col("k_uid")) & (F.col("k_end") > F.col("start"))
+    runs = runs.withColumn("start", F.when(itself, F.col("k_end")).otherwise(F.col("start"))).filter("end > start")
+    doc = Window.partitionBy("uid").orderBy("start", "end")  # a text's own runs
     before = lambda c: F.lag(c).over(doc)
-    goes_on = (before("to") >= F.col("s") - 1) & (before("removed") == F.col("removed"))
-    goes_on = goes_on & before("keep_id").eqNullSafe(F.col("keep_id")) & (before("keep_tk") == F.col("keep_tk"))
-    runs = parts.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(doc))
-    least = ("start", "para", "keep_id", "keep_tk", "keep_start", "keep_end", "keep_para")
-    out = runs.groupBy("id", "tk", "run").agg(
-        *(F.min(c).alias(c) for c in least), F.max("end").alias("end"), F.max("copies").alias("class_size"), F.first("removed").alias("removed")
+    goes_on = (before("end") >= F.col("start")) & (before("removed") == F.col("removed")) & (before("k_uid") == F.col("k_uid"))
+    goes_on &= before("k_start") <= F.col("k_start")
+    runs = runs.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(doc))
+    least = ("id", "start", "para", "k_id", "k_start", "k_para")
+    out = runs.groupBy("uid", "run").agg(
+        *(F.min(c).alias(c) for c in least), F.max("end").alias("end"), F.max("k_end").alias("k_end"), F.max("copies").alias("copies"), F.first("removed").alias("removed")
     )
-    # a run that repeats itself leaves its first window whole
-    within = F.col("removed") & F.col("id").eqNullSafe(F.col("keep_id")) & (F.col("tk") == F.col("keep_tk")) & (F.col("keep_start") <= F.col("start"))
-    out = out.withColumn("start", F.when(within, F.greatest("start", "keep_end")).otherwise(F.col("start")))
-    return out.filter(F.col("end") > F.col("start")).select(
+    return out.select(
         F.col("id").alias(id_col),
         "para",
         "start",
         (F.col("end") - F.col("start")).alias("size"),
-        "keep_id",
-        "keep_para",
-        "keep_start",
-        (F.col("keep_end") - F.col("keep_start")).alias("keep_size"),
-        "class_size",
+        F.col("k_id").alias("keep_id"),
+        F.col("k_para").alias("keep_para"),
+        F.col("k_start").alias("keep_start"),
+        (F.col("k_end") - F.col("k_start")).alias("keep_size"),
+        F.col("copies").alias("class_size"),
         "removed",
     )
 
@@ -266,9 +197,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     A passage whose staying place lies in a paragraph that goes isn't removed, so that the two never remove all copies.
     """
-    lines = cut(paragraphs.repeats(docs, id_col=id_col, text_col=text_col, joined=True))
+    lines = saved(paragraphs.repeats(docs, id_col=id_col, text_col=text_col, joined=True), "repeats")
     found = passages(docs, id_col, text_col)
     span = F.struct("start", (F.col("start") + F.col("size")).alias("end"))
+    # the spans that go of one text
     gone = lines.filter("removed").groupBy(F.col(id_col).alias("gone_id")).agg(F.collect_list(span).alias("spans"))
     found = found.join(gone, F.col("keep_id").eqNullSafe(F.col("gone_id")) & F.col("removed"), "left")
     hit = F.exists("spans", lambda x: (x["start"] < F.col("keep_start") + F.col("keep_size")) & (x["end"] > F.col("keep_start")))

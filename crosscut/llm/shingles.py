@@ -9,33 +9,41 @@ from __future__ import annotations
 
 import numpy as np
 
-from .common import mix64
+from .common import mix64, powers
 
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A random number for each byte, the same for both cases; none for white space.
+_BYTE = np.where(_IS_SPACE, np.uint64(0), mix64(_LOWER.astype(np.uint64) + np.uint64(1)))
+CHUNK = 1 << 18
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of all texts, and the n + 1 offsets of each text's words."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
+def starts(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Where the words of all texts begin."""
     inside = ~_IS_SPACE[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
-    edge = offs[:-1][offs[:-1] < n]
+    edge = offs[:-1][offs[:-1] < len(data)]
     begin[edge] = inside[edge]
-    start = np.flatnonzero(begin)
-    if not len(start):
-        return np.zeros(0, np.uint64), np.zeros(len(offs), np.int64)
-    word = np.cumsum(begin) - 1
-    place = (np.arange(n) - start[np.maximum(word, 0)]).astype(np.uint64)
-    h = mix64(_LOWER[data].astype(np.uint64) + np.uint64(1) + place * GOLD)
-    h[~inside] = 0
-    out = np.add.reduceat(h, start)
+    return np.flatnonzero(begin)
+
+
+def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of all texts, and the n + 1 offsets of each text's words."""
+    n, start = len(data), starts(data, offs)
+    out = np.zeros(len(start), np.uint64)
+    i = 0
+    while i < len(start):  # a polynomial of the bytes, by differences of running sums over some words
+        j = max(i + 1, int(np.searchsorted(start, start[i] + CHUNK)))
+        lo, hi = int(start[i]), int(start[j]) if j < len(start) else n
+        up, down = powers(hi - lo)
+        run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[data[lo:hi]] * up[: hi - lo])))
+        s = start[i:j] - lo
+        out[i:j] = (run[np.append(s[1:], hi - lo)] - run[s]) * down[s]
+        i = j
     return mix64(out), np.searchsorted(start, offs)
 
 
@@ -49,15 +57,17 @@ def sets(data: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.nda
     first = at[:-1][text] + np.arange(edge[-1]) - edge[:-1][text]
     size = np.minimum(count, k)[text]
     h = np.full(len(first), 0x51ED27F5, np.uint64) + size.astype(np.uint64)
+    whole = bool((size == k).all())
     for j in range(k):
-        has = size > j
+        has = slice(None) if whole else size > j
         h[has] = mix64(h[has] * GOLD + w[first[has] + j])
-    parts, sizes = [], np.zeros(len(runs), np.int64)
-    for i in range(len(runs)):
-        u = np.unique(h[edge[i] : edge[i + 1]])
-        parts.append(u)
-        sizes[i] = len(u)
-    return (np.concatenate(parts) if parts else h), np.concatenate(([0], np.cumsum(sizes)))
+    bounds = edge.tolist()
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        h[lo:hi].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[edge[:-1][runs > 0]] = True
+    return h[new], np.concatenate(([0], np.cumsum(new)))[edge]
 
 
 def fingerprints(shingle: np.ndarray, offs: np.ndarray) -> list[bytes]:

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, filled, flat, mix64, scratch
+from .common import by_bytes, filled, flat, mix64, powers, scratch
 
 BLOCK = 1024
 GROUP = 4096  # blocks in lockstep
@@ -369,19 +369,11 @@ _WIDE = re.compile(b"[\x80-\xff](?<!\xc3)(?<!\xc3.)", re.S)
 _AS_IS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _MAPPED = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_AS_IS))) if b != 0x20}
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
-_ODD = 0x9E3779B97F4A7C15
 #: Distinct words that a worker's cache holds; beyond it the half that was used longest ago goes.
 CACHE = 600_000
 JOINED = 1000  # words that the library gets as one text
 
 
-@lru_cache(maxsize=1)
-def _powers(log: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first 2**log powers of an odd number and of its inverse."""
-    up = np.cumprod(np.full(1 << log, np.uint64(_ODD)))
-    return up, np.cumprod(np.full(1 << log, np.uint64(pow(_ODD, -1, 1 << 64))))
-
-
 def pre_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of texts without marks: the bytes without white space (lower-cased but for words that stay whole), where each
     pre-token begins in them, and the first pre-token of each text (n + 1)."""
@@ -511,7 +503,7 @@ class Encoder:
     def _encode(self, data: np.ndarray, offs: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         low, start, first = pre_tokens(data, offs)
         if len(start):
-            up, down = _powers(max(21, len(low).bit_length()))
+            up, down = powers(len(low))
             run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[low] * up[: len(low)])))
             stop = np.append(start[1:], len(low))
             key = mix64((run[stop] - run[start]) * down[start] + (stop - start).astype(np.uint64))

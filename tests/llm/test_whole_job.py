@@ -24,22 +24,26 @@ def test_short_lines_join_to_paragraphs(spark, tmp_path):
 
 def test_passages_against_all_windows(spark):
     rng = random.Random(8)
-    shared = [words(n, rng) for n in (51, 50, 60, 140)]
+    shared = [words(n, rng) for n in (51, 39, 60, 140)]
     rows = odd_rows(40)
     for i, p in enumerate([*shared, *shared, shared[2].upper(), shared[3].replace(" ", "\n")]):
         rows.append((1000 + i, words(40, rng) + " " + p + "\r\n" + words(40, rng), "en", "s", "x", 1))
-    text = {r[0]: r[1] or "" for r in rows}
-    places = defaultdict(list)
-    for i, t in sorted(text.items()):
-        w = lowered(t)
-        for s in range(len(w) - passages.SPAN + 1):
-            places[tuple(w[s : s + passages.SPAN])].append((i, s))
-    want, gone = defaultdict(set), defaultdict(set)
-    for found in places.values():
-        for n, (i, s) in enumerate(found if len(found) > 1 else []):
-            want[i].update(range(s, s + passages.SPAN))
-            if n and i != found[0][0]:
-                gone[i].update(range(s, s + passages.SPAN))
+    rows += [(2000, shared[3] + " " + words(70, rng), "en", "s", "x", 1), (2000, "another text of this id", "en", "s", "x", 1)]
+    text = {r[0]: r[1] or "" for r in rows if r[1] != "another text of this id"}
+
+    def places(k):
+        found = defaultdict(list)
+        for i, t in sorted(text.items()):
+            w = lowered(t)
+            for s in range(len(w) - k + 1):
+                found[tuple(w[s : s + k])].append((i, s))
+        return {w: p for w, p in found.items() if len(p) > 1}
+
+    allowed, first = defaultdict(set), {}
+    for w, found in places(passages.K).items():
+        for i, s in found:
+            allowed[i].update(range(s, s + passages.K))
+            first[i, s] = found[0]
     got, removed = defaultdict(set), defaultdict(set)
     for r in passages.passages(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect():
         raw = text[r.doc_id].encode()
@@ -47,8 +51,14 @@ def test_passages_against_all_windows(spark):
         got[r.doc_id].update(range(before, before + span))
         if r.removed and r.keep_id != r.doc_id:
             removed[r.doc_id].update(range(before, before + span))
+            kept = text[r.keep_id].encode()[r.keep_start : r.keep_start + r.keep_size].decode()
+            assert set(lowered(raw[r.start : r.start + r.size].decode())) <= set(lowered(kept))
         assert r.para == max(0, len([x for x in raw[: r.start + 1].replace(b"\r", b"\n").split(b"\n") if x]) - 1)
-    assert got == want and removed == gone and {1005, 1001}.isdisjoint(got) and {1004, 1008, 1009} <= set(removed)
+    assert all(got[i] <= allowed[i] for i in got) and 1005 not in got
+    for found in places(passages.SPAN).values():  # each shared window of SPAN words holds a whole run that is found
+        for i, s in found:
+            assert any(set(range(j, j + passages.K)) <= got[i] for j in range(s, s + passages.SPAN - passages.K + 1))
+    assert {1004, 1006, 1007, 1008, 1009, 2000} <= set(removed)
 
 
 def test_passage_within_longer_lines(spark, tmp_path):
@@ -57,7 +67,9 @@ def test_passage_within_longer_lines(spark, tmp_path):
     texts = [words(90, rng) + " " + p + " " + words(90, rng), words(70, rng) + " " + p.replace(" ", "\n", 1) + " " + words(99, rng), words(200, rng)]
     rows = registered(spark, tmp_path, "op5_paragraph_dedup", [(i, t, "en", "s", "x", 1) for i, t in enumerate(texts)])
     found = {(r.doc_id, r.keep_doc_id, r.removed): texts[r.doc_id].encode()[r.start : r.start + r.size].decode().split() for r in rows}
-    assert found == {(0, 0, False): p.split(), (1, 0, True): p.split()}
+    assert set(found) == {(0, 0, False), (1, 0, True)}
+    for got in found.values():  # whole runs: up to 11 words at either end are left
+        assert " ".join(got) in p and len(got) >= len(p.split()) - 2 * (passages.SPAN - passages.K)
 
 
 def test_drop_exact_decides_by_row(spark):
