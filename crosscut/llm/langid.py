@@ -31,6 +31,7 @@ NONE = 2 * CELLS  # the cell of n-grams that cross texts or hold only spaces
 SMOOTH = 0.5
 SHARPNESS = 6.0
 AMBIGUOUS = 0.15
+LEAST = 0.5  # an ambiguous text of a lower score is rejected: no language has half of the probability
 SLICE = 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -172,7 +173,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(_predict(model), "id long, flag boolean, lang_pred string, score double, ambiguous boolean")
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.0) -> DataFrame:
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST) -> DataFrame:
     """The documents, with all their columns, that have a language; ambiguous ones need a score of `least`."""
 
     @F.arrow_udf("boolean")

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_IDS, anti, by_bytes, cut, filled, flat, saved
-from .components import components
+from .components import components, joined
 from .shingles import fingerprints, overlap, sets, signatures, sketches
 
 TREES, DEPTH, NEAR = 20, 7, 5
@@ -334,7 +334,7 @@ def _found(rows: DataFrame, threshold: int, bits: int) -> DataFrame:
     shape = rows.schema
     some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0).groupBy("key").count().filter(F.col("count") >= CROWD)
     crowded = cut(some.select("key"))
-    n = crowded.limit(BROADCAST_KEYS + 1).count()
+    n = crowded.count()
     keys = F.broadcast(crowded) if n <= BROADCAST_KEYS else crowded
     plain = rows.join(keys, "key", "left_anti") if n else rows
     plain = plain.repartition("key").sortWithinPartitions("key", "deep", "id").drop("deep")
@@ -372,7 +372,7 @@ def link(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], k: int, thres
         rows = _squares(wide).join(items, "id").repartition(*names).sortWithinPartitions(*names)
         more = cut(rows.select(*names, "id", "component", "asks", "items").mapInArrow(_across(threshold), "a long, b long").distinct())
         if more.take(1):
-            comps = components(links.unionByName(more))
+            comps = joined(comps, more)
     return comps
 
 

@@ -106,7 +106,8 @@ def repeats(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), filled(F.col(text_col)).alias("body")).withColumn("tk", F.xxhash64("body"))
     # numbers are fixed by writing them
     paras = saved(rows.mapInArrow(_features(min_words, joined), SCHEMA).withColumn("pid", F.monotonically_increasing_id()), "paragraphs")
-    reps = paras.groupBy("print").agg(F.min("pid").alias("rep"), F.count("*").alias("copies"))
+    # written, so that the joins may split a paragraph that very many documents hold
+    reps = saved(paras.groupBy("print").agg(F.min("pid").alias("rep"), F.count("*").alias("copies")), "representatives")
     member = saved(paras.join(reps, "print").select("pid", "rep", "copies", "id", "tk", "para", "start", "size"), "members")
     own = paras.join(member.filter("pid = rep").select("pid"), "pid", "left_semi")
     # bands of 128-bit fingerprints' representatives; there is no deeper order
@@ -128,6 +129,7 @@ def repeats(
     first = out.groupBy("component").agg(
         F.min(F.struct(F.col("id").isNotNull(), "id", "para", "pid")).alias("first"), F.count("*").alias("class_size")
     )
+    first = saved(first, "classes")
     return out.join(first, "component").select(
         F.col("id").alias(id_col),
         "para",

@@ -158,7 +158,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # the numbers of rows are fixed by writing them
     found = saved(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_windows(sent, log), RUNS), "passages")
     place = F.struct(F.col("id").isNotNull(), "id", "uid", "start", "size", "para")
-    first = found.groupBy("h").agg(F.min(place).alias("k"), F.count("*").alias("copies")).filter("copies > 1")
+    # written, so that the join may split a hash that very many documents hold
+    first = saved(found.groupBy("h").agg(F.min(place).alias("k"), F.count("*").alias("copies")).filter("copies > 1"), "firsts")
     runs = found.join(first, "h").select(
         *("id", "uid", "para", "start", "copies"),
         (F.col("start") + F.col("size")).alias("end"),

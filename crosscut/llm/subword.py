@@ -17,8 +17,9 @@ slice of rows get one lattice; sampling then runs over all parts of all rows in
 the row key, the sample and the place, so a row's result doesn't depend on its neighbours.
 
 Defined results: a null or empty text has one segmentation, without ids and with inclusion score 0; a text with fewer
-than k segmentations gives all of them, each with score 0; null keys draw as key 0; an empty table gives an empty
-result; other columns are ignored.
+than k segmentations gives all of them, each with score 0; null keys draw as key 0; rows that repeat an id right after
+each other (the copies of a mix) draw separately, by their turn; an empty table gives an empty result; other columns are
+ignored; a model with pieces of more than 63 characters raises an error.
 """
 
 from __future__ import annotations
@@ -34,9 +35,11 @@ from pyspark.sql import functions as F
 from .common import by_bytes, filled, mix64
 
 RANK_SHIFT = 10.0
-SLICE = 2 << 20
+SLICE = 512 << 10  # bytes of texts in one lattice, which takes about 12 bytes for each character and piece length
+LONGEST = 63
 SPACE = 0x2581
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+TURN = 0x632BE59BD9B4E019  # added to the key of each further row of an id
 
 
 class Vocabulary:
@@ -62,6 +65,8 @@ class Vocabulary:
         v = self.v = len(chars) + 1
         self.joins = np.zeros((v, v), bool)
         self.longest = max(map(len, pieces.values()), default=1)
+        if self.longest > LONGEST:
+            raise ValueError(f"pieces of more than {LONGEST} characters aren't supported")
         nodes, self.piece, logw = {}, [-1], [0.0]
         for (i, p), w in zip(pieces.items(), weight, strict=True):
             at, before = 0, None
@@ -116,7 +121,7 @@ class Lattice:
         left = np.repeat(start[1:], size) - np.arange(n)  # characters to the part's end
         most = max(1, min(voc.longest, int(left.max(initial=1))))
         self.edge = np.full((n, most), -1, np.int32)
-        logw = np.full((n, most), -np.inf)
+        logw = np.full((n, most), -np.inf, np.float32)
         at, node = np.arange(n), np.zeros(n, np.int32)
         for k in range(most):
             node = voc.step(node, char[at + k])
@@ -154,15 +159,15 @@ class Lattice:
         self.cum = np.cumsum(np.exp(self.logp), 1, dtype=np.float32)
         last = most - 1 - np.argmax(ok[:, ::-1], 1)
         self.cum[np.arange(most)[None, :] >= last[:, None]] = 2.0  # sums that rounding leaves under 1
-        # the log of all other edges' probability together
-        many = np.flatnonzero(ok & ~self.single[:, None])
-        self.log_others = np.full(n * most, -np.inf, np.float32)
+
+    def log_others(self, node: np.ndarray, lp: np.ndarray) -> np.ndarray:
+        """The log of the probability that all edges but the one of log probability lp have together."""
         with np.errstate(divide="ignore"):
-            self.log_others[many] = np.log(-np.expm1(np.minimum(self.logp.ravel()[many], 0.0)))
+            return np.where(self.single[node], -np.inf, np.log(-np.expm1(np.minimum(lp, 0.0))))
 
     def probabilities(self, nodes: np.ndarray) -> np.ndarray:
         """nodes x edges."""
-        return np.exp(self.logp[nodes])
+        return np.exp(self.logp[nodes].astype(np.float64))
 
 
 def _uniform(key: np.ndarray) -> np.ndarray:
@@ -237,7 +242,7 @@ def sample(voc: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed: in
 
     def scored(which_doc: np.ndarray, node: np.ndarray, edge: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Running log probability before each step and of the whole, by text; bounds: first step of each text."""
-        lp = lat.logp.take(node * lat.most + edge)
+        lp = lat.logp.take(node * lat.most + edge).astype(np.float64)
         run = np.concatenate(([0.0], np.cumsum(lp)))
         return run[:-1] - run[bounds[which_doc]], lp
 
@@ -256,7 +261,7 @@ def sample(voc: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed: in
         total = np.add.reduceat(np.append(lp, 0.0), np.minimum(bounds[:-1], len(lp))) * (np.diff(bounds) > 0)
         step = np.arange(len(d)) - bounds[d]
         banned = np.int64(1) << edge
-        loc = before + lat.log_others.take(node * lat.most + edge)
+        loc = before + lat.log_others(node, lp)
         bound = np.full(len(d), -np.inf)
         open_ = np.flatnonzero(~np.isneginf(loc) & (step > fork[d]))
         bound[open_] = _truncated(loc[open_], top[d[open_]], _uniform(key(d[open_], step[open_], j, 3)))
@@ -368,10 +373,15 @@ def _encode(path: str, alpha: float, k: int, seed: int, with_text: bool):
     kind = pa.list_(pa.struct(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = vocabulary(path, alpha)
+        voc, last, turn = vocabulary(path, alpha), None, 0
         for whole in batches:
             for b in by_bytes(whole, "body", SLICE):
-                keys = np.array([x or 0 for x in b.column("id").to_pylist()], np.int64)
+                names, turns = b.column("id").to_pylist(), []
+                for x in names:
+                    turn = turn + 1 if x is not None and x == last else 0
+                    last = x
+                    turns.append(turn)
+                keys = np.array([x or 0 for x in names], np.int64) + np.array(turns, np.int64) * TURN
                 found = sample(voc, b.column("body").to_pylist(), keys, k, seed)
                 flat = [s for rows in found for s in rows]
                 offs = np.concatenate(([0], np.cumsum([len(s[0]) for s in flat]))).astype(np.int32)

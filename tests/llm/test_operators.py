@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from crosscut.llm import compaction, exact_dedup, langid, lsh_forest, media, mixing, paragraphs, subword, token_file, warc
 from crosscut.llm.common import flat
-from crosscut.llm.components import components
+from crosscut.llm.components import components, joined
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string, n long"
 WORDS = [a + b for a in "the an of ti re on whe sta lyo eri".split() for b in "nt ou ed as is or able ing th".split()]
@@ -215,6 +215,10 @@ def test_components(spark):
     want = classes(range(361), links)
     assert got == {i: c for i, c in want.items() if any(i in x and x[0] != x[1] for x in links)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    more = [(rng.randrange(400), rng.randrange(400)) for _ in range(60)]
+    both = joined(components(spark.createDataFrame(links, "a long, b long")), spark.createDataFrame(more, "a long, b long"))
+    want = classes(range(400), links + more)
+    assert {r.id: r.component for r in both.collect()} == {i: c for i, c in want.items() if any(i in x and x[0] != x[1] for x in links + more)}
 
 
 def brute_near(rows, k):
@@ -359,10 +363,14 @@ def test_language_id_on_held_out_texts(spark, docs, empty):
     model = langid.fit_on(df.filter(~out))
     got = langid.identify(df.filter(out), model).join(df.withColumnRenamed("doc_id", "id").select("id", "lang"), "id").collect()
     assert got and all(r.lang_pred == r.lang and 0 <= r.score <= 1 for r in got)
-    odd = {r.id: r.lang_pred for r in langid.identify(docs, model).collect()}
+    found = langid.identify(docs, model).collect()
+    odd = {r.id: r.lang_pred for r in found}
     assert all(odd[i] == "und" for i in (0, 1, 2, 9)) and odd[3] in kinds
     kept = langid.keep_identified(docs, model)
-    assert {r.doc_id for r in kept.collect()} == {i for i, p in odd.items() if p != "und"} and kept.columns == docs.columns
+    good = {r.id for r in found if r.lang_pred != "und" and not (r.ambiguous and r.score < langid.LEAST)}
+    assert {r.doc_id for r in kept.collect()} == good and kept.columns == docs.columns
+    strange = spark.createDataFrame([(1, "zzq", None, None, None, None), (2, rows[0][1], None, None, None, None)], SCHEMA)
+    assert [r.doc_id for r in langid.keep_identified(strange, model).collect()] == [2]  # by the classifier alone
     assert langid.identify(empty, model).count() == 0 and langid.fit_on(empty).langs == ()
     assert {r.lang_pred for r in langid.identify(df, langid.fit([], [])).collect()} == {"und"}
     codes = langid.codewords(12)
@@ -451,6 +459,9 @@ def test_pipeline_stages(spark, tmp_path):
     taken = Counter({r.doc_id: r.copies for r in mixing.mix(c).collect() if r.copies})
     d = steps["mixing"](spark, c, str(tmp_path)).cache()
     assert Counter(r.doc_id for r in d.collect()) == taken
+    twice = [(i, f"{i} " + words(30, random.Random(i))) for i in (1, 2) for _ in range(3)]
+    once = subword.encode_best(spark.createDataFrame(twice, "doc_id long, text string").coalesce(1), public_tokenizers.path("piece_bpe_32k.model"), k=2)
+    assert len({(r.id, tuple(r.ids)) for r in once.collect()}) > 8  # copies draw separately
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(r.doc_id for r in out if r.sample == 0) == taken and len(corpus_pipeline.STAGES) == 5
 
