@@ -14,7 +14,7 @@ from crosscut.llm.queries import tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language."""
+    """Drops documents without a letter, and those whose best language is ambiguous and has under half the probability."""
     return langid.keep_identified(docs, langid.fit_on(docs))
 
 
