@@ -8,20 +8,28 @@ A store is a folder of immutable shards (Parquet files below `data/`) and versio
   with at least `FAN_IN` shards, shards are packed in order of their number into merges of about `target` bytes and at
   most `MAX_FAN_IN` shards; a merge needs two. Each merge becomes one new shard; rounds repeat until no tier has enough
   shards. If `final`, one more round packs what is left over, whatever its tier.
-* `commit` writes manifest n + 1 to a hidden folder and renames it to its number. The rename fails if the number is
-  taken, so of two writers one must start again, and readers see one version or the next, never a mixture. Shards that a
-  lost writer leaves behind are in no manifest and go with `vacuum`.
+* `commit` writes manifest n + 1 to a folder of its own and then creates the small file `<n + 1>.json`, which names it.
+  The file system creates a file that must not exist yet for one writer only, so of two writers one must start again, and
+  readers see one version or the next, never a mixture; a number whose file is still empty isn't a version yet.
+* `vacuum` removes shards and manifests that the newest version doesn't need, if they are older than a stated age: what a
+  writer is about to commit is younger. Shards that a lost writer leaves behind go that way, too.
 
 The manifest has for each shard its number, version, rows, bytes (of the file), smallest and largest id and path.
 
 Defined results: null texts and ids are stored as they are; repeated rows stay as often as they come; an empty table
-gives a manifest without shards; all columns are stored whatever their names, but for the reserved `__crosscut_shard`.
+gives a manifest without shards, which reads as an empty table of the same columns; all columns are stored whatever their names, but for the reserved `__crosscut_shard`.
 """
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 TARGET, ROWS_PER_SHARD = 64 << 20, 1000
 FAN_IN, MAX_FAN_IN, GROWTH = 4, 256, 4
@@ -49,32 +57,48 @@ class Store:
         kinds = [x.split() for x in MANIFEST.split(", ")]
         return self.spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in kinds])
 
-    def version(self) -> int:
-        """The number of the newest manifest, 0 if there is none."""
+    def _versions(self) -> list[int]:
         fs, p = self._fs(f"{self.path}/manifest")
         if not fs.exists(p):
-            return 0
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        return max((int(x) for x in names if x.isdigit()), default=0)
+            return []
+        found = [(s.getPath().getName(), s.getLen()) for s in fs.listStatus(p)]
+        return sorted(int(name[:-5]) for name, size in found if name.endswith(".json") and name[:-5].isdigit() and size)
+
+    def version(self) -> int:
+        """The number of the newest manifest, 0 if there is none."""
+        return max(self._versions(), default=0)
+
+    def _entry(self, version: int) -> dict:
+        """folder: where a version's manifest is; schema: of the stored rows."""
+        fs, p = self._fs(f"{self.path}/manifest/{version:010d}.json")
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """A row per shard."""
         v = self.version() if version is None else version
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/{v:010d}") if v else self._empty()
-
-    def commit(self, shards: DataFrame, version: int) -> None:
-        tmp = f"{self.path}/manifest/.{version:010d}-{self.spark.sql('select uuid()').first()[0]}"
-        shards.coalesce(1).write.parquet(tmp)
-        fs, src = self._fs(tmp)
-        dst = self._fs(f"{self.path}/manifest/{version:010d}")[1]
-        # a rename onto a folder that exists would move into it, so an existing version is a conflict
-        if fs.exists(dst) or not fs.rename(src, dst):
-            fs.delete(src, True)
-            raise Conflict(f"version {version} exists")
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.path}/manifest/{self._entry(v)['folder']}") if v else self._empty()
+
+    def commit(self, shards: DataFrame, version: int, schema: StructType | None = None) -> None:
+        """schema: of the stored rows, that of the version before by default."""
+        known = json.loads(schema.json()) if schema is not None else self._entry(self.version())["schema"]
+        folder = f"rows-{version:010d}-{uuid.uuid4().hex}"
+        shards.coalesce(1).write.parquet(f"{self.path}/manifest/{folder}")
+        fs, p = self._fs(f"{self.path}/manifest/{version:010d}.json")
+        try:
+            out = fs.create(p, False)
+        except Py4JJavaError as e:
+            fs.delete(self._fs(f"{self.path}/manifest/{folder}")[1], True)
+            raise Conflict(f"version {version} exists") from e
+        out.write(bytearray(json.dumps({"folder": folder, "schema": known}).encode()))
+        out.close()
 
     def _folder(self, version: int) -> str:
         """A new folder for shards; a lost writer's folder of the same version is never reused."""
-        return f"{self.path}/data/{version:010d}-{self.spark.sql('select uuid()').first()[0]}"
+        return f"{self.path}/data/{version:010d}-{uuid.uuid4().hex}"
 
     def _entries(self, folder: str, version: int, last: int) -> DataFrame:
         """Manifest rows of the shards just written below a folder, numbered by path after `last`."""
@@ -100,7 +124,7 @@ class Store:
         before = self.version()
         shards, folder = self.manifest(before), self._folder(before + 1)
         docs.write.option("maxRecordsPerFile", rows_per_shard).option("compression", "zstd").parquet(folder)
-        self.commit(shards.unionByName(self._entries(folder, before + 1, self._last(shards))), before + 1)
+        self.commit(shards.unionByName(self._entries(folder, before + 1, self._last(shards))), before + 1, docs.schema)
         return before + 1
 
     @staticmethod
@@ -157,14 +181,21 @@ class Store:
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, with the number of the shard that each is in."""
-        shards = self.manifest(version)
+        v = self.version() if version is None else version
+        if not v:
+            raise ValueError("nothing was ever stored here")
+        shards = self.manifest(v)
         if not shards.take(1):
-            raise ValueError("the store is empty")
+            schema = StructType.fromJson(self._entry(v)["schema"])
+            return self.spark.createDataFrame([], StructType([*schema.fields]).add(SHARD, LongType()))
         return self._rows(shards)
 
-    def vacuum(self) -> None:
-        """Removes the shards that the newest manifest doesn't name, and older manifests."""
-        v = self.version()
+    def vacuum(self, hours: float = 24.0) -> None:
+        """Removes the shards that the newest manifest doesn't name, and older manifests, if they are older than so many
+        hours: longer than any append or compaction takes."""
+        v, before = self.version(), int((time.time() - 3600 * hours) * 1000)
+        if not v:
+            return
         path = lambda name: self._fs(name)[1].toUri().getPath()
         named = {path(r[0]) for r in self.manifest(v).select("file").collect()}
         fs, p = self._fs(f"{self.path}/data")
@@ -172,16 +203,18 @@ class Store:
             files = fs.listFiles(s.getPath(), True)
             stale, kept = [], False
             while files.hasNext():
-                f = files.next().getPath()
-                if f.toUri().getPath() in named:
+                f = files.next()
+                if f.getPath().toUri().getPath() in named or f.getModificationTime() > before:
                     kept = True
-                elif f.getName().startswith("part-"):
-                    stale.append(f)
-            if not kept:
+                elif f.getPath().getName().startswith("part-"):
+                    stale.append(f.getPath())
+            if not kept and s.getModificationTime() <= before:
                 fs.delete(s.getPath(), True)
             for f in stale if kept else []:
                 fs.delete(f, False)
         fs, p = self._fs(f"{self.path}/manifest")
-        for s in fs.listStatus(p) if fs.exists(p) else []:
-            if s.getPath().getName() != f"{v:010d}":
+        own = {f"{v:010d}.json", self._entry(v)["folder"]}
+        for s in fs.listStatus(p):
+            name = s.getPath().getName()
+            if name not in own and s.getModificationTime() <= before:
                 fs.delete(s.getPath(), True)

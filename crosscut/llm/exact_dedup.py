@@ -3,8 +3,8 @@
 Texts are equal when identical after each run of white space is replaced by one space; null counts as empty.
 Batches first insert their texts into a small trie each, so that a text held by a third of all rows is shuffled
 once per batch. Partitions by length and content hash then insert the full byte strings into one compressed radix
-trie whose terminals own the smallest id. A trie over its memory bound spills whole subtrees (by first byte) to
-local files that are read back one at a time and removed.
+trie whose terminals own the smallest id. A trie over its memory bound spills whole subtrees (by the byte at which its
+strings differ) to a task's own temporary files, which are read back one at a time and removed by the same task.
 
 Defined results: a null id is larger than any other and keeps its row only where the group has no id; rows that
 repeat an id and its text are one document and are all marked kept; an empty table gives an empty result; other
@@ -27,7 +27,7 @@ from .common import BROADCAST_IDS, SPACE_RUN, cut, filled
 
 #: Bytes of labels that one partition's trie holds before it spills.
 SPILL_BYTES = 96 << 20
-NODE_BYTES = 200
+NODE_BYTES = 500  # of a node's Python objects, about
 NO_ID = (1 << 63) - 1
 
 
@@ -103,17 +103,24 @@ class SpillingTrie:
                 yield from self._reload(f)
 
     def _reload(self, f) -> Iterator[tuple[bytes, int, int]]:
-        """A spilled subtree has the memory of a trie again, and spills by its next byte in turn."""
-        sub, skip = SpillingTrie(self.limit), None
+        """A spilled subtree has the memory of a trie again, and spills where its strings differ next in turn."""
+        shared = None
+        for key, _, _ in self._stored(f):
+            shared = key if shared is None else os.path.commonprefix((shared, key))
+        f.seek(0)
+        sub = SpillingTrie(self.limit)
+        for key, owner, copies in self._stored(f):
+            sub.insert(key[len(shared) :], owner, copies)
+        for key, owner, copies in sub.items():
+            yield shared + key, owner, copies
+
+    @staticmethod
+    def _stored(f) -> Iterator[tuple[bytes, int, int]]:
         while True:
             try:
-                key, owner, copies = pickle.load(f)
+                yield pickle.load(f)
             except EOFError:
-                break
-            skip = key[:1]
-            sub.insert(key[1:], owner, copies)
-        for key, owner, copies in sub.items():
-            yield skip + key, owner, copies
+                return
 
 
 def _rows(items: Iterator[tuple[bytes, int, int]], with_text: bool) -> Iterator[pa.RecordBatch]:

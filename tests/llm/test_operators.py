@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from crosscut.llm import compaction, exact_dedup, langid, lsh_forest, media, mixing, paragraphs, subword, token_file, warc
+from crosscut.llm import compaction, exact_dedup, langid, lsh_forest, media, mixing, paragraphs, queries, subword, token_file, warc
 from crosscut.llm.common import flat
 from crosscut.llm.components import components, joined
 
@@ -206,6 +207,11 @@ def test_trie_spills_whole_subtrees():
         a, b = want.get(k, (i, 0))
         want[k] = (min(a, i), b + 1)
     assert trie.files and {k: (o, c) for k, o, c in trie.items()} == want
+    head = bytes(rng.randrange(256) for _ in range(100_000))  # a long shared head, as licences have
+    trie, want = exact_dedup.SpillingTrie(20_000), {head + k: (i, 1) for i, k in enumerate(set(keys))}
+    for k, (i, _) in want.items():
+        trie.insert(k, i, 1)
+    assert trie.files and {k: (o, c) for k, o, c in trie.items()} == want
 
 
 def test_components(spark):
@@ -422,12 +428,25 @@ def test_compaction(spark, docs, empty, tmp_path):
     assert len(after) < len(before) and sum(r.rows for r in after) == docs.count()
     key = lambda df: sorted(map(tuple, df.select(*docs.columns).collect()), key=repr)
     assert key(store.read()) == key(docs) == key(store.read(6))  # older versions stay readable
+    store.vacuum()  # all is younger than a day
+    assert key(store.read(6)) == key(docs)
+    # a writer whose shards are written but not committed yet survives a vacuum, and then commits
+    late = store._folder(version + 1)
+    docs.limit(3).write.parquet(late)
     store.vacuum()
+    assert spark.read.parquet(late).count() == 3
+    time.sleep(0.1)
+    store.vacuum(hours=0)
     assert key(store.read()) == key(docs) and store.compact(target=3 * max(small)) == version
-    with pytest.raises(compaction.Conflict):
+    assert not (tmp_path / "store" / "data" / late.rsplit("/", 1)[1]).exists()
+    with pytest.raises(compaction.Conflict):  # another writer was first
         store.commit(store.manifest(), version)
+    assert key(store.read()) == key(docs)
     none = compaction.Store(spark, f"file://{tmp_path}/none")
     assert none.append(empty) == 1 and none.compact() == 1 and none.manifest().count() == 0
+    assert none.read().count() == 0 and none.read().columns == [*empty.columns, compaction.SHARD]
+    empty.write.parquet(f"{tmp_path}/nothing/documents.parquet")
+    assert queries.op3_compaction(spark, f"{tmp_path}/nothing").count() == 0
 
 
 def test_compaction_plan(spark):
