@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..config import YEAR
 from ..functions.labels import safe_log_ratio
 
-#: Beyond so many rows per half-life the scaled sums of the window form leave the range of doubles.
+#: The scaled sums of an EWMA window cover so many half-lives at most, to stay in the range of doubles.
 SAFE_SPAN = 400
 
 
@@ -49,7 +49,8 @@ def ewma_vol(df: DataFrame, r: str, halflife: float, out: str, key: Iterable[str
     """df with the annualised, demeaned and bias-corrected EWMA volatility of r; NULL rows carry the last value.
 
     Weights relative to the first observation are running products; scaled sums of them give all moments in one window.
-    The weights grow as 2**(rows / halflife), so rows / halflife must stay under SAFE_SPAN; see ewma_vol_grouped.
+    The weights grow as 2**(rows / halflife). Long histories therefore fall into blocks of SAFE_SPAN / 2 half-lives, and
+    the rows of a block are summed together with the block before; what is still earlier weighs under 2**-200.
     """
     key = list(key)
     alpha = 1.0 - math.exp(-math.log(2.0) / halflife)
@@ -61,18 +62,25 @@ def ewma_vol(df: DataFrame, r: str, halflife: float, out: str, key: Iterable[str
     t = t.withColumn("_p", F.last(F.when(x.isNotNull(), F.col("_i")), ignorenulls=True).over(earlier))
     gap = F.pow(F.lit(1.0 - alpha), (F.col("_i") - F.col("_p")).cast("double"))
     t = t.withColumn("_a", F.when(x.isNotNull(), F.when(F.col("_p").isNull(), 1.0).otherwise(F.lit(alpha) / (gap + F.lit(alpha)))))
+    t = t.withColumn("_z", x - F.first(x, ignorenulls=True).over(run))
+    size = max(1, int(SAFE_SPAN / 2 * halflife))
+    block = F.floor((F.col("_i") - 1) / size)
+    more = F.max("_i").over(Window.partitionBy(*key)) > (block + 1) * size
+    t = t.withColumn("_g", F.when(more, F.array(block, block + 1)).otherwise(F.array(block))).withColumn("_g", F.explode("_g"))
+    run = _over([*key, "_g"], date).rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("_l", F.coalesce(F.sum(F.when(F.col("_a") < 1.0, F.log(1.0 - F.col("_a")))).over(run), F.lit(0.0)))
-    t = t.withColumn("_w", F.col("_a") * F.exp(-F.col("_l"))).withColumn("_z", x - F.first(x, ignorenulls=True).over(run))
+    t = t.withColumn("_w", F.col("_a") * F.exp(-F.col("_l")))
     w, z = F.col("_w"), F.col("_z")
     t = t.withColumns({"_s": F.sum(w).over(run), "_s2": F.sum(w * w).over(run), "_m": F.sum(w * z).over(run), "_q": F.sum(w * z * z).over(run)})
     s, s2 = F.col("_s"), F.col("_s2")
     raw = F.greatest(F.lit(0.0), F.try_divide(F.col("_q"), s) - F.pow(F.try_divide(F.col("_m"), s), F.lit(2.0)))
     var = F.when(s * s > s2, raw * s * s / (s * s - s2))
-    return t.withColumn(out, F.sqrt(var) * math.sqrt(annual)).drop("_i", "_p", "_a", "_l", "_w", "_z", "_s", "_s2", "_m", "_q")
+    t = t.withColumn(out, F.sqrt(var) * math.sqrt(annual)).filter(F.col("_g") == block)
+    return t.drop("_i", "_p", "_a", "_l", "_w", "_z", "_g", "_s", "_s2", "_m", "_q")
 
 
 def ewma_vol_grouped(df: DataFrame, r: str, halflife: float, out: str, key: Iterable[str] = ("series_id",), date: str = "date", annual: int = YEAR) -> DataFrame:
-    """The same for histories too long for ewma_vol: one series at a time in pandas."""
+    """The same, one series at a time in pandas: what ewma_vol is tested against."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -83,11 +91,6 @@ def ewma_vol_grouped(df: DataFrame, r: str, halflife: float, out: str, key: Iter
     return done.withColumn(out, F.when(~F.isnan(out), F.col(out)))
 
 
-def ewma_vol_auto(df: DataFrame, r: str, halflife: float, out: str, rows: int, **kw) -> DataFrame:
-    """rows: the number of dates; picks the form that stays in range."""
-    return (ewma_vol if rows / halflife < SAFE_SPAN else ewma_vol_grouped)(df, r, halflife, out, **kw)
-
-
 def rolling_percentile(value: str, rows: int, key: Iterable[str] = ("cut",), date: str = "date", strict: bool = False) -> Column:
     """(values of the window <= the current one - 1) / (rows of the window - 1).
 

@@ -38,10 +38,19 @@ def test_ewma_matches_pandas_with_gaps(spark):
     x[rng.random(200) < 0.2] = np.nan
     want = pd.Series(x).ewm(halflife=10, adjust=False).std() * math.sqrt(252)
     df = frame(spark, x)
-    for got in (values(wi.ewma_vol(df, "r1", 10, "v"), "v"), values(wi.ewma_vol_auto(df, "r1", 10, "v", rows=10**6), "v")):
+    for got in (values(wi.ewma_vol(df, "r1", 10, "v"), "v"), values(wi.ewma_vol_grouped(df, "r1", 10, "v"), "v")):
         np.testing.assert_allclose(np.array(got, float), want.to_numpy(), rtol=1e-9)
 
 
+def test_ewma_volatility_of_a_long_history(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 0.01, 9000)
+    x[rng.random(9000) < 0.1] = np.nan
+    want = pd.Series(x).ewm(halflife=5, adjust=False).std() * math.sqrt(252)  # 1,800 half-lives
+    got = values(wi.ewma_vol(frame(spark, x), "r1", 5, "v"), "v")
+    np.testing.assert_allclose(np.array(got, float), want.to_numpy(), rtol=1e-9)
+
+
 def test_percentile_matches_its_definition_and_strict_mode(spark):
     x = [0.1, 0.4, None, 0.2, 0.4, 0.3]
     df = frame(spark, [math.nan if v is None else v for v in x])
