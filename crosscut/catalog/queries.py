@@ -22,7 +22,7 @@ from ..report import bundle as rb
 from ..sources import panel as src
 from . import base
 from .base import Inputs, tidy
-from .sql import ASYM, ORDINAL, QUINTILE, TERCILE, q, r
+from .sql import ASYM, ORDINAL, PC1, QUINTILE, TERCILE, q, r
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -32,10 +32,10 @@ ORACLE_SQL: dict[str, str] = {}
 #: Date columns of the queries whose dates aren't in one column `date`; they compare as text.
 DATES = dict.fromkeys(
     (
-        "s1_universe_split s6_macro_ids p1_universe_check p2_calendar_gaps p3_missing_counts p7_membership p8_report_filter w14_breach_window "
+        "s1_universe_split s6_macro_ids s7_series_hash p1_universe_check p2_calendar_gaps p3_missing_counts p4_price_checks p7_membership p8_report_filter w14_breach_window "
         "j1_series_dimension j7_event_window j8_weight_alignment j11_series_with_prices u1_union_all u2_difference u3_intersection "
         "a7_stability_metrics a8_share_above a9_any_match a10_axis_range f9_safe_math f11_series_id c4_alerts c5_external_panel g1_vix_gate "
-        "g2_bbb_gate g3_event_gate g4_segmentation_gate g5_stability_gate g6_consistency_gate o4_extremes"
+        "g2_bbb_gate g3_event_gate g4_segmentation_gate g5_stability_gate g6_consistency_gate g7_all_gates o4_extremes"
     ).split(),
     (),
 ) | {
@@ -74,12 +74,16 @@ query("s4_macro_pull", q(f"SELECT date, macro_id, {r('value')} AS value FROM mac
 query("s6_macro_ids", "SELECT unnest(['VIXCLS', 'BAMLC0A4CBBB', 'BAMLEMCBPIOAS', 'BAMLH0A0HYM2', 'T10Y2Y']) AS macro_id")(
     lambda x: x.spark.range(1).select(F.explode(F.array(*[F.lit(i) for i in src.MACRO_IDS])).alias("macro_id"))
 )
-query("s7_series_hash")(lambda x: src.series_hash(x.macro))
+query("s7_series_hash", q("SELECT macro_id, sha256(string_agg(h, ',' ORDER BY h)) AS hash FROM (SELECT macro_id, md5(date::VARCHAR || '|' || value::VARCHAR) AS h FROM macro) t GROUP BY macro_id"))(lambda x: src.series_hash(x.macro))
 _LONG = "SELECT date, cut, 'cap_wtd' AS scheme, {b} AS beta, {r2} AS r2, n, suppressed, singular FROM {t} UNION ALL SELECT date, cut, 'eq_wtd', {be}, {re}, n, suppressed, singular FROM {t}"
 _long = lambda t: q(_LONG.format(t=t, b=r("beta_cap"), r2=r("r2_cap"), be=r("beta_eq"), re=r("r2_eq")))
 query("s13_beta_writer_rows", _long("beta"))(lambda x: cs.long_form(x.beta))
-query("s14_melt", q(f"SELECT date, cut AS segment, {r('beta_cap')} AS beta FROM beta WHERE cut IN ('DM', 'EM')"))(
-    lambda x: src.melt(x.beta.groupBy("date").pivot("cut", ["DM", "EM"]).agg(F.first("beta_cap")), "beta")
+query("s12_stacked_cuts", q(f"SELECT date, cut AS segment, 'eq_wtd' AS scheme, {r('beta_eq')} AS beta, n FROM beta UNION ALL SELECT date, cut, 'cap_wtd', {r('beta_cap')}, n FROM beta"))(
+    lambda x: cs.long_form(x.beta).select("date", F.col("cut").alias("segment"), "scheme", "beta", "n")
+)
+query("s19_tripwire_rows", f"SELECT date, cut AS segment, scheme, beta, r2, n, suppressed, singular FROM ({_long('trip')}) t")(lambda x: cs.long_form(x.tripwire).withColumnRenamed("cut", "segment"))
+query("s14_melt", q(f"SELECT date, cut AS segment, {r('beta_cap')} AS beta FROM beta"))(
+    lambda x: src.melt(x.beta.groupBy("date").pivot("cut", list(cu.CUTS)).agg(F.first("beta_cap")), "beta")
 )
 query("s15_regime_rows", q(f"SELECT date, cut AS segment, tercile, {r('percentile')} AS percentile_5y, quintile, direction, n, thin_cut, bootstrap FROM reg"))(
     lambda x: x.regimes.withColumnsRenamed({"cut": "segment", "percentile": "percentile_5y"})
@@ -113,6 +117,21 @@ SELECT e.asset_class, coalesce(max(k), 0)::BIGINT AS longest FROM e LEFT JOIN c
 query("p3_missing_counts", q("SELECT asset_class, series_id, count(*) AS missing FROM dense WHERE price IS NULL GROUP BY ALL"))(
     lambda x: va.missing_counts(x.returns, ("asset_class", "series_id"))
 )
+query(
+    "p4_price_checks",
+    q(""", e AS (SELECT asset_class, min(date) AS lo, max(date) AS hi FROM dense GROUP BY 1),
+b AS (SELECT asset_class, unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE AS date FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY asset_class ORDER BY date) AS i FROM b WHERE isodow(date) < 6),
+l AS (SELECT *, i - row_number() OVER (PARTITION BY asset_class ORDER BY date) AS g FROM n WHERE NOT EXISTS (SELECT 1 FROM dense d WHERE d.asset_class = n.asset_class AND d.date = n.date)),
+k AS (SELECT asset_class, g, count(*) AS k FROM l GROUP BY 1, 2)
+SELECT e.asset_class, (SELECT coalesce(max(k), 0)::BIGINT FROM k WHERE k.asset_class = e.asset_class) AS longest,
+  (SELECT count(*) FROM dense d WHERE d.asset_class = e.asset_class AND price IS NULL) AS missing FROM e"""),
+)(lambda x: va.price_checks(x.returns))
+query("p6_cell_lookup", q(f"SELECT d.date, s.series_id, {r('t.vol')} AS vol, {r('t.ret')} AS ret FROM alldates d CROSS JOIN series s LEFT JOIN rets t ON t.date = d.date AND t.series_id = s.series_id"))(
+    lambda x: (
+        x.returns.select("date").distinct().crossJoin(x.series.select("series_id")).join(x.returns.select("date", "series_id", "vol", "ret"), ["date", "series_id"], "left")
+    )
+)
 query("p5_finite_pairs", q(f"SELECT date, cut, count(*) AS n, {r('sum(x)')} AS sx FROM beta_1 GROUP BY ALL"))(
     lambda x: cs.panel(x.returns, x.members, x.series).groupBy("date", "cut").agg(F.count("*").alias("n"), F.sum("x").alias("sx"))
 )
@@ -152,7 +171,7 @@ query("w8_forward_fill", q("SELECT date, macro_id, round(value, 6) AS value, rou
     )
 )
 query("w9_mean_pairwise", q(f"SELECT date, cut, {r('avg_pairwise')} AS avg_pairwise FROM pairwise"))(lambda x: x.pairwise)
-query("w10_first_component")(lambda x: co.rolling_matrix(x.both, x.members, base.CORR, co.first_component, "pc1_share"))
+query("w10_first_component", q(PC1 + f"SELECT date, cut, {r('pc1_share')} AS pc1_share FROM pc1"))(lambda x: co.rolling_matrix(x.both, x.members, base.CORR, co.first_component, "pc1_share"))
 _PROXY = "proxy AS (SELECT date, sum(coalesce(w, 0) * coalesce(r1, 0)) / (SELECT sum(coalesce(mcap, 0)) FROM series WHERE series_id IN (SELECT series_id FROM rets)) AS proxy FROM (SELECT t.date, t.r1, s.mcap AS w FROM rets t LEFT JOIN series s USING (series_id)) z GROUP BY date)"
 _BETA = f""", {_PROXY}, bv AS (SELECT t.date, t.series_id, CASE WHEN count(r1) OVER w = 12 AND count(proxy) OVER w = 12 AND var_samp(proxy) OVER w > 0 THEN covar_samp(r1, proxy) OVER w / var_samp(proxy) OVER w END AS beta
 FROM rets t JOIN proxy USING (date) WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))"""
@@ -197,7 +216,7 @@ def _composite_returns(x: Inputs) -> DataFrame:
 # ---- joins and set operations
 
 query("j1_series_dimension", q(f"SELECT m.cut, s.series_id, s.country, s.asset_class, {r('mcap')} AS mcap FROM mem m JOIN series s USING (series_id)"))(
-    lambda x: x.members.join(F.broadcast(x.series), "series_id").select("cut", "series_id", "country", "asset_class", "mcap")
+    lambda x: x.members.join(x.series, "series_id").select("cut", "series_id", "country", "asset_class", "mcap")
 )
 query("j2_date_cut_spine", q("SELECT date, cut, n FROM beta"))(lambda x: x.beta.select("date", "cut", "n"))
 query("j3_both_calendars", q(f"SELECT date, series_id, {r('r1')} AS r1 FROM bothr"))(lambda x: x.both)
@@ -264,8 +283,8 @@ query("a3_cross_section", q(f"SELECT date, cut, {_FIT}, {r('beta_cap - beta_eq')
 query("a4_per_date_cut", q("SELECT date, sum(n)::BIGINT AS n, count(CASE WHEN suppressed THEN 1 END) AS suppressed FROM beta GROUP BY date"))(
     lambda x: x.beta.groupBy("date").agg(F.sum("n").alias("n"), F.count_if("suppressed").alias("suppressed"))
 )
-query("a5_panel_assembly", q(f"SELECT date, cut, {r('x')} AS x, {r('y')} AS y, {r('w')} AS w FROM beta_1 WHERE cut IN ('LatAm', 'DM_FI')"))(
-    lambda x: cs.panel(x.returns, x.members.filter(F.col("cut").isin("LatAm", "DM_FI")), x.series)
+query("a5_panel_assembly", q(f"SELECT date, cut, {r('x')} AS x, {r('y')} AS y, {r('w')} AS w FROM beta_1"))(
+    lambda x: cs.panel(x.returns, x.members, x.series)
 )
 query("a6_calm_quarters", q(_CALM + "SELECT quarter FROM calm"))(lambda x: ga.calm_quarters(_proxy(x), 6))
 query("a7_transitions_per_quarter", q(_CALM + "SELECT quarter, segment, transitions FROM tq"))(lambda x: ga.transitions_per_quarter(x.transitions))
@@ -286,7 +305,7 @@ ob AS (SELECT *, se_slope * sqrt(sxx / n + mean_x * mean_x) AS se_intercept FROM
 
 
 def _lines(x: Inputs) -> DataFrame:
-    rows = x.returns.filter("vol is not null and ret is not null").join(F.broadcast(x.series.select("series_id", F.col("segment").alias("cut"))), "series_id")
+    rows = x.returns.filter("vol is not null and ret is not null").join(x.series.select("series_id", F.col("segment").alias("cut")), "series_id")
     return cs.ols_band(rows.select("date", "cut", F.col("vol").alias("x"), F.col("ret").alias("y")), ("date", "cut"))
 
 
@@ -315,6 +334,9 @@ query("f8_label_gap", q(f"SELECT a.date, abs({ORDINAL.format('a.tercile')} - {OR
 query("f9_safe_math", q(f"SELECT country, {r('CASE WHEN eq_mcap / nullif(fi_mcap, 0) > 0 THEN ln(eq_mcap / nullif(fi_mcap, 0)) END')} AS ratio FROM universe"))(
     lambda x: x.universe.select("country", fn.safe_log_ratio(F.col("eq_mcap"), F.col("fi_mcap")).alias("ratio"))
 )
+query("f10_not_infinite", q(f"SELECT date, country, asset_class, {r('price / nullif(month(date) % 4, 0)')} AS share FROM prices"))(
+    lambda x: x.prices.select("date", "country", "asset_class", fn.finite_ratio(F.col("price"), F.month("date") % 4).alias("share"))
+)
 query("f11_series_id", q("SELECT DISTINCT country, asset_class, country || '_' || asset_class AS series_id FROM prices"))(
     lambda x: x.prices.select("country", "asset_class", fn.series_id(F.col("country"), F.col("asset_class")).alias("series_id")).distinct()
 )
@@ -333,7 +355,7 @@ query("c4_alerts", q(f"SELECT kind, segment, count(*) AS n FROM ({_ALERTS}) t GR
 query("c5_external_panel", q(f"SELECT macro_id, cut, count(rho) AS n, {r('avg(rho)')} AS mean FROM rho GROUP BY ALL"))(lambda x: x.rho.groupBy("macro_id", "cut").agg(F.count("rho").alias("n"), F.avg("rho").alias("mean")))
 query("c6_below_threshold", q(f"SELECT date, cut, macro_id, {r('rho')} AS rho, coalesce(abs(rho) < 0.3::DOUBLE, false) AS below_threshold FROM rho"))(lambda x: x.flags)
 query("c7_internal_consistency", q("SELECT date, cut, gap FROM gaps"))(lambda x: x.gaps)
-query("c8_correlation_panel")(lambda x: co.correlation_panel(x.both, x.members, x.both.select("date").distinct().crossJoin(cu.cut_table(x.spark)), base.CORR))
+query("c8_correlation_panel", q(PC1 + f"SELECT date, cut, {r('avg_pairwise')} AS avg_pairwise, {r('pc1_share')} AS pc1_share FROM pc1 LEFT JOIN pairwise USING (date, cut)"))(lambda x: co.correlation_panel(x.both, x.members, x.both.select("date").distinct().crossJoin(cu.cut_table(x.spark)), base.CORR))
 query("c9_tripwire", _long("trip"))(lambda x: cs.long_form(x.tripwire))
 _gate = lambda macro, rho: q(f"SELECT '{{g}}' AS gate, coalesce(avg(f) >= 0.8::DOUBLE, false) AS passed, {r('avg(f)')} AS value FROM (SELECT (abs(rho) >= {rho}::DOUBLE)::INT AS f FROM rho WHERE cut = 'global' AND macro_id = '{macro}' AND rho IS NOT NULL) t")
 query("g1_vix_gate", _gate("VIXCLS", 0.5).replace("{g}", "G1_vix"))(lambda x: ga.coupling(x.rho, "G1_vix", *ga.G1))
@@ -346,12 +368,16 @@ _G5 = "SELECT 'G5_stability' AS gate, coalesce(max(coalesce(transitions, 0)), 0)
 query("g5_stability_gate", q(_CALM + _G5))(lambda x: ga.stability(x.transitions, _proxy(x), window=6))
 _G6 = "SELECT 'G6_internal' AS gate, coalesce(max(s), 0) <= 5 AS passed, coalesce(max(s), 0)::DOUBLE AS value FROM (SELECT sum(coalesce((gap > 1)::INT, 0)) OVER (ORDER BY date ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS s FROM gaps WHERE cut = 'DM') t"
 query("g6_consistency_gate", q(_G6))(lambda x: ga.consistency(x.gaps))
-query("g7_all_gates")(lambda x: ga.evaluate(x.regimes, x.rho, x.transitions, _proxy(x), x.gaps, ga.event_table(x.spark, _EVENTS)))
+_G12 = (_gate("VIXCLS", 0.5).replace("{g}", "G1_vix"), _gate("BAMLC0A4CBBB", 0.4).replace("{g}", "G2_bbb"))
+_ALL = " UNION ALL ".join(f"SELECT * FROM ({g.removeprefix(q(''))}) z{i}" for i, g in enumerate((*_G12, _G3, _G4, _G5, _G6)))
+query("g7_all_gates", q(f", {_EV} {_CALM} {_ALL}"))(
+    lambda x: ga.evaluate(x.regimes, x.rho, x.transitions, _proxy(x), x.gaps, ga.event_table(x.spark, _EVENTS), days=45, window=6)
+)
 
 # ---- order, top-k, pivot, report
 
-query("o1_sorted", q(f"SELECT date, cut, {r('beta_cap')} AS beta FROM beta WHERE cut = 'global' ORDER BY date"))(
-    lambda x: x.beta.filter("cut = 'global'").select("date", "cut", F.col("beta_cap").alias("beta")).orderBy("date")
+query("o1_sorted", q(f"SELECT date, cut, {r('beta_cap')} AS beta FROM beta ORDER BY date, cut"))(
+    lambda x: x.beta.select("date", "cut", F.col("beta_cap").alias("beta")).orderBy("date", "cut")
 )
 query("o2_pivot", q("SELECT date, " + ", ".join(f"round(max(CASE WHEN cut = '{c}' THEN beta_cap END), 6) + 0.0 AS \"{c}\"" for c in cu.CUTS) + " FROM beta GROUP BY date"))(
     lambda x: rb.slope_table(cs.long_form(x.beta), key="cut")

@@ -107,5 +107,25 @@ isl AS (SELECT *, row_number() OVER (PARTITION BY cut, run ORDER BY date) AS pla
 """
 
 
+def _squared(n: int) -> str:
+    """CTEs that square each window's matrix and scale it to trace 1."""
+    m = f"SELECT a.e, a.cut, a.p, b.q, sum(a.v * b.v) AS v FROM pg{n - 1} a JOIN pg{n - 1} b ON a.e = b.e AND a.cut = b.cut AND a.q = b.p GROUP BY ALL"
+    return f"pg{n} AS MATERIALIZED (SELECT e, cut, p, q, v / sum(CASE WHEN p = q THEN v END) OVER (PARTITION BY e, cut) AS v FROM ({m}) t)"
+
+
+#: The first component's share: a power of the rows' products, by repeated squaring, times the products themselves.
+PC1 = f""", di AS MATERIALIZED (SELECT date, row_number() OVER (ORDER BY date) AS i FROM alldates),
+wm AS MATERIALIZED (SELECT m.cut, b.series_id, d.i, b.r1 FROM bothr b JOIN di d USING (date) JOIN mem m USING (series_id)),
+we AS MATERIALIZED (SELECT d.i AS e, w.cut, w.series_id, w.i - d.i AS p, w.r1 FROM di d JOIN wm w ON w.i BETWEEN d.i - 11 AND d.i WHERE d.i >= 12),
+wc AS MATERIALIZED (SELECT e, cut, series_id, count(r1) AS k, avg(r1) AS m FROM we GROUP BY ALL),
+wok AS (SELECT e, cut FROM wc WHERE k > 0 GROUP BY ALL HAVING min(k) = 12 AND count(*) >= 2),
+wz AS MATERIALIZED (SELECT e, cut, series_id, p, r1 - m AS z FROM we JOIN wc USING (e, cut, series_id) JOIN wok USING (e, cut) WHERE k = 12),
+pgr AS (SELECT a.e, a.cut, a.p, b.p AS q, sum(a.z * b.z) AS v FROM wz a JOIN wz b USING (e, cut, series_id) GROUP BY ALL),
+pg0 AS MATERIALIZED (SELECT e, cut, p, q, v / t AS v FROM (SELECT *, sum(CASE WHEN p = q THEN v END) OVER (PARTITION BY e, cut) AS t FROM pgr) t WHERE t > 0),
+{", ".join(_squared(n) for n in range(1, 13))},
+ps AS (SELECT a.e, a.cut, sum(a.v * b.v) AS pc1_share FROM pg12 a JOIN pg0 b ON a.e = b.e AND a.cut = b.cut AND a.q = b.p AND a.p = b.q GROUP BY ALL),
+pc1 AS (SELECT date, c.cut, pc1_share FROM di CROSS JOIN cuts c LEFT JOIN ps ON ps.e = di.i AND ps.cut = c.cut) """
+
+
 def q(select: str) -> str:
     return CHAIN + select

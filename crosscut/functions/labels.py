@@ -43,6 +43,11 @@ def gap(a: Column, b: Column) -> Column:
     return F.abs(ordinal(a) - ordinal(b))
 
 
+def finite_ratio(a: Column, b: Column) -> Column:
+    """a / b; NULL where b is 0, never infinite."""
+    return F.try_divide(a, b)
+
+
 def safe_log_ratio(a: Column, b: Column) -> Column:
     """ln(a / b); NULL where the ratio isn't positive or b is 0."""
     ratio = F.try_divide(a, b)

@@ -3,66 +3,88 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from math import sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cuts import pairs
-from .windows import rolling_corr
+from .windows import last_rows
 
 MIN_ROWS, MIN_COLUMNS = 3, 2
+#: A series whose deviation in a window is at or below this has no correlation there.
+FLAT = 1e-150
+#: So many window ends make one block of the rolling matrices.
+BLOCK = 256
 
 
 def avg_pairwise(returns: DataFrame, members: DataFrame, window: int, r: str = "r1") -> DataFrame:
-    """date, cut, avg_pairwise: the mean over pairs with a defined correlation.
+    """date, cut, avg_pairwise: the mean over pairs with a defined correlation; no row without a pair.
 
-    returns is dense. Each pair of series is computed once, in its own window partition, and then joined to all cuts
-    that have it; the wide cut holds every pair that a narrower one has.
+    returns is dense. A pair's correlation is defined where both series are whole in the window, so with z a series'
+    window, centred and of length 1, the k series that are whole have the pairwise sum (|sum of z|**2 - k) / 2. No pairs
+    are formed: one window a series and one partial aggregate of `window` sums a date and cut.
     """
-    both = pairs(members)
-    rows = returns.select("date", "series_id", F.col(r).alias("r"))
-    left = rows.select("date", F.col("series_id").alias("a"), F.col("r").alias("ra"))
-    right = rows.select("date", F.col("series_id").alias("b"), F.col("r").alias("rb"))
-    unique = both.select("a", "b").distinct()
-    t = left.join(F.broadcast(unique), "a").join(right, ["date", "b"])
-    t = t.select("date", "a", "b", rolling_corr("ra", "rb", window, ("a", "b")).alias("rho")).filter("rho is not null")
-    return t.join(F.broadcast(both), ["a", "b"]).groupBy("date", "cut").agg(F.avg("rho").alias("avg_pairwise"))
+    over = last_rows(("series_id",), window)
+    t = returns.select(
+        "date",
+        "series_id",
+        F.count(r).over(over).alias("n"),
+        F.avg(r).over(over).alias("mean"),
+        (F.stddev_samp(r).over(over)).alias("sd"),
+        F.collect_list(r).over(over).alias("v"),
+    ).filter((F.col("n") == window) & (F.col("sd") > FLAT))
+    scale = F.col("sd") * sqrt(window - 1)
+    t = t.select("date", "series_id", F.transform("v", lambda e: (e - F.col("mean")) / scale).alias("z"))
+    sums = [F.sum(F.col("z")[i]).alias(f"s{i}") for i in range(window)]
+    t = t.join(members.select("cut", "series_id"), "series_id").groupBy("date", "cut").agg(F.count("*").alias("k"), *sums)
+    length = F.aggregate(F.array(*[F.col(f"s{i}") for i in range(window)]), F.lit(0.0), lambda a, e: a + e * e)
+    k = F.col("k")
+    return t.filter(k > 1).select("date", "cut", ((length - k) / (k * (k - 1))).alias("avg_pairwise"))
 
 
 def first_component(window: np.ndarray) -> float | None:
-    """Largest eigenvalue over the trace of the covariance; NULL if any entry isn't finite or the trace isn't positive."""
-    if window.shape[0] < MIN_ROWS or window.shape[1] < MIN_COLUMNS:
-        return None
-    cov = np.cov(window, rowvar=False)
-    if not np.isfinite(cov).all():
+    """Largest eigenvalue over the trace of the covariance; NULL if any entry isn't finite or the trace isn't positive.
+
+    The products of rows have the same nonzero eigenvalues as those of columns; the smaller of the two is taken.
+    """
+    if window.shape[0] < MIN_ROWS or window.shape[1] < MIN_COLUMNS or not np.isfinite(window).all():
         return None
-    values = np.linalg.eigvalsh(cov)
+    z = window - window.mean(0)
+    values = np.linalg.eigvalsh(z @ z.T if z.shape[0] < z.shape[1] else z.T @ z)
     total = float(values.sum())
     return float(values[-1] / total) if total > 0 else None
 
 
-def rolling_matrix(returns: DataFrame, members: DataFrame, window: int, reducer: Callable[[np.ndarray], float | None], out: str, r: str = "r1") -> DataFrame:
-    """date, cut, out: a reducer over each window's matrix without its all-missing columns.
+def rolling_matrix(
+    returns: DataFrame, members: DataFrame, window: int, reducer: Callable[[np.ndarray], float | None], out: str, r: str = "r1", block: int = BLOCK
+) -> DataFrame:
+    """date, cut, out: a reducer over each window's matrix without its all-missing columns; NULL before the first whole window.
 
-    There is no SQL form of an eigenvalue, so each cut is one pandas group: dates x series of the cut, bounded by the
-    calendar and the universe, not by history times facts.
+    There is no SQL form of an eigenvalue, so a cut's dates are dealt into blocks of window ends, each with the window - 1
+    dates before it; a pandas group is one block of one cut. Only the calendar, a row per date, is numbered in one task.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot(index="date", columns="series_id", values="r").sort_index()
-        a = wide.to_numpy(float)
+        wide = pdf.pivot(index="i", columns="series_id", values="r").sort_index()
+        dates, first = pdf.drop_duplicates("i").set_index("i")["date"], int(pdf["block"].iloc[0]) * block
+        a, at = wide.to_numpy(float), wide.index.to_numpy()
         some = ~np.isnan(a)
         count = np.concatenate((np.zeros((1, a.shape[1])), np.cumsum(some, 0)))
-        values: list[float | None] = [None] * len(a)
-        for end in range(window - 1, len(a)):
-            has = count[end + 1] - count[end + 1 - window] > 0
-            values[end] = reducer(a[end + 1 - window : end + 1][:, has])
-        return pd.DataFrame({"date": wide.index, "cut": pdf["cut"].iloc[0], out: pd.array(values, dtype="Float64")})
-
-    rows = returns.select("date", "series_id", F.col(r).alias("r")).join(F.broadcast(members), "series_id")
-    return rows.groupBy("cut").applyInPandas(one, f"date date, cut string, {out} double")
+        ends = np.flatnonzero((at >= first) & (at < first + block))
+        values: list[float | None] = [None] * len(ends)
+        for n, end in enumerate(ends):
+            if end >= window - 1:
+                has = count[end + 1] - count[end + 1 - window] > 0
+                values[n] = reducer(a[end + 1 - window : end + 1][:, has])
+        return pd.DataFrame({"date": dates.loc[at[ends]].to_numpy(), "cut": pdf["cut"].iloc[0], out: pd.array(values, dtype="Float64")})
+
+    calendar = returns.select("date").distinct().withColumn("i", F.row_number().over(Window.orderBy("date")) - 1)
+    block_of = F.explode(F.sequence(F.floor(F.col("i") / block), F.floor((F.col("i") + window - 1) / block))).alias("block")
+    rows = returns.select("date", "series_id", F.col(r).alias("r")).join(calendar, "date").select("*", block_of)
+    rows = rows.join(members.select("cut", "series_id"), "series_id")
+    return rows.groupBy("cut", "block").applyInPandas(one, f"date date, cut string, {out} double")
 
 
 def correlation_panel(returns: DataFrame, members: DataFrame, spine: DataFrame, window: int, r: str = "r1") -> DataFrame:

@@ -10,10 +10,10 @@ SINGULAR = 1e-12
 
 
 def panel(returns: DataFrame, members: DataFrame, series: DataFrame, y: str = "ret", x: str = "vol") -> DataFrame:
-    """date, cut, x, y, w of each series with both values; the dimensions are small next to the facts."""
+    """date, cut, x, y, w of each series with both values; whether the dimension is broadcast is Spark's choice by its size."""
     dim = members.join(series.select("series_id", "mcap"), "series_id")
     rows = returns.filter(F.col(y).isNotNull() & F.col(x).isNotNull())
-    return rows.join(F.broadcast(dim), "series_id").select("date", "cut", F.col(x).alias("x"), F.col(y).alias("y"), F.col("mcap").alias("w"))
+    return rows.join(dim, "series_id").select("date", "cut", F.col(x).alias("x"), F.col(y).alias("y"), F.col("mcap").alias("w"))
 
 
 def _fit(w: str, mx: str, my: str) -> dict[str, Column]:
@@ -67,9 +67,10 @@ def on_spine(fits: DataFrame, dates: DataFrame, cuts: DataFrame) -> DataFrame:
 
 
 def long_form(fits: DataFrame) -> DataFrame:
-    """Both schemes as rows: date, cut, scheme, beta, r2, n, suppressed, singular."""
-    one = lambda s, k: fits.select("date", "cut", F.lit(s).alias("scheme"), F.col(f"beta_{k}").alias("beta"), F.col(f"r2_{k}").alias("r2"), "n", "suppressed", "singular")
-    return one("cap_wtd", "cap").unionByName(one("eq_wtd", "eq"))
+    """Both schemes as rows, in one pass: date, cut, scheme, beta, r2, n, suppressed, singular."""
+    schemes = [F.struct(F.lit(s).alias("scheme"), F.col(f"beta_{k}").alias("beta"), F.col(f"r2_{k}").alias("r2")) for s, k in (("cap_wtd", "cap"), ("eq_wtd", "eq"))]
+    t = fits.select("date", "cut", F.explode(F.array(*schemes)).alias("s"), "n", "suppressed", "singular")
+    return t.select("date", "cut", "s.scheme", "s.beta", "s.r2", "n", "suppressed", "singular")
 
 
 def ols_band(rows: DataFrame, key: tuple[str, ...] = ("date", "cut", "segment"), min_n: int = 3) -> DataFrame:

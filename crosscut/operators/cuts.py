@@ -61,9 +61,3 @@ def report_filter(series: DataFrame, name: str) -> DataFrame:
 def cut_table(spark: SparkSession) -> DataFrame:
     """The ten cuts with their order."""
     return spark.range(1).select(F.posexplode(F.array(*[F.lit(c) for c in CUTS])).alias("cut_ord", "cut"))
-
-
-def pairs(members: DataFrame) -> DataFrame:
-    """cut, a, b: each pair of a cut's series once, a < b."""
-    other = members.select("cut", F.col("series_id").alias("b"))
-    return members.withColumnRenamed("series_id", "a").join(other, "cut").filter("a < b")

@@ -19,8 +19,8 @@ def external_corr(percentiles: DataFrame, macro: DataFrame, window: int, fill: i
     """
     ids = macro.select("macro_id").distinct()
     cuts = percentiles.select("cut").distinct()
-    left = percentiles.select("date", "cut", "percentile").crossJoin(F.broadcast(ids))
-    right = macro.select("date", "macro_id", "value").crossJoin(F.broadcast(cuts))
+    left = percentiles.select("date", "cut", "percentile").crossJoin(ids)
+    right = macro.select("date", "macro_id", "value").crossJoin(cuts)
     t = left.join(right, ["date", "cut", "macro_id"], "full_outer")
     key = ("cut", "macro_id")
     t = t.withColumns({"p": forward_fill("percentile", fill, key), "v": forward_fill("value", fill, key)})
@@ -53,5 +53,5 @@ def internal_consistency(regimes: DataFrame, composites: DataFrame, rows: int, m
     comp = blend(composite_returns(composites, rows), mapping)
     comp = comp.select("date", "cut", tercile(percent_rank("ret", ("cut",))).alias("composite_tercile"))
     t = regimes.select("date", "cut", "tercile").join(comp, ["date", "cut"], "full_outer")
-    t = t.join(F.broadcast(comp.select("cut").distinct()), "cut", "left_semi")
+    t = t.join(comp.select("cut").distinct(), "cut", "left_semi")
     return t.select("date", "cut", gap(F.col("tercile"), F.col("composite_tercile")).alias("gap"))

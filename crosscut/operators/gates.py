@@ -105,10 +105,13 @@ def consistency(gaps: DataFrame, cut: str = "DM") -> DataFrame:
     return _row(t, "G6_internal", F.col("worst") <= G6_MOST, F.col("worst"))
 
 
-def evaluate(regimes: DataFrame, corr: DataFrame, transitions: DataFrame, proxy: DataFrame, gaps: DataFrame, events: DataFrame) -> DataFrame:
+def evaluate(
+    regimes: DataFrame, corr: DataFrame, transitions: DataFrame, proxy: DataFrame, gaps: DataFrame, events: DataFrame,
+    days: int = EVENT_DAYS, window: int = G5_WINDOW,
+) -> DataFrame:
     """One row per gate."""
     out = coupling(corr, "G1_vix", *G1).unionByName(coupling(corr, "G2_bbb", *G2))
-    for part in (recognition(regimes, events), segmentation(regimes), stability(transitions, proxy), consistency(gaps)):
+    for part in (recognition(regimes, events, days), segmentation(regimes), stability(transitions, proxy, window=window), consistency(gaps)):
         out = out.unionByName(part)
     return out
 

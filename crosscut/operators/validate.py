@@ -37,6 +37,12 @@ def missing_counts(prices: DataFrame, key: tuple[str, ...] = ("asset_class", "co
     return prices.groupBy(*key).agg(F.count_if(F.col("price").isNull()).alias("missing")).filter("missing > 0")
 
 
+def price_checks(prices: DataFrame) -> DataFrame:
+    """asset_class, longest, missing: both checks of each asset class's calendar; prices is dense."""
+    lost = missing_counts(prices, ("asset_class",))
+    return longest_gaps(prices).join(lost, "asset_class", "left").select("asset_class", "longest", F.coalesce("missing", F.lit(0)).alias("missing"))
+
+
 def check_universe(universe: DataFrame) -> None:
     if rows := bad_universe(universe).select("country").limit(5).collect():
         raise DataSourceError(f"bad market cap or segment: {[r[0] for r in rows]}")

@@ -150,7 +150,7 @@ def rolling_vol(r: str, rows: int, key: Iterable[str], date: str = "date", annua
 def weighted_proxy(returns: DataFrame, weights: DataFrame, r: str = "r1", date: str = "date") -> DataFrame:
     """date, proxy: the sum of weight * return over the sum of all weights; missing returns and weights count as 0."""
     w = F.coalesce(F.col("weight"), F.lit(0.0))
-    rows = returns.select("series_id", date, r).join(F.broadcast(weights.select("series_id", "weight")), "series_id", "left")
+    rows = returns.select("series_id", date, r).join(weights.select("series_id", "weight"), "series_id", "left")
     total = rows.select("series_id", w.alias("w")).distinct().agg(F.sum("w").alias("_total"))
     sums = rows.groupBy(date).agg(F.sum(w * F.coalesce(F.col(r), F.lit(0.0))).alias("_s"))
     return sums.crossJoin(F.broadcast(total)).select(date, F.try_divide("_s", "_total").alias("proxy"))

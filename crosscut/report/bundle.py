@@ -36,7 +36,7 @@ class Bundle:
 def last_dates(rows: DataFrame, n: int) -> DataFrame:
     """The rows of the last n dates: top-k dates, then a semi join."""
     dates = rows.select("date").distinct().orderBy(F.col("date").desc()).limit(n)
-    return rows.join(F.broadcast(dates), "date", "left_semi")
+    return rows.join(dates, "date", "left_semi")
 
 
 def report_members(series: DataFrame) -> DataFrame:
@@ -68,7 +68,7 @@ def axis_ranges(points: DataFrame, members: DataFrame, value: str, pad: float =
 
 
 def fitted(points: DataFrame, members: DataFrame, x: str, y: str) -> DataFrame:
-    rows = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).join(F.broadcast(members.select("cut", "series_id")), "series_id")
+    rows = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).join(members.select("cut", "series_id"), "series_id")
     return cs.ols_band(rows.select("date", "cut", "segment", F.col(x).alias("x"), F.col(y).alias("y")))
 
 
@@ -91,7 +91,7 @@ def load_bundle(spark: SparkSession, run_dir: str | Path, data_path: str | Path,
     universe, prices = src.load_universe(spark, data_path), src.load_prices(spark, data_path)
     series = cu.series_of(universe)
     returns = kernels(prices, cfg.get("return_window_days", 63), cfg.get("ewma_halflife_days", 30))
-    returns = returns.join(F.broadcast(series.select("series_id", "country", "segment")), "series_id")
+    returns = returns.join(series.select("series_id", "country", "segment"), "series_id")
     points = last_dates(proxy_betas(returns, series), window).cache()
     members = report_members(series).cache()
     lines = {x: fitted(points, members, x, "ret").toPandas() for x in ("vol", "beta")}

@@ -105,7 +105,7 @@ def load_universe(spark: SparkSession, path: str | Path) -> DataFrame:
 def shared_countries(prices: DataFrame) -> DataFrame:
     """Prices of countries that have both asset classes."""
     both = prices.groupBy("country").agg(F.count_distinct("asset_class").alias("n")).filter("n = 2").select("country")
-    return prices.join(F.broadcast(both), "country", "left_semi")
+    return prices.join(both, "country", "left_semi")
 
 
 def load_prices(spark: SparkSession, path: str | Path) -> DataFrame:
@@ -174,8 +174,8 @@ def load_macro(client: MacroClient, start: dt.date, end: dt.date, ids: tuple[str
 
 
 def series_hash(rows: DataFrame, key: str = "macro_id") -> DataFrame:
-    """key, hash: sha256 over the sorted hashes of a series' rows."""
-    row = F.hex(F.xxhash64("date", "value"))
+    """key, hash: sha256 over the sorted MD5 sums of a series' rows, each its date and value as text."""
+    row = F.md5(F.concat_ws("|", F.col("date").cast("string"), F.col("value").cast("string")))
     return rows.groupBy(key).agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(row))), 256).alias("hash"))
 
 

@@ -169,6 +169,36 @@ def test_pairwise_mean_is_that_of_the_correlation_matrix(spark):
     assert got == pytest.approx(np.corrcoef(a, rowvar=False)[np.triu_indices(3, 1)].mean(), abs=1e-12)
 
 
+@pytest.mark.parametrize("block", [4, 7, 1000])
+def test_matrices_in_blocks_match_one_pass(spark, block):
+    rng = np.random.default_rng(5)
+    values = rng.normal(0, 0.01, (40, 5))
+    values[:10, 1] = np.nan
+    values[20, 2] = np.nan
+    days = pd.bdate_range("2020-01-01", periods=40).date
+    rows = [(d, f"s{j}", None if np.isnan(v) else float(v)) for d, line in zip(days, values, strict=True) for j, v in enumerate(line)]
+    returns = spark.createDataFrame(rows, "date date, series_id string, r1 double")
+    members = spark.createDataFrame([("all", f"s{j}") for j in range(5)] + [("two", "s0"), ("two", "s3"), ("one", "s4")], "cut string, series_id string")
+    got = {(r.date, r.cut): r.v for r in co.rolling_matrix(returns, members, 6, co.first_component, "v", block=block).collect()}
+    pair = {(r.date, r.cut): r.avg_pairwise for r in co.avg_pairwise(returns, members, 6).collect()}
+    assert len(got) == 120
+    for cut, cols in (("all", range(5)), ("two", (0, 3)), ("one", (4,))):
+        for i, d in enumerate(days):
+            w = pd.DataFrame(values[max(i - 5, 0) : i + 1, list(cols)])
+            some = w.dropna(axis=1, how="all").to_numpy()
+            want = None
+            if i >= 5 and some.shape[1] > 1 and not np.isnan(some).any():
+                e = np.linalg.eigvalsh(np.cov(some, rowvar=False))
+                want = e[-1] / e.sum()
+            assert got[d, cut] == (None if want is None else pytest.approx(want))
+            whole = w.dropna(axis=1)
+            c = whole.corr().to_numpy() if i >= 5 else np.zeros((0, 0))
+            if len(c) > 1:
+                assert pair[d, cut] == pytest.approx(c[np.triu_indices(len(c), 1)].mean())
+            else:
+                assert (d, cut) not in pair
+
+
 def test_calendar_gaps(spark):
     month = [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(31)]
     for lost, want in (((), 0), ((5, 8), 2), ((11, 12, 15, 16), 4), ((3, 9), 1)):
