@@ -6,17 +6,24 @@ A source's rate is target / size. Every document gets floor(rate) certain copies
 Pareto order sampling: documents are ranked by random odds u / (1 - u) over inclusion odds p / (1 - p), and the first
 ones are taken until their words come nearest to what is left of the target. u is derived from the id, so reruns agree.
 
-The inclusion odds are the same for all documents of a source, so the ranking is that by u. Its cut is found without
-sorting a source in one task: the sizes are summed in 4,096 cells of u a source, the cell that holds the cut is split
-into 4,096 cells again, and only the documents of that last cell are ordered.
+The inclusion odds are c / sqrt(size): of a source's documents a long one is less readily taken once more, so none takes
+the whole rest of a target, and the cut is fine. c is the source's, such that the expected words are what is left; as it
+scales all ranks of a source alike, the fixed size sets it and it needn't be computed. `odds` takes another rule.
+
+Ranks lie on a scale of 2**52 steps (r / (1 + r) of the ratio r). The cut is found without sorting a source in one task:
+the sizes are summed in 4,096 cells of the scale a source, the cell that holds the cut is split into 4,096 cells again,
+and only the documents of that last cell are ordered.
 
 Defined results: size counts words between white space, 0 for null or empty texts, which are always taken once their
-turn comes at no cost; a null id is hashed as the empty string; ties in u go by id; an empty table gives an empty
-result.
+turn comes at no cost; a null id is hashed as the empty string; rows that repeat an id have the same u, and those that
+repeat its size too are taken alike; ties in rank go by id; other columns are kept by `mixed` and ignored by `mix`; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +35,27 @@ BROADCAST_SOURCES = 20_000
 DIGITS = 13
 
 
+def inverse_root(size: Column) -> Column:
+    """Inclusion odds that fall with the square root of the size; 1 at 256 words."""
+    return F.lit(16.0) / F.sqrt(F.greatest(size, F.lit(1)).cast("double"))
+
+
+Odds = Callable[[Column], Column]
+
+
 def draw(id_col: Column, seed: int) -> Column:
     """52 random bits from the id, as a long."""
     key = F.concat(F.coalesce(id_col.cast("string"), F.lit("")), F.lit(f":{seed}"))
     return F.conv(F.substring(F.md5(key), 1, DIGITS), 16, 10).cast("long")
 
 
+def rank(u: Column, odds: Column) -> Column:
+    """Place on the scale: the odds of u over the inclusion odds, as a long below 2**52."""
+    top = 1 << (4 * DIGITS)
+    ratio = u.cast("double") / (F.lit(top) - u).cast("double") / odds
+    return F.least(F.floor(ratio / (ratio + 1.0) * float(top)), F.lit(top - 1)).cast("long")
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3), most: float = 3.0, share: float = 1.0) -> DataFrame:
     """sources: src, source_size. Adds target: level * weight where that is under the cap of most * source_size.
 
@@ -65,7 +87,7 @@ def _cells(u: Column) -> tuple[Column, Column]:
 class _Cuts:
     """Where each source's ranking is cut.
 
-    sized: src, id, u, size per document. sources: a row per source; last: the documents of the cells that are cut.
+    sized: src, id, u (its rank), size per document. sources: a row per source; last: the documents of the cells that are cut.
     """
 
     def __init__(self, sized: DataFrame, weights: tuple[float, ...], most: float) -> None:
@@ -129,14 +151,14 @@ class _Cuts:
         return out.withColumn("__copies", F.least(whole, F.lit(self.most)).cast("int"))
 
 
-def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int) -> DataFrame:
-    sized = docs.select(
-        F.col(id_col).alias("id"),
-        F.col(source_col).alias("src"),
-        F.regexp_count(filled(F.col(text_col)), F.lit(WORD)).cast("long").alias("size"),
-        draw(F.col(id_col), seed).alias("u"),
-    )
-    return cut(sized)  # ids, sources and sizes only: the texts are read once
+def words_of(text: Column) -> Column:
+    return F.regexp_count(filled(text), F.lit(WORD)).cast("long")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, odds: Odds) -> DataFrame:
+    sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("src"), words_of(F.col(text_col)).alias("size"))
+    # ids, sources and sizes only: the texts are read once
+    return cut(sized.withColumn("u", rank(draw(F.col("id"), seed), odds(F.col("size")))))
 
 
 def mix(
@@ -147,9 +169,10 @@ def mix(
     weights: tuple[float, ...] = (1, 2, 3),
     most: float = 3.0,
     seed: int = 1,
+    odds: Odds = inverse_root,
 ) -> DataFrame:
     """One row per document: id, size, source_size, target (both of its source), taken (words), copies."""
-    sized = _sized(docs, id_col, text_col, source_col, seed)
+    sized = _sized(docs, id_col, text_col, source_col, seed, odds)
     out = _Cuts(sized, weights, most).copies(sized, F.col("src"), F.col("id"), F.col("u"))
     return out.select(
         F.col("id").alias(id_col),
@@ -169,9 +192,11 @@ def mixed(
     weights: tuple[float, ...] = (1, 2, 3),
     most: float = 3.0,
     seed: int = 1,
+    odds: Odds = inverse_root,
 ) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns; the texts aren't shuffled."""
-    cuts = _Cuts(_sized(docs, id_col, text_col, source_col, seed), weights, most)
-    out = cuts.copies(docs, docs[source_col], docs[id_col], draw(docs[id_col], seed)).filter(F.col("__copies") > 0)
+    cuts = _Cuts(_sized(docs, id_col, text_col, source_col, seed, odds), weights, most)
+    place = rank(draw(docs[id_col], seed), odds(words_of(docs[text_col])))
+    out = cuts.copies(docs, docs[source_col], docs[id_col], place).filter(F.col("__copies") > 0)
     again = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__turn")
     return out.select(*[docs[c] for c in docs.columns], again).drop("__turn")

@@ -113,11 +113,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_mixing": r"""
-WITH d AS (
+WITH d0 AS (
   SELECT doc_id, source,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         ('0x' || substr(md5(doc_id::VARCHAR || ':1'), 1, 13))::BIGINT AS u
+         ('0x' || substr(md5(doc_id::VARCHAR || ':1'), 1, 13))::BIGINT AS v
   FROM documents),
+d1 AS (SELECT doc_id, source, size, v::DOUBLE / (4503599627370496 - v)::DOUBLE / (16.0::DOUBLE / sqrt(greatest(size, 1)::DOUBLE)) AS ratio FROM d0),
+d AS (SELECT doc_id, source, size, least(floor(ratio / (ratio + 1.0::DOUBLE) * 4503599627370496.0::DOUBLE)::BIGINT, 4503599627370495) AS u FROM d1),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, (((row_number() OVER (ORDER BY encode(source) NULLS LAST)) - 1) % 3 + 1)::DOUBLE AS w, source_size * 3.0::DOUBLE AS cap FROM s),
 k AS (SELECT *, cap / w AS ratio,

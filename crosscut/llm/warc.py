@@ -7,9 +7,10 @@ records without a payload that name it, its digest and its length.
 
 `read` walks each file by the lengths in its headers, plain or as gzip members. A record whose version line, header,
 length, end mark, gzip check or payload digest fails isn't trusted: the reader searches for the next version line or
-gzip member that parses, goes on from there, and logs the bytes in between as quarantined.
+gzip member that parses, goes on from there, and logs the bytes in between as quarantined. A damaged gzip member is searched
+for its version lines too, as far as it inflates; its place is logged, and its records are trusted by their own digests.
 
-Defined results: a null payload is empty; the larger of equal ids doesn't exist, so rows that repeat an id are written
+Defined results: a null payload is empty; a payload over 4 MB has a file of its own, up to the 2 GB of a Spark value; the larger of equal ids doesn't exist, so rows that repeat an id are written
 as often as they come, the first of them as what they are; pages with a null id are responses without an id and never
 referred to; an empty table gives no files and no rows; other columns are ignored.
 """
@@ -30,7 +31,11 @@ from .common import cut, filled, scratch
 
 END = "\r\n\r\n"
 VERSION = b"WARC/1."
-RECORDS_PER_FILE = 2000
+GZIP = b"\x1f\x8b\x08"
+#: Gzip members are inflated in steps of so many bytes.
+STEP = 1 << 18
+#: Records a file, by payload bytes: a reader's task holds a file, so files of several records hold 128 MB at most.
+PER_FILE = ((0, 2000), (64 << 10, 32), (4 << 20, 1))
 #: So many shared digests (about 50 bytes each) at most are broadcast.
 BROADCAST_DIGESTS = 200_000
 URN = "urn:page:"
@@ -91,9 +96,17 @@ def record(p: DataFrame) -> Column:
     )
 
 
-def write(pages: DataFrame, path: str, per_file: int = RECORDS_PER_FILE, **columns) -> None:
+def write(pages: DataFrame, path: str, per_file: tuple[tuple[int, int], ...] = PER_FILE, **columns) -> None:
+    """Archives below path, a folder for each class of sizes that has pages."""
     p = plan(pages, **columns)
-    p.select(record(p).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", per_file).text(path)
+    least = [n for n, _ in per_file]
+    size = F.octet_length(filled(F.col(columns.get("body_col", "html"))))
+    found = [r[0] for r in pages.select(sum((size >= n).cast("int") for n in least).alias("k")).distinct().collect()]  # a row per class
+    for k in sorted(found) or [1]:
+        some = p.filter(F.col("n_bytes") >= least[k - 1])
+        some = some.filter(F.col("n_bytes") < least[k]) if k < len(least) else some
+        out = some.select(record(some).alias("value")).write.option("lineSep", END)
+        out.option("maxRecordsPerFile", per_file[k - 1][1]).text(f"{path}/from-{least[k - 1]}")
 
 
 _HEADER = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n")
@@ -120,61 +133,76 @@ def _parse(buf: bytes, at: int) -> tuple[dict[str, str], bytes, int] | str:
     return head, body, end + 4
 
 
-def _member(buf: bytes, at: int) -> tuple[bytes, int] | None:
-    """The content and end of the gzip member at a place."""
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(buf[at:])
-    except zlib.error:
-        return None
-    return (out, len(buf) - len(z.unused_data)) if z.eof else None
+def _member(buf: bytes, at: int) -> tuple[bytes, int | None]:
+    """What the gzip member at a place inflates to, and its end; None as the end if it is cut off or fails its check."""
+    z, out, view = zlib.decompressobj(31), [], memoryview(buf)
+    while at < len(buf) and not z.eof:
+        before = z.copy()
+        try:
+            out.append(z.decompress(view[at : at + STEP]))
+        except zlib.error:  # what the step inflates before its fault, byte by byte
+            try:
+                for p in range(at, min(at + STEP, len(buf))):
+                    out.append(before.decompress(view[p : p + 1]))
+            except zlib.error:
+                pass
+            return b"".join(out), None
+        at += STEP
+    return b"".join(out), min(at, len(buf)) - len(z.unused_data) if z.eof else None
+
+
+def _inside(content: bytes, whole: bool) -> tuple[list[tuple[dict[str, str], bytes]], str]:
+    """The records of a member's content, also those after damage, and why bytes were left out (empty if none were).
+
+    Of a member that isn't whole, a record is trusted by its own payload digest only.
+    """
+    found, why, p = [], "" if whole else "gzip member", 0
+    while p < len(content):
+        got = _parse(content, p)
+        if isinstance(got, str):
+            why = why or got
+            p = content.find(VERSION, p + 1)
+            if p < 0:
+                break
+            continue
+        if whole or (got[0].get("warc-payload-digest", "").startswith("sha1:") and got[0].get("warc-type") != "revisit"):
+            found.append(got[:2])
+        p = got[2]
+    return found, why
 
 
 def salvage(buf: bytes) -> Iterator[tuple]:
-    """("record", headers, payload, start, end) and ("gap", reason, None, start, end) in the order of the file."""
+    """("record", headers, payload, start, end) and ("gap", reason, None, start, end) in the order of the file.
+
+    Places are those of the file. Records of a damaged gzip member have the member's place, which is a gap as well.
+    """
     at, n, gap, why = 0, len(buf), None, ""
 
     def next_start(p: int) -> int:
-        found = [x for x in (buf.find(VERSION, p), buf.find(b"\x1f\x8b\x08", p)) if x >= 0]
+        found = [x for x in (buf.find(VERSION, p), buf.find(GZIP, p)) if x >= 0]
         return min(found, default=n)
 
     while at < n:
-        if buf.startswith(b"\x1f\x8b", at):
-            inner = _member(buf, at)
-            parsed = [] if inner else None
-            if inner:
-                content, stop = inner
-                p = 0
-                while p < len(content) and parsed is not None:
-                    got = _parse(content, p)
-                    if isinstance(got, str):
-                        parsed, reason = None, got
-                    else:
-                        parsed.append(got[:2])
-                        p = got[2]
-            else:
-                reason = "gzip member"
-            if parsed is None:
-                gap, why = (at, reason) if gap is None else (gap, why)
-                at = next_start(at + 1)
-                continue
-            if gap is not None:
-                yield "gap", why, None, gap, at
-                gap = None
-            for head, body in parsed:
-                yield "record", head, body, at, stop
-            at = stop
-            continue
-        got = _parse(buf, at)
-        if isinstance(got, str):
-            gap, why = (at, got) if gap is None else (gap, why)
-            at = next_start(at + 1)
-            continue
-        if gap is not None:
+        zipped = buf.startswith(GZIP, at)
+        if zipped:
+            content, end = _member(buf, at)
+            found, damage = _inside(content, end is not None)
+            stop = next_start(at + 1) if end is None else end
+        else:
+            got = _parse(buf, at)
+            damage = got if isinstance(got, str) else ""
+            found, stop = ([], next_start(at + 1)) if damage else ([got[:2]], got[2])
+        if gap is not None and (found or not damage):
             yield "gap", why, None, gap, at
             gap = None
-        yield "record", got[0], got[1], at, got[2]
-        at = got[2]
+        for head, body in found:
+            yield "record", head, body, at, stop
+        if damage:
+            gap, why = (at, damage) if gap is None else (gap, why)
+            if zipped and end is not None:  # what follows a whole member is not part of its gap
+                yield "gap", why, None, gap, stop
+                gap = None
+        at = stop
     if gap is not None:
         yield "gap", why, None, gap, n
 
@@ -221,7 +249,7 @@ def _rows(with_payload: bool):
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records and gaps of all files below path; payload is null for revisit records and unless payloads."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     return files.mapInArrow(_rows(payloads), READ)
 
 

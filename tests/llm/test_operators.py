@@ -171,6 +171,17 @@ def test_mix_targets_and_copies(spark, docs, empty):
     biggest = max(r.size for r in rows)
     for s in names:
         assert by[s].target == pytest.approx(goal[s]) and by[s].source_size == size[s] and abs(taken[s] - goal[s]) <= biggest / 2 + 1
+    # the extra copies go to the lowest ratios of random odds to inclusion odds, brute force
+    top = 1 << 52
+    for s in names:
+        mine = [r for r in rows if {d.doc_id: d.source for d in docs.collect()}[r.doc_id] == s]
+        odds = {r.doc_id: int(hashlib.md5(f"{r.doc_id}:1".encode()).hexdigest()[:13], 16) for r in mine}
+        mine.sort(key=lambda r: odds[r.doc_id] / (top - odds[r.doc_id]) * math.sqrt(max(r.size, 1)))
+        whole = math.floor(goal[s] / size[s] + 1e-12) if size[s] else 0
+        rest, run = goal[s] - whole * size[s], 0
+        for r in mine:
+            run += r.size
+            assert r.copies == min(3, whole + (rest > 0 and 2 * rest >= 2 * run - r.size))
     again = mixing.mix(docs.repartition(5)).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
     counts = Counter(r.doc_id for r in mixing.mixed(docs).collect())
@@ -390,6 +401,9 @@ def test_archives(spark):
     assert got == {1: ("revisit", 6, 3), 3: ("revisit", 6, 3), 6: ("response", None, 3), 2: ("revisit", 5, 0), 5: ("response", None, 0), 4: ("response", None, 17)}
     assert gaps.count() == 0 and warc.round_trip(pages.limit(0))[0].count() == 0
     assert {r.record_type for r in warc.round_trip(pages, min_bytes=100)[0].collect()} == {"response"}
+    long = spark.createDataFrame([(1, "u", "x" * 70_000), (2, "u", "y" * 5_000_000), (3, "u", "x" * 70_000), (4, None, "z")], "page_id long, url string, html string")
+    got = {r.page_id: (r.refers_to, r.payload_bytes) for r in warc.round_trip(long)[0].collect()}
+    assert got == {1: (3, 70_000), 2: (None, 5_000_000), 3: (None, 70_000), 4: (None, 1)}
 
 
 def test_archives_are_salvaged():
@@ -405,7 +419,11 @@ def test_archives_are_salvaged():
         ([a, b, c], [0, 1, 2], 0),
         ([a, b[:-9], c], [0, 2], 1),
         ([b"junk", a, rec(9, b"x", "A" * 32), c], [0, 2], 2),
-        ([gzip.compress(a), gzip.compress(b)[:-3], gzip.compress(c), b"tail"], [0, 2], 2),
+        ([gzip.compress(a), gzip.compress(b)[:-3], gzip.compress(c), b"tail"], [0, 1, 2], 2),
+        ([gzip.compress(a), gzip.compress(b)[:40], gzip.compress(c)], [0, 2], 1),
+        ([gzip.compress(a + b[:-9] + c), gzip.compress(a)], [0, 2, 0], 1),
+        ([gzip.compress(a + rec(9, b"x", "A" * 32) + c)], [0, 2], 1),
+        ([gzip.compress(a + b + c)[:-9], b], [0, 1, 2, 1], 1),
         ([a, gzip.compress(b)[:20] + bytes(9), c], [0, 2], 1),
         ([b""], [], 0),
     ):
