@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes, filled, mix64
 
 RANK_SHIFT = 10.0
-SLICE = 512 << 10  # bytes of texts in one lattice, which takes about 12 bytes for each character and piece length
+SLICE = 256 << 10  # bytes of texts in one lattice, which takes about 12 bytes for each character and piece length
 LONGEST = 63
 SPACE = 0x2581
 GOLD = np.uint64(0x9E3779B97F4A7C15)
