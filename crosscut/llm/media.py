@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -32,6 +31,7 @@ from .common import by_bytes, flat
 SIDE = 64
 MAX_ROWS = 65535 // 8
 SLICE = 1 << 20
+WIDE = 1 << 28  # from so many bytes on, places of bits take 64 bits
 
 # DC symbols (sizes of differences) of the files written here, by code length; lengths 2, 4, 5, 6, 7.
 DC_LENGTHS = {2: (7, 4, 3), 4: (2, 5, 1), 5: (0,), 6: (6,), 7: (8,)}
@@ -352,6 +352,7 @@ def decode(data: np.ndarray, offs: np.ndarray) -> list[tuple[str, list]]:
     shift = lambda x: x - np.searchsorted(stuffing, x)
     pad = np.concatenate((clean, np.zeros(3, np.uint8))).astype(np.int32)
     win = pad[:-2] << 16 | pad[1:-1] << 8 | pad[2:]
+    place = np.int32 if len(clean) < WIDE else np.int64  # of a bit
     groups = defaultdict(list)
     for i, ims in enumerate(images):
         for j, im in enumerate(ims):
@@ -370,7 +371,7 @@ def decode(data: np.ndarray, offs: np.ndarray) -> list[tuple[str, list]]:
         mcus = np.concatenate(
             [np.minimum(np.full(w, im.interval or m), m - np.arange(w) * (im.interval or m)) for _, _, im, _, _, _, m, w in found]
         )
-        dc, bad = _lanes(win, (shift(begin) * 8).astype(np.int32), (shift(stop) * 8).astype(np.int32), mcus, found[0][2])
+        dc, bad = _lanes(win, (shift(begin) * 8).astype(place), (shift(stop) * 8).astype(place), mcus, found[0][2])
         at = 0
         for i, j, im, _, _, _, m, w in found:
             mine, at = slice(at, at + w), at + w
@@ -457,7 +458,3 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def thumbnails(media: DataFrame) -> DataFrame:
     """media: id, n_bytes, media. Dimensions, thumbnails and hashes of each value."""
     return media.select("id", "n_bytes", "media").mapInArrow(_read, READ)
-
-
-def tail_crc(body: bytes) -> int:
-    return zlib.crc32(body[-64:])
