@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import compaction, exact_dedup, langid, lsh_forest, media, mixing, passages, subword, token_file, warc
-from .common import scratch, table
+from .common import saved, scratch, table
+
+#: op3 stores its table in so many arrivals, by a hash of the id.
+ARRIVALS = 4
 
 
 def op1_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = media.thumbnails(media.store(table(spark, sf_dir, "documents")))
+    """The images are written to the shared folder and read back from there."""
+    read = media.thumbnails(saved(media.store(table(spark, sf_dir, "documents")), "media"))
     return read.select(
         F.col("id").alias("doc_id"),
         "n_bytes",
@@ -30,14 +34,19 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document of the compacted store: its shard, that shard's rows, bytes of the stored text and their hash."""
+    """Per document of the compacted store: its shard, that shard's rows, bytes of the stored text and their hash.
+
+    The documents come in `ARRIVALS` arrivals, each a version of its own."""
     store = compaction.Store(spark, scratch(spark, "store"))
-    store.append(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS))
+    for i in range(ARRIVALS):
+        store.append(docs.filter(arrival == i))
     version = store.compact()
     store.vacuum()
     shards = store.manifest(version).select(F.col("shard").alias("_n"), F.col("rows").alias("shard_rows"))
     rows = store.read(version)
-    return rows.join(F.broadcast(shards), rows[compaction.SHARD] == F.col("_n")).select(
+    return rows.join(shards, rows[compaction.SHARD] == F.col("_n")).select(
         "doc_id",
         F.col(compaction.SHARD).alias("shard"),
         "shard_rows",
@@ -133,6 +142,26 @@ r AS (SELECT d.*, sum(size) OVER (PARTITION BY source ORDER BY u, doc_id ROWS UN
 o AS (SELECT r.*, h.source_size, h.target, least(h.whole + CASE WHEN h.rest > 0 AND 2 * h.rest >= 2 * r.run - r.size THEN 1 ELSE 0 END, 3)::INTEGER AS copies
       FROM r JOIN h ON r.source IS NOT DISTINCT FROM h.source)
 SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken, copies FROM o
+""",
+    "op4_lsh_forest": r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) = 1 THEN w
+                      ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM t),
+n AS (SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(list_sort(s), chr(10))) AS f, s FROM s),
+r AS (SELECT min(doc_id) AS rep, n, f, arg_min(s, doc_id) AS s FROM n WHERE n > 0 GROUP BY n, f),
+u AS (SELECT rep, n, unnest(s) AS x FROM r),
+o AS (SELECT rep, n, x, row_number() OVER (PARTITION BY rep ORDER BY c, x) AS place FROM (SELECT *, count(*) OVER (PARTITION BY x) AS c FROM u)),
+h AS (SELECT * FROM o WHERE 100 * (place - 1) <= 20 * n),
+p AS (SELECT DISTINCT a.rep AS a, b.rep AS b FROM h a JOIN h b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+l AS (SELECT a, b FROM (SELECT p.a, p.b, any_value(y.n) AS na, any_value(z.n) AS nb, count(*) AS k
+      FROM p JOIN u y ON y.rep = p.a JOIN u z ON z.rep = p.b AND z.x = y.x GROUP BY p.a, p.b) t WHERE 100 * k >= 80 * (na + nb - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+g AS (SELECT rep AS a, rep AS root FROM r UNION SELECT e.b, g.root FROM g JOIN e ON e.a = g.a WHERE g.root < e.b),
+m AS (SELECT a AS rep, min(root) AS root FROM g GROUP BY a)
+SELECT d.doc_id, d.n AS n_shingles, coalesce(m.root, d.doc_id) AS component_id, d.doc_id = coalesce(m.root, d.doc_id) AS kept
+FROM n d LEFT JOIN r ON r.n = d.n AND r.f = d.f LEFT JOIN m ON m.rep = r.rep
 """,
     "op6_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
