@@ -16,7 +16,7 @@ ARRIVALS = 4
 
 def op1_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The images are written to the shared folder and read back from there."""
-    read = media.thumbnails(saved(media.store(table(spark, sf_dir, "documents")), "media"))
+    read = media.thumbnails(saved(media.store(table(spark, sf_dir, "documents")), "media", "zstd"))
     return read.select(
         F.col("id").alias("doc_id"),
         "n_bytes",
