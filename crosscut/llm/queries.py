@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import compaction, exact_dedup, langid, lsh_forest, media, mixing, passages, subword, token_file, warc
+from . import compaction, exact_dedup, langid, license_scan, lsh_forest, media, merkle, mixing, passages, sql, subword, token_file, vector_codes, warc
 from .common import saved, scratch, table
 
 #: op3 stores its table in so many arrivals, by a hash of the id.
@@ -102,6 +102,26 @@ def op7_subword_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampering lower-cases the texts of a third of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    rows = merkle.manifest(docs, "doc_id", "lang", fields, {"text": merkle.lowered(F.col("text"))}, third)
+    rows = merkle.tampered(rows.withColumn("proof_sha256", merkle.proof_digest(F.col("proof"))))
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vector_codes.compress(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+    return rows.withColumnRenamed("id", "vec_id").drop("label")
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return license_scan.summary(found).withColumnRenamed("id", "doc_id")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     records, _ = warc.round_trip(table(spark, sf_dir, "pages"))
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -118,9 +138,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_language_id": op9_language_id,
     "op10_token_files": op10_token_files,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": sql.MERKLE,
+    "op12_vector_codes": sql.VECTOR_CODES,
+    "op13_license_scan": sql.LICENSE_SCAN,
     "op2_mixing": r"""
 WITH d0 AS (
   SELECT doc_id, source,
