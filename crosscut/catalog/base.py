@@ -18,6 +18,7 @@ from ..operators import external as ex
 from ..operators import windows as wi
 from ..operators.classify import classify
 from ..plans.engine import cross_sections, kernels
+from ..sources.files import shared
 
 WINDOW, HALFLIFE, FAST, FAST_HALFLIFE = 3, 6.0, 1, 3.0
 MIN_N, PCT, VALID, LOOKBACK = 10, 24, 12, 5
@@ -40,7 +41,7 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
 
 @dataclass(frozen=True)
 class Inputs:
-    """Lazy tables over one data folder; shared parts of a query are built once."""
+    """Tables over one data folder. What several parts of a query read is written to the shared folder, once a query."""
 
     spark: SparkSession
     path: str
@@ -58,17 +59,21 @@ class Inputs:
     def latam(self) -> tuple[str, ...]:
         return tuple(r[0] for r in self.nations.filter("regional").select("country").collect())
 
-    def _facts(self) -> tuple[DataFrame, DataFrame]:
+    @cached_property
+    def facts(self) -> DataFrame:
+        """asset_class, country, date, cents, n: a row a month, country and class. Orders and lines are read once, here; what
+        is built on them reads this small table from the shared folder."""
         n = F.broadcast(self.nations)
         eq = self.table("orders").join(self.table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
         fi = self.table("lineitem").join(self.table("supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
         month = lambda c: F.trunc(F.to_date(c), "month").alias("date")
-        return eq.select("country", month("o_orderdate"), F.col("o_totalprice").alias("v")), fi.select("country", month("l_shipdate"), F.col("l_extendedprice").alias("v"))
+        sums = lambda f, k: f.groupBy("country", "date").agg(F.sum(cents("v")).alias("cents"), F.count("*").alias("n")).select(F.lit(k).alias("asset_class"), "*")
+        eq = sums(eq.select("country", month("o_orderdate"), F.col("o_totalprice").alias("v")), "Eq")
+        return shared(eq.unionByName(sums(fi.select("country", month("l_shipdate"), F.col("l_extendedprice").alias("v")), "FI")), "facts")
 
     @cached_property
     def raw_prices(self) -> DataFrame:
-        out = [f.groupBy("date", "country").agg(mean_of("v").alias("price")).withColumn("asset_class", F.lit(k)) for f, k in zip(self._facts(), ("Eq", "FI"), strict=True)]
-        return out[0].unionByName(out[1]).select("date", "country", "asset_class", "price")
+        return self.facts.select("date", "country", "asset_class", (F.col("cents").cast("double") / (F.lit(100.0) * F.col("n"))).alias("price"))
 
     @cached_property
     def prices(self) -> DataFrame:
@@ -78,8 +83,9 @@ class Inputs:
 
     @cached_property
     def universe(self) -> DataFrame:
-        eq, fi = (f.groupBy("country").agg((F.sum(cents("v")) / F.lit(100.0)).alias(c)) for f, c in zip(self._facts(), ("eq_mcap", "fi_mcap"), strict=True))
-        return self.nations.select("country", "segment").join(eq, "country", "left").join(fi, "country", "left").withColumn("is_composite", F.lit(False))
+        cap = lambda k, name: (F.sum(F.when(F.col("asset_class") == k, F.col("cents"))) / F.lit(100.0)).alias(name)
+        caps = self.facts.groupBy("country").agg(cap("Eq", "eq_mcap"), cap("FI", "fi_mcap"))
+        return shared(self.nations.select("country", "segment").join(caps, "country", "left").withColumn("is_composite", F.lit(False)), "universe")
 
     @cached_property
     def series(self) -> DataFrame:
@@ -91,11 +97,11 @@ class Inputs:
 
     @cached_property
     def returns(self) -> DataFrame:
-        return kernels(self.prices, WINDOW, HALFLIFE)
+        return shared(kernels(self.prices, WINDOW, HALFLIFE), "returns")
 
     @cached_property
     def beta(self) -> DataFrame:
-        return cross_sections(self.returns, self.members, self.series, MIN_N)
+        return shared(cross_sections(self.returns, self.members, self.series, MIN_N), "beta")
 
     @cached_property
     def tripwire(self) -> DataFrame:
@@ -108,7 +114,7 @@ class Inputs:
 
     @cached_property
     def regimes(self) -> DataFrame:
-        return classify(self.rounded, window=PCT, lookback=LOOKBACK, min_valid=VALID)
+        return shared(classify(self.rounded, window=PCT, lookback=LOOKBACK, min_valid=VALID), "regimes")
 
     @cached_property
     def both(self) -> DataFrame:
@@ -124,7 +130,7 @@ class Inputs:
         month = F.trunc(F.to_date("l_shipdate"), "month").alias("date")
         t = self.table("lineitem").groupBy(month).agg(mean_of("l_quantity").alias("q"), mean_of("l_discount").alias("d"), mean_of("l_tax").alias("t"), F.count("*").cast("double").alias("n"))
         parts = F.array(*[F.struct(F.lit(i).alias("macro_id"), v.alias("value")) for i, v in (("VIXCLS", F.col("q")), ("BAMLC0A4CBBB", F.col("d")), ("BAMLEMCBPIOAS", F.col("t")), ("BAMLH0A0HYM2", F.col("n")), ("T10Y2Y", F.lit(20.0)))])
-        rows = t.select("date", F.explode(parts).alias("m")).select("date", "m.macro_id", "m.value")
+        rows = shared(t.select("date", F.explode(parts).alias("m")).select("date", "m.macro_id", "m.value"), "macro")
         return rows.filter(~((F.col("macro_id") == "BAMLC0A4CBBB") & (F.month("date") % 5 == 0)))
 
     @cached_property
@@ -135,13 +141,10 @@ class Inputs:
     def composites(self) -> DataFrame:
         """One price a segment and class as composite tickers; the regional ones are absent."""
         names = {("DM", "Eq"): "MXWO", ("EM", "Eq"): "MXEF", ("DM", "FI"): "I35402US", ("EM", "FI"): "EMUSTRUU"}
-        t = None
-        for f, k in zip(self._facts(), ("Eq", "FI"), strict=True):
-            f = f.join(F.broadcast(self.nations.select("country", "segment")), "country")
-            ticker = F.when(F.col("segment") == "DM", names["DM", k]).otherwise(names["EM", k])
-            g = f.groupBy("date", ticker.alias("ticker")).agg(mean_of("v").alias("price"))
-            t = g if t is None else t.unionByName(g)
-        return t
+        f = self.facts.join(F.broadcast(self.nations.select("country", "segment")), "country")
+        pick = lambda k: F.when(F.col("segment") == "DM", names["DM", k]).otherwise(names["EM", k])
+        ticker = F.when(F.col("asset_class") == "Eq", pick("Eq")).otherwise(pick("FI")).alias("ticker")
+        return f.groupBy("date", ticker).agg((F.sum("cents").cast("double") / (F.lit(100.0) * F.sum("n"))).alias("price"))
 
     @cached_property
     def gaps(self) -> DataFrame:

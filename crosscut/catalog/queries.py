@@ -155,10 +155,10 @@ query("w3_ewma_vol_grouped", q(f"SELECT date, series_id, {r('vol')} AS vol FROM
     lambda x: wi.ewma_vol_grouped(x.returns.select("date", "series_id", "r1"), "r1", base.HALFLIFE, "vol").select("date", "series_id", "vol")
 )
 query("w4_rolling_percentile", q(f"SELECT date, cut, {r('p')} AS percentile FROM pct2"))(
-    lambda x: x.rounded.select("date", "cut", wi.rolling_percentile("beta_cap", base.PCT).alias("percentile"))
+    lambda x: wi.rolling_percentile(x.rounded.select("date", "cut", "beta_cap"), "beta_cap", base.PCT, "percentile").drop("beta_cap")
 )
 query("w4_rolling_percentile_strict", q(f"SELECT date, cut, {r('CASE WHEN beta_cap IS NOT NULL THEN p END')} AS percentile FROM pct2"))(
-    lambda x: x.rounded.select("date", "cut", wi.rolling_percentile("beta_cap", base.PCT, strict=True).alias("percentile"))
+    lambda x: wi.rolling_percentile(x.rounded.select("date", "cut", "beta_cap"), "beta_cap", base.PCT, "percentile", strict=True).drop("beta_cap")
 )
 query("w5_direction", q("SELECT date, cut, direction FROM dir"))(lambda x: x.rounded.select("date", "cut", wi.direction("beta_cap", base.LOOKBACK).alias("direction")))
 query("w6_expanding_count", q("SELECT date, cut, valid_all AS valid FROM pct2"))(lambda x: x.rounded.select("date", "cut", wi.expanding_count("beta_cap").alias("valid")))

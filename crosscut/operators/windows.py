@@ -1,7 +1,8 @@
 """Time-series kernels as window expressions over dense (date x series) rows.
 
 Windows are partitioned by series (or cut), never global: a partition holds one key's dates. All kernels take the key
-and order columns, so they run on any long table.
+and order columns, so they run on any long table. EWMA volatility, rolling ranks, running counts, runs and hysteresis also
+take histories of any length: given `size`, they deal a key's rows into blocks of so many and carry states across them.
 """
 
 from __future__ import annotations
@@ -9,12 +10,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import YEAR
 from ..functions.labels import safe_log_ratio
+from . import blocks
 
 #: The scaled sums of an EWMA window cover so many half-lives at most, to stay in the range of doubles.
 SAFE_SPAN = 400
@@ -45,29 +49,35 @@ def log_return(price: str, rows: int, key: Iterable[str] = ("series_id",), date:
     return safe_log_ratio(F.col(price), F.lag(price, rows).over(_over(key, date)))
 
 
-def ewma_vol(df: DataFrame, r: str, halflife: float, out: str, key: Iterable[str] = ("series_id",), date: str = "date", annual: int = YEAR) -> DataFrame:
+def ewma_vol(df: DataFrame, r: str, halflife: float, out: str, key: Iterable[str] = ("series_id",), date: str = "date", annual: int = YEAR, size: int | None = None) -> DataFrame:
     """df with the annualised, demeaned and bias-corrected EWMA volatility of r; NULL rows carry the last value.
 
     Weights relative to the first observation are running products; scaled sums of them give all moments in one window.
     The weights grow as 2**(rows / halflife). Long histories therefore fall into blocks of SAFE_SPAN / 2 half-lives, and
-    the rows of a block are summed together with the block before; what is still earlier weighs under 2**-200.
+    the rows of a block are summed together with the block before; what is still earlier weighs under 2**-200. size: the
+    rows of a series are numbered over many tasks, if it has more than that, and no task holds more than two blocks.
     """
     key = list(key)
     alpha = 1.0 - math.exp(-math.log(2.0) / halflife)
-    over = _over(key, date)
-    run = over.rowsBetween(Window.unboundedPreceding, 0)
-    earlier = over.rowsBetween(Window.unboundedPreceding, -1)
+    span = max(1, int(SAFE_SPAN / 2 * halflife))
     x = F.col(r)
-    t = df.withColumn("_i", F.row_number().over(over))
-    t = t.withColumn("_p", F.last(F.when(x.isNotNull(), F.col("_i")), ignorenulls=True).over(earlier))
+    if size is not None and blocks.is_long(df, key, size):
+        t = blocks.first_of_key(blocks.numbered(df, key, date), r, "_x0", key).withColumn("_block", blocks.block_of(span))
+        t = blocks.last_so_far(t, F.when(x.isNotNull(), F.col("_i")), "_p", key, inclusive=False)
+        block, end = F.col("_block"), F.col("_end")
+        start = F.when(x.isNotNull(), F.col("_x0"))
+    else:
+        over = _over(key, date)
+        t = df.withColumn("_i", F.row_number().over(over) - 1)
+        t = t.withColumn("_p", F.last(F.when(x.isNotNull(), F.col("_i")), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, -1)))
+        block, end = F.floor(F.col("_i") / span), F.max("_i").over(Window.partitionBy(*key))
+        start = F.first(x, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
     gap = F.pow(F.lit(1.0 - alpha), (F.col("_i") - F.col("_p")).cast("double"))
     t = t.withColumn("_a", F.when(x.isNotNull(), F.when(F.col("_p").isNull(), 1.0).otherwise(F.lit(alpha) / (gap + F.lit(alpha)))))
-    t = t.withColumn("_z", x - F.first(x, ignorenulls=True).over(run))
-    size = max(1, int(SAFE_SPAN / 2 * halflife))
-    block = F.floor((F.col("_i") - 1) / size)
-    more = F.max("_i").over(Window.partitionBy(*key)) > (block + 1) * size
+    t = t.withColumn("_z", x - start)
+    more = end >= (block + 1) * span
     t = t.withColumn("_g", F.when(more, F.array(block, block + 1)).otherwise(F.array(block))).withColumn("_g", F.explode("_g"))
-    run = _over([*key, "_g"], date).rowsBetween(Window.unboundedPreceding, 0)
+    run = _over([*key, "_g"], "_i").rowsBetween(Window.unboundedPreceding, 0)
     t = t.withColumn("_l", F.coalesce(F.sum(F.when(F.col("_a") < 1.0, F.log(1.0 - F.col("_a")))).over(run), F.lit(0.0)))
     t = t.withColumn("_w", F.col("_a") * F.exp(-F.col("_l")))
     w, z = F.col("_w"), F.col("_z")
@@ -75,8 +85,8 @@ def ewma_vol(df: DataFrame, r: str, halflife: float, out: str, key: Iterable[str
     s, s2 = F.col("_s"), F.col("_s2")
     raw = F.greatest(F.lit(0.0), F.try_divide(F.col("_q"), s) - F.pow(F.try_divide(F.col("_m"), s), F.lit(2.0)))
     var = F.when(s * s > s2, raw * s * s / (s * s - s2))
-    t = t.withColumn(out, F.sqrt(var) * math.sqrt(annual)).filter(F.col("_g") == block)
-    return t.drop("_i", "_p", "_a", "_l", "_w", "_z", "_g", "_s", "_s2", "_m", "_q")
+    t = t.withColumn(out, F.sqrt(var) * math.sqrt(annual)).filter(F.col("_g") == F.floor(F.col("_i") / span))
+    return t.drop("_i", "_p", "_a", "_l", "_w", "_z", "_g", "_s", "_s2", "_m", "_q", "_x0", "_end", "_block")
 
 
 def ewma_vol_grouped(df: DataFrame, r: str, halflife: float, out: str, key: Iterable[str] = ("series_id",), date: str = "date", annual: int = YEAR) -> DataFrame:
@@ -91,17 +101,56 @@ def ewma_vol_grouped(df: DataFrame, r: str, halflife: float, out: str, key: Iter
     return done.withColumn(out, F.when(~F.isnan(out), F.col(out)))
 
 
-def rolling_percentile(value: str, rows: int, key: Iterable[str] = ("cut",), date: str = "date", strict: bool = False) -> Column:
-    """(values of the window <= the current one - 1) / (rows of the window - 1).
+def counts_at_most(values: np.ndarray, rows: int) -> np.ndarray:
+    """For each place, how many of the last `rows` values are at most its own; NaN counts nowhere and has 0.
 
-    A NULL value counts as a row, and in the default mode ranks below all others: -1 / (rows - 1). strict: NULL.
+    A wavelet matrix over the values' ranks: a level for each bit, where a range of places maps to a range of places, so a
+    window costs the bits of the number of values, whatever its rows. All windows go down together.
     """
-    frame = last_rows(key, rows, date)
-    x = F.col(value)
-    below = F.size(F.filter(F.collect_list(value).over(frame), lambda v: v <= x))
-    n = F.count(F.lit(1)).over(frame)
-    rank = (F.when(x.isNull(), 0).otherwise(below) - 1) / F.greatest(n - 1, F.lit(1))
-    return F.when((F.count(value).over(frame) > 0) & (x.isNotNull() if strict else F.lit(True)), rank)
+    n, some = len(values), ~np.isnan(values)
+    ranks = np.full(n, n, np.int64)
+    ranks[some] = np.unique(values[some], return_inverse=True)[1]
+    high = np.arange(1, n + 1)
+    low, want, found = np.maximum(high - rows, 0), ranks + 1, np.zeros(n, np.int64)
+    for bit in range(int(n + 1).bit_length() - 1, -1, -1):
+        one = (ranks >> bit) & 1
+        zeros = np.concatenate(([0], np.cumsum(1 - one)))
+        zl, zh, up = zeros[low], zeros[high], ((want >> bit) & 1).astype(bool)
+        found += np.where(up, zh - zl, 0)
+        low, high = np.where(up, zeros[-1] + low - zl, zl), np.where(up, zeros[-1] + high - zh, zh)
+        ranks = np.concatenate((ranks[one == 0], ranks[one == 1]))
+    return np.where(some, found, 0)
+
+
+def rolling_percentile(df: DataFrame, value: str, rows: int, out: str, key: Iterable[str] = ("cut",), date: str = "date", strict: bool = False, size: int = blocks.BLOCK, long: bool | None = None) -> DataFrame:
+    """df with (values of the window <= the current one - 1) / (rows of the window - 1).
+
+    A NULL value counts as a row, and in the default mode ranks below all others: -1 / (rows - 1). strict: NULL. No value in
+    the window: NULL. A task ranks up to `size` rows of a key and the rows - 1 before them, at the cost of their logarithm.
+    long: whether some key has more than `size` rows; counted if it isn't said.
+    """
+    key = list(key)
+    t = df
+    long = blocks.is_long(df, key, size) if long is None else long
+    if long:
+        t = blocks.halo(df if "_i" in df.columns else blocks.numbered(df, key, date), rows - 1, size)
+    order = "_i" if long else date
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        x = table[value].cast(pa.float64()).to_numpy(zero_copy_only=False)
+        first = table["_i"][0].as_py() if long else 0
+        some = np.concatenate(([0], np.cumsum(~np.isnan(x))))
+        at = np.arange(1, len(x) + 1)
+        valid = some[at] - some[np.maximum(at - rows, 0)]
+        rank = (counts_at_most(x, rows) - 1) / np.maximum(np.minimum(at + first, rows) - 1, 1)
+        known = (valid > 0) & (~np.isnan(x) | (not strict))
+        table = table.append_column(out, pa.array(rank, pa.float64(), mask=~known))
+        return table.filter(table["_own"]) if long else table
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in t.schema.fields)
+    done = t.groupBy(*key, *["_block"] * long).applyInArrow(one, f"{fields}, `{out}` double")
+    return done.drop(*[c for c in ("_block", "_own", "_i") if c not in df.columns])
 
 
 def direction(value: str, rows: int, key: Iterable[str] = ("cut",), date: str = "date") -> Column:
@@ -164,32 +213,38 @@ def percent_rank(value: str, key: Iterable[str]) -> Column:
     return F.when(F.col(value).isNotNull(), (low + (ties - 1) / 2) / F.count(value).over(by))
 
 
-def runs(df: DataFrame, label: str, key: Iterable[str], date: str = "date") -> DataFrame:
+def runs(df: DataFrame, label: str, key: Iterable[str], date: str = "date", size: int | None = None) -> DataFrame:
     """df without NULL labels, with the number of each row's run of equal labels and its place in it."""
     key = list(key)
+    if size is not None and blocks.is_long(df, key, size):
+        return blocks.places(df, label, key, date, size).drop("_i", "_block", "_first")
     over = _over(key, date)
     t = df.filter(F.col(label).isNotNull()).withColumn("_new", (~F.col(label).eqNullSafe(F.lag(label).over(over))).cast("int"))
     t = t.withColumn("run", F.sum("_new").over(over.rowsBetween(Window.unboundedPreceding, 0)))
     return t.withColumn("place", F.row_number().over(Window.partitionBy(*key, "run").orderBy(date))).drop("_new")
 
 
-def run_lengths(df: DataFrame, label: str, key: Iterable[str], date: str = "date") -> DataFrame:
+def run_lengths(df: DataFrame, label: str, key: Iterable[str], date: str = "date", size: int | None = None) -> DataFrame:
     """key, run, start, end, label, rows of each run."""
     key = list(key)
-    return runs(df, label, key, date).groupBy(*key, "run").agg(
+    return runs(df, label, key, date, size).groupBy(*key, "run").agg(
         F.min(date).alias("start"), F.max(date).alias("end"), F.first(label).alias(label), F.count("*").alias("rows")
     )
 
 
-def hysteresis(df: DataFrame, label: str, rows: int, key: Iterable[str], date: str = "date", out: str = "confirmed") -> DataFrame:
+def hysteresis(df: DataFrame, label: str, rows: int, key: Iterable[str], date: str = "date", out: str = "confirmed", size: int | None = None) -> DataFrame:
     """A new label counts once it has lasted so many rows; the first label seeds.
 
     The confirmed label of a row is that of the last row that stood at place `rows` or later in its run; places are
     counted while another label is confirmed, which is the case for every run but those of the confirmed label.
     """
     key = list(key)
+    held = F.when(F.col("place") >= rows, F.col(label))
+    if size is not None and blocks.is_long(df, key, size):
+        t = blocks.last_so_far(blocks.places(df, label, key, date, size), held, "_held", key)
+        return t.withColumn(out, F.coalesce("_held", "_first")).drop("run", "place", "_held", "_first", "_i", "_block")
     over = _over(key, date)
     t = runs(df, label, key, date)
-    held = F.last(F.when(F.col("place") >= rows, F.col(label)), ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
+    held = F.last(held, ignorenulls=True).over(over.rowsBetween(Window.unboundedPreceding, 0))
     first = F.first(label).over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     return t.withColumn(out, F.coalesce(held, first)).drop("run", "place")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +11,8 @@ from ..config import EngineConfig
 from ..functions.labels import quarter_label
 from ..operators import gates as ga
 from ..sources.panel import MacroClient
-from ..sources.runs import write_csv
+from ..sources.files import joined
+from ..sources.runs import write_csv, write_text
 from .engine import Run, run
 
 
@@ -40,11 +40,11 @@ def run_backtest(spark: SparkSession, cfg: EngineConfig, client: MacroClient, st
         "gates": {r["gate"]: {"passed": r["passed"], "value": r["value"]} for r in rows},
         "all_passed": all(r["passed"] for r in rows),
     }
-    out = Path(cfg.output_dir)
-    (out / "acceptance_report.json").write_text(json.dumps(report, indent=2), encoding="utf-8")
+    out = lambda name: joined(cfg.output_dir, name)
+    write_text(out("acceptance_report.json"), json.dumps(report, indent=2))
     table = ga.event_table(spark, events).select("event", F.col("day").alias("date"))
-    write_csv(table, out / "event_recognition.csv", "event string, date date", ("date",))
+    write_csv(table, out("event_recognition.csv"), "event string, date date", ("date",))
     history = result.rho.withColumnsRenamed({"cut": "segment", "macro_id": "fred_series"}).filter("rho is not null")
-    write_csv(history, out / "validation_corr_history.csv", "date date, segment string, fred_series string, rho double", ("date", "_cut", "fred_series"))
-    write_csv(stability_metrics(result.transitions), out / "stability_metrics.csv", "quarter string, segment string, transitions long", ("quarter", "_cut"))
+    write_csv(history, out("validation_corr_history.csv"), "date date, segment string, fred_series string, rho double", ("date", "_cut", "fred_series"))
+    write_csv(stability_metrics(result.transitions), out("stability_metrics.csv"), "quarter string, segment string, transitions long", ("quarter", "_cut"))
     return report

@@ -102,7 +102,7 @@ def build(prices: DataFrame, universe: DataFrame, macro: DataFrame, cfg: EngineC
     )
 
 
-def run(spark: SparkSession, cfg: EngineConfig, client: src.MacroClient, run_date: str, as_of_data_date: str, force: bool = False, composites: DataFrame | None = None) -> tuple[Run, Path]:
+def run(spark: SparkSession, cfg: EngineConfig, client: src.MacroClient, run_date: str, as_of_data_date: str, force: bool = False, composites: DataFrame | None = None) -> tuple[Run, Path | str]:
     """Load, check, build and write a run."""
     universe = src.load_universe(spark, cfg.data_path)
     va.check_universe(universe)

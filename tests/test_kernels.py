@@ -54,9 +54,9 @@ def test_ewma_volatility_of_a_long_history(spark):
 def test_percentile_matches_its_definition_and_strict_mode(spark):
     x = [0.1, 0.4, None, 0.2, 0.4, 0.3]
     df = frame(spark, [math.nan if v is None else v for v in x])
-    got = values(df.withColumn("p", wi.rolling_percentile("r1", 3, ("series_id",))), "p")
+    got = values(wi.rolling_percentile(df, "r1", 3, "p", ("series_id",)), "p")
     assert got == [0.0, 1.0, -0.5, 0.0, 0.5, 0.5]
-    strict = values(df.withColumn("p", wi.rolling_percentile("r1", 3, ("series_id",), strict=True)), "p")
+    strict = values(wi.rolling_percentile(df, "r1", 3, "p", ("series_id",), strict=True), "p")
     assert strict[2] is None and strict[3:] == got[3:]
 
 

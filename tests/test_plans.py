@@ -55,7 +55,7 @@ def test_run_backtest_and_report(spark, book, tmp_path):
     cfg = settings(book, tmp_path)
     client = src.TableClient(macro(spark))
     result, folder = engine.run(spark, cfg, client, "2020-04-01", "2020-03-31")
-    assert {p.name for p in folder.iterdir()} == {f"{n}.csv" for n in runs.ARTIFACTS} | {"snapshot.json"}
+    assert {p.name for p in folder.iterdir() if p.name[0] != "."} == {f"{n}.csv" for n in runs.ARTIFACTS} | {"snapshot.json", "versions"}
     assert set(json.loads((folder / "snapshot.json").read_text())) == {"run_date", "as_of_data_date", "methodology_version", "config_resolved", "data_fingerprint", "code_version", "warnings"}
     with pytest.raises(FileExistsError):
         runs.write_run({}, {}, tmp_path, "2020-04-01")
