@@ -50,9 +50,9 @@ BLOCK = 1024
 GROUP = 4096  # blocks in lockstep
 SEGMENT = BLOCK * GROUP
 SLICE = 2 << 20
-MAGIC = b"CMR2"
+MAGIC = b"CMR3"
 ONE, TWO = 128, 256  # cells of the context tables of a block
-BITS, STEP, RATE = 14, 24, 5  # the classes' distribution sums to 2**BITS, each has at least about STEP / 3
+BITS, STEP, RATE = 14, 24, 4  # the classes' distribution sums to 2**BITS, each has at least about STEP / 3; it learns from every second id
 TOTAL = 20  # bits of a mixed decision
 SURE, DOUBT = 943_718, 1 << 10  # an order that was always right gets 0.9 of 2**TOTAL
 TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)  # a span of BOTTOM outlasts a decision and a place
@@ -167,15 +167,16 @@ class _Model:
         lo = self.flat.take(at) * rest >> BITS
         return lo, (self.flat.take(at + len(self.lane)) * rest >> BITS) - lo
 
-    def update(self, coded: np.ndarray, cls: np.ndarray) -> None:
+    def update(self, coded: np.ndarray, cls: np.ndarray, k: int) -> None:
         for h, p in ((self.hit2, self.p2), (self.hit1, self.p1)):
             h += ((p == coded) * np.int32(SURE) + DOUBT - h >> 4) * (p > 0)
-        c = self.cdf[1:-1]
-        step = (self.rows > cls) * self.room
-        step += self.low
-        step -= c
-        step >>= RATE
-        c += step
+        if not k & 1:
+            c = self.cdf[1:-1]
+            step = (self.rows > cls) * self.room
+            step += self.low
+            step -= c
+            step >>= RATE
+            c += step
         self.one[self.i1] = self.two[self.i2] = coded
         self.before, self.last = self.last, coded
 
@@ -228,7 +229,7 @@ def _encode_group(grid: np.ndarray, prior: _Prior) -> list[bytes]:
             cells[at[idx]] = lo_ >> U48
             at[idx] += 1
             low[idx], span[idx] = lo_ << U16, sp_ << U16
-        m.update(x, cls)
+        m.update(x, cls, k)
     for shift in (48, 32, 16, 0):
         cells[at] = (low >> np.uint64(shift)) & np.uint64(0xFFFF)
         at += 1
@@ -294,7 +295,7 @@ def _decode_group(codes: list[bytes], steps: int, prior: _Prior) -> np.ndarray:
             at[idx] += 1
             low[idx], span[idx] = lo_ << U16, sp_ << U16
         grid[k] = x
-        m.update(x, prior.cls.take(x, mode="clip"))
+        m.update(x, prior.cls.take(x, mode="clip"), k)
     return grid - 1
 
 
