@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -86,6 +87,41 @@ def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Recor
         at = to
 
 
+#: Bytes of one batch between the JVM and Python at most; Spark's default is 64 MB, on both sides of each running task.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of the session, if they aren't bounded as much."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if _bytes(spark.conf.get(name)) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def _bytes(text: str) -> int:
+    units = {"": 1, "b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    digits = text.rstrip("bkmgBKMG")
+    return int(digits) * units[text[len(digits) :].lower()]
+
+
+def give_back() -> None:
+    """Hands memory that was freed back to the system: a worker that waits for its next task shouldn't hold what the last took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function of a mapInArrow, which gives memory back at its end."""
+
+    def to_the_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return to_the_end
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: multiply and xor-shift twice."""
     x = x.astype(np.uint64, copy=True)

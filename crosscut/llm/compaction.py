@@ -34,6 +34,8 @@ from pyspark.sql.types import LongType, StructType
 TARGET, ROWS_PER_SHARD = 64 << 20, 1000
 FAN_IN, MAX_FAN_IN, GROWTH = 4, 256, 4
 SPARE = 8
+#: A manifest that is still empty after so many seconds has lost its writer.
+STALE = 600.0
 SHARD = "__crosscut_shard"
 MANIFEST = "shard long, version long, rows long, bytes long, min_id long, max_id long, file string"
 #: Merges of so many shards at most are broadcast by name; beyond it Spark joins by shuffle.
@@ -68,6 +70,18 @@ class Store:
         """The number of the newest manifest, 0 if there is none."""
         return max(self._versions(), default=0)
 
+    def next_version(self) -> int:
+        """The number of the next commit. A claim without content is that of a writer at work, or of one that died between
+        creating and writing it: after STALE seconds writers step over it. Creation is exclusive on HDFS; object stores
+        without exclusive creation need one writer at a time."""
+        fs, p = self._fs(f"{self.path}/manifest")
+        found = [(s.getPath().getName(), s) for s in fs.listStatus(p)] if fs.exists(p) else []
+        claims = {int(name[:-5]): s for name, s in found if name.endswith(".json") and name[:-5].isdigit()}
+        last = max(claims, default=0)
+        if last and not claims[last].getLen() and time.time() - claims[last].getModificationTime() / 1000 < STALE:
+            raise Conflict(f"version {last} is being written")
+        return last + 1
+
     def _entry(self, version: int) -> dict:
         """folder: where a version's manifest is; schema: of the stored rows."""
         fs, p = self._fs(f"{self.path}/manifest/{version:010d}.json")
@@ -119,13 +133,13 @@ class Store:
 
     def append(self, docs: DataFrame, rows_per_shard: int = ROWS_PER_SHARD) -> int:
         """Stores arrivals as new small shards; returns the version."""
-        if SHARD in docs.columns:
-            raise ValueError(f"{SHARD} is reserved")
-        before = self.version()
-        shards, folder = self.manifest(before), self._folder(before + 1)
+        if reserved := {SHARD, "_metadata"} & set(docs.columns):
+            raise ValueError(f"{min(reserved)} is reserved")
+        before, new = self.version(), self.next_version()
+        shards, folder = self.manifest(before), self._folder(new)
         docs.write.option("maxRecordsPerFile", rows_per_shard).option("compression", "zstd").parquet(folder)
-        self.commit(shards.unionByName(self._entries(folder, before + 1, self._last(shards))), before + 1, docs.schema)
-        return before + 1
+        self.commit(shards.unionByName(self._entries(folder, new, self._last(shards))), new, docs.schema)
+        return new
 
     @staticmethod
     def plan(shards: DataFrame, target: int = TARGET, final: bool = False) -> DataFrame:
@@ -153,15 +167,16 @@ class Store:
         names = [r[0] for r in files.select("file").collect()]  # names of files, as a scan lists them anyway
         rows = self.spark.read.parquet(*names)
         columns = rows.columns
-        named = files.select(F.col("file").alias("__file"), F.col("shard").alias(SHARD))
+        path, file = (f"__{x}_{uuid.uuid4().hex}" for x in ("path", "file"))  # names that no stored column has
+        named = files.select(F.col("file").alias(file), F.col("shard").alias(SHARD))
         named = F.broadcast(named) if len(names) <= BROADCAST_SHARDS else named
-        return rows.withColumn("__path", F.col("_metadata.file_path")).join(named, F.col("__path") == F.col("__file")).select(*columns, SHARD)
+        return rows.withColumn(path, F.col("_metadata.file_path")).join(named, F.col(path) == F.col(file)).select(*columns, SHARD)
 
     def compact(self, target: int = TARGET, final: bool = True) -> int:
         """Merges until no tier has enough shards; each round is one commit. Returns the version."""
         leftovers = False
         while True:
-            v = self.version()
+            v, new = self.version(), self.next_version()
             shards = self.manifest(v)
             merges = self.plan(shards, target, leftovers)
             n = merges.select("into").distinct().count()
@@ -170,14 +185,14 @@ class Store:
                     return v
                 leftovers = True
                 continue
-            folder = self._folder(v + 1)
+            folder = self._folder(new)
             rows = self._rows(merges.select(F.col("into").alias("shard"), "file"))
             # a merge is one partition and one file; spare partitions keep two merges from meeting in one
             rows.repartition(SPARE * n, SHARD).write.partitionBy(SHARD).option("compression", "zstd").parquet(folder)
             rest = shards.join(merges.select("shard"), "shard", "left_anti").select(*shards.columns)
-            self.commit(rest.unionByName(self._entries(folder, v + 1, self._last(shards))), v + 1)
+            self.commit(rest.unionByName(self._entries(folder, new, self._last(shards))), new)
             if leftovers:
-                return v + 1
+                return new
 
     def read(self, version: int | None = None) -> DataFrame:
         """All rows of a version, with the number of the shard that each is in."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, SPACE_RUN, cut, filled
+from .common import BROADCAST_IDS, SPACE_RUN, cut, filled, lean, small_batches
 
 #: Bytes of labels that one partition's trie holds before it spills.
 SPILL_BYTES = 96 << 20
@@ -169,11 +169,12 @@ def _per_partition(limit: int):
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spill_bytes: int = SPILL_BYTES) -> DataFrame:
     """One row per distinct text: n (bytes), sha (binary), owner (smallest id), copies."""
     norm = F.regexp_replace(filled(F.col(text_col)), SPACE_RUN, " ")
+    small_batches(docs.sparkSession)
     local = docs.select(F.col(id_col).cast("long").alias("id"), norm.alias("body")).mapInArrow(
-        _per_batch, "n long, sha binary, owner long, copies long, body binary"
+        lean(_per_batch), "n long, sha binary, owner long, copies long, body binary"
     )
     return local.repartition("n", "sha").mapInArrow(
-        _per_partition(spill_bytes), "n long, sha binary, owner long, copies long"
+        lean(_per_partition(spill_bytes)), "n long, sha binary, owner long, copies long"
     )
 
 
@@ -201,15 +202,18 @@ def exact_dedup(
 def drop_exact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns: each row by its own decision, and one of those that repeat an id
     and its text."""
-    own = exact_dedup(docs, id_col, text_col).filter("group_size > 1")
-    own = cut(own.select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_sha"), "kept"))
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name of the table meets one of ours
+    id_, text = f"c{names.index(id_col)}", f"c{names.index(text_col)}"
+    own = exact_dedup(plain, id_, text).filter("group_size > 1")
+    own = cut(own.select(F.col(id_).alias("_id"), F.unhex("text_sha256").alias("_sha"), "kept"))
     twins = own.filter("kept").groupBy("_id", "_sha").count().filter("count > 1").select("_id", "_sha")
     marks = cut(own.filter("not kept").select("_id", "_sha").distinct().unionByName(twins))
     few = marks.limit(BROADCAST_IDS // 4 + 1).count() <= BROADCAST_IDS // 4
-    sha = F.unhex(F.sha2(F.regexp_replace(filled(F.col(text_col)), SPACE_RUN, " "), 256))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
-    out = docs.join(F.broadcast(marks) if few else marks, same, "left_anti")
+    sha = F.unhex(F.sha2(F.regexp_replace(filled(F.col(text)), SPACE_RUN, " "), 256))
+    same = F.col(id_).eqNullSafe(F.col("_id")) & (sha == F.col("_sha"))
+    out = plain.join(F.broadcast(marks) if few else marks, same, "left_anti")
     if twins.take(1):
-        one = docs.join(twins, same, "left_semi").withColumn("_sha", sha).dropDuplicates([id_col, "_sha"])
+        one = plain.join(twins, same, "left_semi").withColumn("_sha", sha).dropDuplicates([id_, "_sha"])
         out = out.unionByName(one.drop("_sha"))
-    return out.select(*docs.columns)
+    return out.toDF(*names)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, flat
+from .common import by_bytes, flat, give_back, lean, small_batches
 
 PER_LANGUAGE = 1000
 CELLS = 1 << 16
@@ -170,7 +170,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), text.alias("body"), letter.alias("letter"), (F.lit(None).cast("boolean") if flag is None else flag).alias("flag")
     )
-    return rows.mapInArrow(_predict(model), "id long, flag boolean, lang_pred string, score double, ambiguous boolean")
+    return rows.mapInArrow(lean(_predict(model)), "id long, flag boolean, lang_pred string, score double, ambiguous boolean")
 
 
 def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST) -> DataFrame:
@@ -186,8 +186,10 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", least
                 _, score, close = model.decode(model.margins(*flat(part.column("body"))))
                 out[at : at + n] = ~close | (score >= least)
             at += n
+        give_back()
         return pa.array(out)
 
+    small_batches(docs.sparkSession)
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     return docs.filter(letter).filter(good(F.coalesce(F.col(text_col), F.lit(""))))
 

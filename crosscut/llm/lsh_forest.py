@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, anti, by_bytes, cut, filled, flat, saved
+from .common import BROADCAST_IDS, anti, by_bytes, cut, filled, flat, lean, saved, small_batches
 from .components import components, joined
 from .shingles import fingerprints, overlap, sets, signatures, sketches
 
@@ -93,7 +93,8 @@ def _features(k: int):
 def features(docs: DataFrame, k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n (set size), print (of the set), sig (MinHash values), b0 and b1 (their last bits)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), filled(F.col(text_col)).alias("body"))
-    return rows.mapInArrow(_features(k), "id long, n long, print binary, sig binary, b0 long, b1 long")
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(lean(_features(k)), "id long, n long, print binary, sig binary, b0 long, b1 long")
 
 
 def _agree(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: int, bits: int) -> np.ndarray:
@@ -319,7 +320,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataF
     left = texts.select(F.col("id").alias("a"), F.col("body").alias("text_a"))
     right = texts.select(F.col("id").alias("b"), F.col("body").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_confirm(k, threshold), "a long, b long")
+    return both.mapInArrow(lean(_confirm(k, threshold)), "a long, b long")
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -367,7 +368,7 @@ def link(rows: DataFrame, texts: Callable[[DataFrame], DataFrame], k: int, thres
     mixed = wide.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
     wide = cut(wide.join(mixed, "key", "left_semi"))
     if wide.take(1):
-        items = cut(texts(wide.select("id").distinct()).dropDuplicates(["id"]).mapInArrow(_items(k), "id long, items binary"))
+        items = cut(texts(wide.select("id").distinct()).dropDuplicates(["id"]).mapInArrow(lean(_items(k)), "id long, items binary"))
         names = ("key", "ask", "block")
         rows = _squares(wide).join(items, "id").repartition(*names).sortWithinPartitions(*names)
         more = cut(rows.select(*names, "id", "component", "asks", "items").mapInArrow(_across(threshold), "a long, b long").distinct())
@@ -411,7 +412,7 @@ def _classes(docs: DataFrame, k: int, threshold: int, id_col: str, text_col: str
         if not repeated:
             return found
         one = texts_of(docs, twice.select(F.col("t_id").alias("id")).join(ids, "id", "left_semi"), id_col, text_col)
-        one = one.mapInArrow(_prints(k), "id long, body string, print binary")
+        one = one.mapInArrow(lean(_prints(k)), "id long, body string, print binary")
         one = one.join(twice, (F.col("id") == F.col("t_id")) & (F.col("print") == F.col("t_print"))).select("id", "body")
         return found.join(twice.select(F.col("t_id").alias("id")), "id", "left_anti").unionByName(one)
 

@@ -195,8 +195,11 @@ def mixed(
     odds: Odds = inverse_root,
 ) -> DataFrame:
     """The mix itself: each document as often as it is taken, with all its columns; the texts aren't shuffled."""
-    cuts = _Cuts(_sized(docs, id_col, text_col, source_col, seed, odds), weights, most)
-    place = rank(draw(docs[id_col], seed), odds(words_of(docs[text_col])))
-    out = cuts.copies(docs, docs[source_col], docs[id_col], place).filter(F.col("__copies") > 0)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name of the table meets one of ours
+    id_, text, source = (f"c{names.index(c)}" for c in (id_col, text_col, source_col))
+    cuts = _Cuts(_sized(plain, id_, text, source, seed, odds), weights, most)
+    place = rank(draw(plain[id_], seed), odds(words_of(plain[text])))
+    out = cuts.copies(plain, plain[source], plain[id_], place).filter(F.col("__copies") > 0)
     again = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__turn")
-    return out.select(*[docs[c] for c in docs.columns], again).drop("__turn")
+    return out.select(*[plain[c] for c in plain.columns], again).drop("__turn").toDF(*names)

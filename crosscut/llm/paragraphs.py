@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_IDS, by_bytes, cut, filled, flat, saved
+from .common import BROADCAST_IDS, by_bytes, cut, filled, flat, lean, saved, small_batches
 from .lsh_forest import bits_of, link
 from .shingles import fingerprints, sets, signatures, starts
 
@@ -103,15 +103,21 @@ def repeats(
     """One row per paragraph that has a repeat: id, para (number of the line, or of the first of joined lines, among the
     text's non-empty lines), start and size (bytes of the text), keep_id and keep_para (the one that stays), class_size,
     removed. joined: consecutive shorter lines are one paragraph."""
+    return keyed(docs, threshold, min_words, id_col, text_col, joined).drop("tk")
+
+
+def keyed(docs: DataFrame, threshold: int = 80, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", joined: bool = False) -> DataFrame:
+    """repeats, with tk: a hash of each paragraph's text as a whole."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), filled(F.col(text_col)).alias("body")).withColumn("tk", F.xxhash64("body"))
     # numbers are fixed by writing them
-    paras = saved(rows.mapInArrow(_features(min_words, joined), SCHEMA).withColumn("pid", F.monotonically_increasing_id()), "paragraphs")
+    paras = saved(rows.mapInArrow(lean(_features(min_words, joined)), SCHEMA).withColumn("pid", F.monotonically_increasing_id()), "paragraphs")
     # written, so that the joins may split a paragraph that very many documents hold
     reps = saved(paras.groupBy("print").agg(F.min("pid").alias("rep"), F.count("*").alias("copies")), "representatives")
     member = saved(paras.join(reps, "print").select("pid", "rep", "copies", "id", "tk", "para", "start", "size"), "members")
     own = paras.join(member.filter("pid = rep").select("pid"), "pid", "left_semi")
     # bands of 128-bit fingerprints' representatives; there is no deeper order
-    keyed = own.select(F.explode("bands").alias("key"), F.lit(0).alias("deep"), F.col("pid").alias("id"), "n", "b0", F.lit(0).cast("long").alias("b1"))
+    bands = own.select(F.explode("bands").alias("key"), F.lit(0).alias("deep"), F.col("pid").alias("id"), "n", "b0", F.lit(0).cast("long").alias("b1"))
 
     def texts(pids: DataFrame) -> DataFrame:
         where = member.join(pids.withColumnRenamed("id", "pid"), "pid", "left_semi").select("pid", F.col("id").alias("doc"), F.col("tk").alias("doc_tk"), "start", "size")
@@ -120,7 +126,7 @@ def repeats(
         body = F.substring(F.encode("body", "UTF-8"), F.col("start") + 1, F.col("size"))
         return found.select(F.col("pid").alias("id"), F.decode(body, "UTF-8").alias("body"))
 
-    comps = link(keyed, texts, WORDS, threshold, BITS).withColumnRenamed("id", "rep")
+    comps = link(bands, texts, WORDS, threshold, BITS).withColumnRenamed("id", "rep")
     out = member.join(comps, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     many = out.filter("copies > 1 or component <> rep").select("component").unionByName(
         comps.select("component")
@@ -139,4 +145,5 @@ def repeats(
         F.col("first.para").alias("keep_para"),
         "class_size",
         (F.col("pid") != F.col("first.pid")).alias("removed"),
+        "tk",
     )

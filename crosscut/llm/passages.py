@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import paragraphs
-from .common import by_bytes, cut, filled, flat, mix64, powers, saved
+from .common import by_bytes, cut, filled, flat, lean, mix64, powers, saved
 from .shingles import _IS_SPACE, starts, words
 
 SPAN, K = 51, 40
@@ -37,7 +37,7 @@ SLICE = 1 << 20
 SPARE, LOW, HIGH = 16, 16, 29
 CHUNK = 16
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-RUNS = "h long, id long, uid long, start int, size int, para int"
+RUNS = "h long, id long, uid long, tk long, start int, size int, para int"
 
 
 def _grams(w: np.ndarray, stop: np.ndarray, k: int) -> np.ndarray:
@@ -141,7 +141,7 @@ def _windows(bitmap, log: int):
                 space = np.append(np.flatnonzero(_IS_SPACE[data]), len(data))
                 end = np.minimum(space[np.searchsorted(space, last)], offs[text + 1])
                 small = lambda x: pa.array(x.astype(np.int32))
-                cols = [pa.array(h.view(np.int64)), *(b.column(c).take(pa.array(text)) for c in ("id", "uid"))]
+                cols = [pa.array(h.view(np.int64)), *(b.column(c).take(pa.array(text)) for c in ("id", "uid", "tk"))]
                 cols += [small(begin - offs[text]), small(end - begin), small(_lines(data, offs, begin, text))]
                 yield pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in RUNS.split(", ")])
 
@@ -152,18 +152,23 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row per passage that stands in two places, whether it stays or not: id, para (number of the non-empty line in
     which it begins), start and size (bytes of the text), keep_id, keep_para, keep_start, keep_size (of the one that
     stays), class_size (the most places of one of its runs), removed."""
+    return _passages(docs, id_col, text_col).drop("keep_tk")
+
+
+def _passages(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """passages, with keep_tk: the hash of the text that stays, by which rows of one id, or without one, are told apart."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), filled(F.col(text_col)).alias("body"))
     bits, log = _bitmap(rows.select("body"))
     sent = docs.sparkSession.sparkContext.broadcast(bits)
     # the numbers of rows are fixed by writing them
-    found = saved(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(_windows(sent, log), RUNS), "passages")
-    place = F.struct(F.col("id").isNotNull(), "id", "uid", "start", "size", "para")
+    found = saved(rows.withColumn("uid", F.monotonically_increasing_id()).withColumn("tk", F.xxhash64("body")).mapInArrow(lean(_windows(sent, log)), RUNS), "passages")
+    place = F.struct(F.col("id").isNotNull(), "id", "uid", "start", "size", "para", "tk")
     # written, so that the join may split a hash that very many documents hold
     first = saved(found.groupBy("h").agg(F.min(place).alias("k"), F.count("*").alias("copies")).filter("copies > 1"), "firsts")
     runs = found.join(first, "h").select(
         *("id", "uid", "para", "start", "copies"),
         (F.col("start") + F.col("size")).alias("end"),
-        *(F.col(f"k.{c}").alias(f"k_{c}") for c in ("id", "uid", "para", "start")),
+        *(F.col(f"k.{c}").alias(f"k_{c}") for c in ("id", "uid", "tk", "para", "start")),
         (F.col("k.start") + F.col("k.size")).alias("k_end"),
     )
     runs = runs.withColumn("removed", (F.col("uid") != F.col("k_uid")) | (F.col("start") != F.col("k_start")))
@@ -177,7 +182,8 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     runs = runs.withColumn("new", F.when(goes_on, 0).otherwise(1)).withColumn("run", F.sum("new").over(doc))
     least = ("id", "start", "para", "k_id", "k_start", "k_para")
     out = runs.groupBy("uid", "run").agg(
-        *(F.min(c).alias(c) for c in least), F.max("end").alias("end"), F.max("k_end").alias("k_end"), F.max("copies").alias("copies"), F.first("removed").alias("removed")
+        *(F.min(c).alias(c) for c in least), F.max("end").alias("end"), F.max("k_end").alias("k_end"), F.max("copies").alias("copies"), F.first("removed").alias("removed"),
+        F.first("k_tk").alias("k_tk"),
     )
     return out.select(
         F.col("id").alias(id_col),
@@ -190,20 +196,24 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.col("k_end") - F.col("k_start")).alias("keep_size"),
         F.col("copies").alias("class_size"),
         "removed",
+        F.col("k_tk").alias("keep_tk"),
     )
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of near-equal paragraphs (short lines joined) and those of passages, in the columns of paragraphs.repeats.
 
-    A passage whose staying place lies in a paragraph that goes isn't removed, so that the two never remove all copies.
+    A passage whose staying place lies in a paragraph that goes isn't removed, so that the two never remove all copies. The
+    place is that of the row's id and text: rows without an id are told apart by their texts.
     """
-    lines = saved(paragraphs.repeats(docs, id_col=id_col, text_col=text_col, joined=True), "repeats")
-    found = passages(docs, id_col, text_col)
+    lines = saved(paragraphs.keyed(docs, id_col=id_col, text_col=text_col, joined=True), "repeats")
+    found = _passages(docs, id_col, text_col)
     span = F.struct("start", (F.col("start") + F.col("size")).alias("end"))
-    # the spans that go of one text
-    gone = lines.filter("removed").groupBy(F.col(id_col).alias("gone_id")).agg(F.collect_list(span).alias("spans"))
-    found = found.join(gone, F.col("keep_id").eqNullSafe(F.col("gone_id")) & F.col("removed"), "left")
+    # the different spans that go of one text: not more than it has paragraphs, however many rows hold it
+    gone = lines.filter("removed").groupBy(F.col(id_col).alias("gone_id"), F.col("tk").alias("gone_tk")).agg(F.collect_set(span).alias("spans"))
+    same = F.col("keep_id").eqNullSafe(F.col("gone_id")) & (F.col("keep_tk") == F.col("gone_tk"))
+    found = found.join(gone, same & F.col("removed"), "left")
     hit = F.exists("spans", lambda x: (x["start"] < F.col("keep_start") + F.col("keep_size")) & (x["end"] > F.col("keep_start")))
     found = found.withColumn("removed", F.col("removed") & ~F.coalesce(hit, F.lit(False)))
+    lines = lines.drop("tk")
     return lines.unionByName(found.select(*lines.columns))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, filled, mix64
+from .common import by_bytes, filled, lean, mix64, small_batches
 
 RANK_SHIFT = 10.0
 SLICE = 256 << 10  # bytes of texts in one lattice, which takes about 12 bytes for each character and piece length
@@ -399,7 +399,8 @@ def _encode(path: str, alpha: float, k: int, seed: int, with_text: bool):
 
 def encode(docs: DataFrame, model: str, k: int = 3, alpha: float = 1.0, seed: int = 1, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """id and up to k samples (ids, log_prob, log_inclusion) of each text; with_text: and what each decodes to."""
-    return docs.select(F.col(id_col).cast("long").alias("id"), filled(F.col(text_col)).alias("body")).mapInArrow(_encode(model, alpha, k, seed, with_text), SAMPLES)
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("id"), filled(F.col(text_col)).alias("body")).mapInArrow(lean(_encode(model, alpha, k, seed, with_text)), SAMPLES)
 
 
 def decode(ids: Column, model: str) -> Column:

@@ -203,3 +203,99 @@ def test_license_texts(spark):
     for t in license_scan.TEMPLATES:
         assert t.label in found[t.name].labels.split(",") and 0.5 < found[t.name].score < 1
     assert found["broken"].labels == "" and found["broken"].score == 0
+
+
+NAMES = ("_id", "_sha", "__src", "__turn", "__path", "__file", "id", "key", "c0", "c1", "body", "grp")
+
+
+def test_clashing_columns_come_back(spark, tmp_path):
+    """Operators that return rows as they are keep all columns, whatever their names."""
+    from crosscut.llm import compaction, exact_dedup, langid, lsh_forest, mixing
+
+    rows = [(*r[:4], *(f"{n}{r[0]}" for n in NAMES)) for r in odd_rows(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"`{n}` string" for n in NAMES)).repartition(3).cache()
+    whole = set(map(tuple, docs.collect()))
+    for name, out in (
+        ("mixed", mixing.mixed(docs)),
+        ("exact", exact_dedup.drop_exact(docs)),
+        ("near", lsh_forest.drop_near(docs, k=5, threshold=80)),
+        ("language", langid.keep_identified(docs, langid.fit_on(docs))),
+    ):
+        found = set(map(tuple, out.collect()))
+        assert out.columns == docs.columns and found and found <= whole, name
+    store = compaction.Store(spark, str(tmp_path / "store"))
+    store.append(docs)
+    store.append(docs.limit(5))
+    store.compact()
+    back = store.read().drop(compaction.SHARD)
+    assert back.columns == docs.columns and set(map(tuple, back.collect())) == whole and back.count() == len(rows) + 5
+    with pytest.raises(ValueError, match="_metadata"):
+        store.append(docs.withColumn("_metadata", F.lit(1)))
+
+
+def test_a_store_goes_on_after_a_lost_claim(spark, tmp_path):
+    import os
+    import time
+
+    from crosscut.llm import compaction
+
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "doc_id long, text string")
+    store = compaction.Store(spark, str(tmp_path))
+    store.append(docs)
+    claim = tmp_path / "manifest" / "0000000002.json"
+    claim.write_text("")
+    with pytest.raises(compaction.Conflict):  # perhaps its writer is at work
+        store.append(docs)
+    os.utime(claim, (time.time() - 3600,) * 2)
+    assert store.append(docs) == 3 and store.compact() == 4 and store.read().count() == 40
+
+
+def test_merges_follow_a_reference_packer(spark):
+    """The plan of merges against a plain packer: tiers, runs of about the target, at most so many shards each."""
+    from crosscut.llm import compaction
+
+    def packed(shards, target, final):
+        tiers = {}
+        for number, size in sorted(shards):
+            if size < target:
+                tier = 0 if final else int(math.floor(math.log(max(size, 1)) / math.log(compaction.GROWTH) + 1e-9))
+                tiers.setdefault(tier, []).append((number, size))
+        out = {}
+        for own in tiers.values():
+            if len(own) < (2 if final else compaction.FAN_IN):
+                continue
+            runs, before = {}, 0
+            for number, size in own:
+                runs.setdefault(before // target, []).append(number)
+                before += size
+            for run in runs.values():
+                for i in range(0, len(run), compaction.MAX_FAN_IN):
+                    part = run[i : i + compaction.MAX_FAN_IN]
+                    if len(part) > 1:
+                        out |= dict.fromkeys(part, part[0])
+        return out
+
+    rng = random.Random(6)
+    for final in (False, True):
+        for n in (1, 3, 40, 700):
+            shards = [(i + 1, rng.choice((10, 30, 900, 5000, 70_000)) + rng.randrange(5)) for i in range(n)]
+            table = spark.createDataFrame([(i, 1, 1, size, 0, 0, f"f{i}") for i, size in shards], compaction.MANIFEST)
+            got = {r.shard: r.into for r in compaction.Store.plan(table, 40_000, final).collect()}
+            assert got == packed(shards, 40_000, final), (final, n)
+
+
+def test_passages_of_rows_without_an_id(spark):
+    """A paragraph that goes from one row without an id doesn't keep a passage of another such row from being removed."""
+    from crosscut.llm import passages
+
+    from .test_operators import words
+
+    rng = random.Random(11)
+    para, passage = words(60, rng), words(60, rng)
+    first = words(30, rng) + " " + passage + " " + words(30, rng)
+    docs = spark.createDataFrame(
+        [(None, first), (None, words(20, rng) + "\n" + para), (3, words(80, rng) + "\n" + para), (None, para + "\n" + words(90, rng)), (9, words(33, rng) + " " + passage + " " + words(41, rng))],
+        "doc_id long, text string",
+    ).repartition(2)
+    rows = [r for r in passages.repeats(docs).collect() if r.doc_id == 9]
+    assert any(r.removed and r.size > 200 for r in rows)
