@@ -19,6 +19,7 @@ from ..operators import windows as wi
 from ..operators.classify import classify
 from ..plans import backtest as bt
 from ..report import bundle as rb
+from ..sources import fingerprints as fp
 from ..sources import panel as src
 from . import base
 from .base import Inputs, tidy
@@ -32,7 +33,7 @@ ORACLE_SQL: dict[str, str] = {}
 #: Date columns of the queries whose dates aren't in one column `date`; they compare as text.
 DATES = dict.fromkeys(
     (
-        "s1_universe_split s6_macro_ids s7_series_hash p1_universe_check p2_calendar_gaps p3_missing_counts p4_price_checks p7_membership p8_report_filter w14_breach_window "
+        "s1_universe_split s6_macro_ids s7_series_hash s7_series_tree p1_universe_check p2_calendar_gaps p3_missing_counts p4_price_checks p7_membership p8_report_filter w14_breach_window "
         "j1_series_dimension j7_event_window j8_weight_alignment j11_series_with_prices u1_union_all u2_difference u3_intersection "
         "a7_stability_metrics a8_share_above a9_any_match a10_axis_range f9_safe_math f11_series_id c4_alerts c5_external_panel g1_vix_gate "
         "g2_bbb_gate g3_event_gate g4_segmentation_gate g5_stability_gate g6_consistency_gate g7_all_gates o4_extremes"
@@ -75,6 +76,14 @@ query("s6_macro_ids", "SELECT unnest(['VIXCLS', 'BAMLC0A4CBBB', 'BAMLEMCBPIOAS',
     lambda x: x.spark.range(1).select(F.explode(F.array(*[F.lit(i) for i in src.MACRO_IDS])).alias("macro_id"))
 )
 query("s7_series_hash", q("SELECT macro_id, sha256(string_agg(h, ',' ORDER BY h)) AS hash FROM (SELECT macro_id, md5(date::VARCHAR || '|' || value::VARCHAR) AS h FROM macro) t GROUP BY macro_id"))(lambda x: src.series_hash(x.macro))
+_FOLD = "SELECT macro_id, {label} AS label, sha256(string_agg(label || ':' || digest, ',' ORDER BY label)) AS digest FROM {t} GROUP BY ALL"
+_TREE = (
+    ", d AS (SELECT macro_id, date::VARCHAR AS label, sha256(string_agg(v || ':' || n, ',' ORDER BY v || ':' || n)) AS digest FROM "
+    "(SELECT macro_id, date, coalesce(value::VARCHAR, '-') AS v, count(*)::VARCHAR AS n FROM macro GROUP BY ALL) z GROUP BY macro_id, date)"
+    + "".join(f", {t} AS ({_FOLD.format(label=f'substr(label, 1, {n})', t=of)})" for t, of, n in (("m", "d", 7), ("y", "m", 4), ("e", "y", 3), ("w", "e", 0)))
+    + " " + " UNION ALL ".join(f"SELECT macro_id, label, digest FROM {t}" for t in "dmyew")
+)
+query("s7_series_tree", q(_TREE))(lambda x: fp.series_nodes(x.macro))
 _LONG = "SELECT date, cut, 'cap_wtd' AS scheme, {b} AS beta, {r2} AS r2, n, suppressed, singular FROM {t} UNION ALL SELECT date, cut, 'eq_wtd', {be}, {re}, n, suppressed, singular FROM {t}"
 _long = lambda t: q(_LONG.format(t=t, b=r("beta_cap"), r2=r("r2_cap"), be=r("beta_eq"), re=r("r2_eq")))
 query("s13_beta_writer_rows", _long("beta"))(lambda x: cs.long_form(x.beta))
@@ -171,7 +180,7 @@ query("w8_forward_fill", q("SELECT date, macro_id, round(value, 6) AS value, rou
     )
 )
 query("w9_mean_pairwise", q(f"SELECT date, cut, {r('avg_pairwise')} AS avg_pairwise FROM pairwise"))(lambda x: x.pairwise)
-query("w10_first_component", q(PC1 + f"SELECT date, cut, {r('pc1_share')} AS pc1_share FROM pc1"))(lambda x: co.rolling_matrix(x.both, x.members, base.CORR, co.first_component, "pc1_share"))
+query("w10_first_component", q(PC1 + f"SELECT date, cut, {r('pc1_share')} AS pc1_share FROM pc1"))(lambda x: co.first_component_share(x.both, x.members, base.CORR))
 _PROXY = "proxy AS (SELECT date, sum(coalesce(w, 0) * coalesce(r1, 0)) / (SELECT sum(coalesce(mcap, 0)) FROM series WHERE series_id IN (SELECT series_id FROM rets)) AS proxy FROM (SELECT t.date, t.r1, s.mcap AS w FROM rets t LEFT JOIN series s USING (series_id)) z GROUP BY date)"
 _BETA = f""", {_PROXY}, bv AS (SELECT t.date, t.series_id, CASE WHEN count(r1) OVER w = 12 AND count(proxy) OVER w = 12 AND var_samp(proxy) OVER w > 0 THEN covar_samp(r1, proxy) OVER w / var_samp(proxy) OVER w END AS beta
 FROM rets t JOIN proxy USING (date) WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW))"""
@@ -195,7 +204,7 @@ query("w14_breach_window", q("SELECT cut, max(s)::BIGINT AS worst FROM (SELECT c
     lambda x: x.gaps.select("cut", F.sum((F.col("gap") > 1).cast("int")).over(wi.last_rows(("cut",), 30)).alias("s")).groupBy("cut").agg(F.max("s").alias("worst"))
 )
 query("w15_percent_rank", q(f"SELECT ticker, date, {r('CASE WHEN ret IS NOT NULL THEN (rank() OVER (PARTITION BY ticker ORDER BY ret NULLS LAST) + (count(ret) OVER (PARTITION BY ticker, ret) - 1) / 2.0::DOUBLE) / count(ret) OVER (PARTITION BY ticker) END')} AS p FROM (SELECT ticker, date, round(ret, 1) AS ret FROM comp1) t"))(
-    lambda x: _composite_returns(x).withColumn("ret", F.round("ret", 1)).select("ticker", "date", wi.percent_rank("ret", ("ticker",)).alias("p"))
+    lambda x: wi.percent_ranks(_composite_returns(x).withColumn("ret", F.round("ret", 1)), "ret", ("ticker",), "p").select("ticker", "date", "p")
 )
 query("w16_previous_label", q("SELECT date, segment, from_bucket, to_bucket FROM prev"))(
     lambda x: x.regimes.select("date", F.col("cut").alias("segment"), F.lag("tercile").over(Window.partitionBy("cut").orderBy("date")).alias("from_bucket"), F.col("tercile").alias("to_bucket"))

@@ -13,6 +13,7 @@ from .config import load_config
 from .plans.backtest import run_backtest
 from .plans.engine import run
 from .report.html import build_report
+from .sources.live import LiveClient
 from .sources.panel import TableClient, read_table
 from .sources.runs import read_snapshot
 
@@ -24,7 +25,7 @@ def parser() -> argparse.ArgumentParser:
     b = sub.add_parser("backtest", help="run and score the acceptance gates")
     for p in (r, b):
         p.add_argument("--config", required=True, type=Path)
-        p.add_argument("--macro", required=True, help="table with date, macro_id, value")
+        p.add_argument("--macro", help="table with date, macro_id, value; without it the series come from the service, with the configuration's key")
     r.add_argument("--date", required=True)
     r.add_argument("--as-of-data-date", required=True)
     r.add_argument("--ewma-halflife", type=int)
@@ -53,7 +54,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 0
     given = {"ewma_halflife_days": getattr(args, "ewma_halflife", None), "output_dir": getattr(args, "out", None)}
     cfg = load_config(args.config, {k: v for k, v in given.items() if v is not None})
-    client = TableClient(read_table(spark, args.macro, schemas.MACRO))
+    if not args.macro and not cfg.fred_api_key:
+        print("give --macro, or fred_api_key in the configuration", file=sys.stderr)
+        return 2
+    client = TableClient(read_table(spark, args.macro, schemas.MACRO)) if args.macro else LiveClient(spark, cfg.fred_api_key)
     if args.command == "run":
         print(run(spark, cfg, client, args.date, args.as_of_data_date, args.force)[1])
         return 0

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import gap, safe_log_ratio, tercile
 from .cuts import COMPOSITE_MAP
-from .windows import forward_fill, percent_rank, rolling_corr
+from .windows import forward_fill, percent_ranks, rolling_corr
 
 FILL = 2
 
@@ -51,7 +51,7 @@ def blend(returns: DataFrame, mapping: dict[str, tuple[str | None, str | None]]
 def internal_consistency(regimes: DataFrame, composites: DataFrame, rows: int, mapping: dict[str, tuple[str | None, str | None]] = COMPOSITE_MAP) -> DataFrame:
     """date, cut, gap between the engine's label and that of the composite's full-sample rank."""
     comp = blend(composite_returns(composites, rows), mapping)
-    comp = comp.select("date", "cut", tercile(percent_rank("ret", ("cut",))).alias("composite_tercile"))
+    comp = percent_ranks(comp, "ret", ("cut",), "p").select("date", "cut", tercile(F.col("p")).alias("composite_tercile"))
     t = regimes.select("date", "cut", "tercile").join(comp, ["date", "cut"], "full_outer")
     t = t.join(comp.select("cut").distinct(), "cut", "left_semi")
     return t.select("date", "cut", gap(F.col("tercile"), F.col("composite_tercile")).alias("gap"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..config import YEAR
 from ..functions.labels import safe_log_ratio
+from ..sources.files import shared
 from . import blocks
 
 #: The scaled sums of an EWMA window cover so many half-lives at most, to stay in the range of doubles.
@@ -213,6 +214,27 @@ def percent_rank(value: str, key: Iterable[str]) -> Column:
     return F.when(F.col(value).isNotNull(), (low + (ties - 1) / 2) / F.count(value).over(by))
 
 
+def percent_ranks(df: DataFrame, value: str, key: Iterable[str], out: str, size: int = blocks.BLOCK) -> DataFrame:
+    """df with percent_rank, for keys of any number of rows.
+
+    Equal values are counted first, so a value that very many rows share is one row. The values of a key are dealt into
+    ranges; how many rows lie below a range is the sum over the ranges before.
+    """
+    key = list(key)
+    if not blocks.is_long(df, key, size):
+        return df.withColumn(out, percent_rank(value, key))
+    ties = df.filter(F.col(value).isNotNull()).groupBy(*key, value).agg(F.count("*").alias("_ties"))
+    at = shared(ties, "values").repartitionByRange(*key, value).sortWithinPartitions(*key, value).withColumn("_range", F.spark_partition_id())
+    at = shared(at, "ranked")
+    held = at.groupBy(*key, "_range").agg(F.sum("_ties").alias("_n"))
+    over = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    held = held.select(*key, "_range", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*key)).alias("_all"))
+    t = blocks.null_safe_join(at, held, [*key, "_range"])
+    below = F.sum("_ties").over(Window.partitionBy(*key, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_ties")
+    rank = (F.col("_before") + below + 1 + (F.col("_ties") - 1) / 2) / F.col("_all")
+    return blocks.null_safe_join(df, t.select(*key, value, rank.alias(out)), [*key, value], "left")
+
+
 def runs(df: DataFrame, label: str, key: Iterable[str], date: str = "date", size: int | None = None) -> DataFrame:
     """df without NULL labels, with the number of each row's run of equal labels and its place in it."""
     key = list(key)

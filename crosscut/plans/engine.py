@@ -21,6 +21,7 @@ from ..operators import windows as wi
 from ..operators.classify import classify
 from ..sources import panel as src
 from ..sources import runs
+from ..sources.fingerprints import series_digest
 
 
 @dataclass
@@ -112,13 +113,13 @@ def run(spark: SparkSession, cfg: EngineConfig, client: src.MacroClient, run_dat
     macro = src.load_macro(client, lo, hi)
     result = build(prices, universe, macro, cfg, composites)
     result.warnings = warnings
-    hashes = {f"macro_{r[0]}": r[1] for r in src.series_hash(macro).collect()}  # a row per series
+    hashes = {f"macro_{r[0]}": r[1] for r in series_digest(macro).collect()}  # a row per series
     snapshot = {
         "run_date": run_date,
         "as_of_data_date": as_of_data_date,
         "methodology_version": cfg.methodology_version,
         "config_resolved": to_dict(cfg),
-        "data_fingerprint": src.file_fingerprint(cfg.data_path) | hashes,
+        "data_fingerprint": src.fingerprint(spark, cfg.data_path) | hashes,
         "code_version": src.code_version(),
         "warnings": warnings,
     }

@@ -49,6 +49,10 @@ class Files:
     def _of(self, name: str):
         return self._path(self.at(name))
 
+    def qualified(self) -> str:
+        """The root with its store, as Spark names files below it."""
+        return self._fs.makeQualified(self._of("")).toString()
+
     def exists(self, name: str = "") -> bool:
         return self._fs.exists(self._of(name))
 

@@ -4,83 +4,42 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
-import re
 import subprocess
 import time
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 from pathlib import Path
 from typing import Protocol, runtime_checkable
-from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators.cuts import COMPOSITE_NAMES
+from . import workbook
+from .fingerprints import input_fingerprint
 
 # The workbook's sheets and columns, and the macro series.
 PANEL_COLUMNS = {"Country": "country", "Segment": "segment", "Equity_Mkt_Cap_Val": "eq_mcap", "Fixed_Income_Mkt_Cap_Val": "fi_mcap"}
 SHEETS = {"Eq": "Equity_LC", "FI": "Fixed_Income_LC"}
 MACRO_IDS = ("VIXCLS", "BAMLC0A4CBBB", "BAMLEMCBPIOAS", "BAMLH0A0HYM2", "T10Y2Y")
-EPOCH = dt.date(1899, 12, 30)  # day 0 of workbook dates
-
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-_REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-
 
 def read_sheet(path: str | Path, name: str) -> list[list[str | float | None]]:
-    """Cells of a workbook's sheet, by row; numbers as float."""
-    with zipfile.ZipFile(path) as z:
-        book = ElementTree.fromstring(z.read("xl/workbook.xml"))
-        ids = {s.get("name"): s.get(_REL) for s in book.iterfind(".//m:sheet", _NS)}
-        if name not in ids:
-            raise ValueError(f"no sheet {name}")
-        rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        target = rels[ids[name]].lstrip("/")
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in s.iterfind(".//m:t", _NS)) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iterfind("m:si", _NS)]
-        sheet = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
+    """Cells of a small sheet, such as the universe's, by row; numbers as float. Price sheets are read by a Spark source."""
     rows = []
-    for row in sheet.iterfind(".//m:row", _NS):
-        cells: list[str | float | None] = []
-        for c in row.iterfind("m:c", _NS):
-            letters = re.match(r"[A-Z]+", c.get("r", "")) if c.get("r") else None
-            at = len(cells) if letters is None else _column(letters[0])
-            cells += [None] * (at - len(cells))
-            cells.append(_cell(c, shared))
-        rows.append(cells)
+    with workbook.opened(str(path)) as f, zipfile.ZipFile(f) as book:
+        for cells in workbook.Sheet(book, name).rows(0, 1 << 40):
+            rows.append([cells.get(j) for j in range(max(cells, default=-1) + 1)])
     return rows
 
 
-def _column(letters: str) -> int:
-    n = 0
-    for x in letters:
-        n = 26 * n + ord(x) - 64
-    return n - 1
-
-
-def _cell(c: ElementTree.Element, shared: list[str]) -> str | float | None:
-    kind, v = c.get("t", "n"), c.find("m:v", _NS)
-    if kind == "inlineStr":
-        return "".join(t.text or "" for t in c.iterfind(".//m:t", _NS))
-    if v is None or v.text is None:
-        return None
-    return shared[int(v.text)] if kind == "s" else v.text if kind in ("str", "d") else float(v.text)
-
-
-def _date(x: str | float | None) -> dt.date | None:
-    return None if x is None else EPOCH + dt.timedelta(days=int(x)) if isinstance(x, float) else dt.date.fromisoformat(str(x)[:10])
-
-
-def price_rows(path: str | Path, sheet: str, asset_class: str) -> list[tuple]:
-    """Row 0 has tickers, row 1 countries, the others a date and prices."""
-    _, names, *body = read_sheet(path, sheet)
-    return [
-        (_date(r[0]), str(names[j]), asset_class, float(r[j]) if j < len(r) and isinstance(r[j], float) else None)
-        for r in body if r and r[0] is not None for j in range(1, len(names)) if names[j] is not None
-    ]
+def price_sheet(spark: SparkSession, path: str | Path, sheet: str, asset_class: str, rows_per_partition: int = 5000) -> DataFrame:
+    """date, country, asset_class, price of a workbook's sheet; the driver only counts its rows."""
+    spark.dataSource.register(workbook.PriceSheetSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"path": str(path), "sheet": sheet, "asset_class": asset_class, "rows_per_partition": str(rows_per_partition)}
+    return spark.read.format(workbook.FORMAT).options(**options).load()
 
 
 def universe_frame(rows: DataFrame) -> DataFrame:
@@ -111,8 +70,7 @@ def shared_countries(prices: DataFrame) -> DataFrame:
 def load_prices(spark: SparkSession, path: str | Path) -> DataFrame:
     """Long prices of a workbook, or of a table with the price schema, for countries with both asset classes."""
     if str(path).endswith(".xlsx"):
-        rows = [r for kind, sheet in SHEETS.items() for r in price_rows(path, sheet, kind)]
-        prices = spark.createDataFrame(rows, schemas.PRICES)
+        prices = reduce(DataFrame.unionByName, [price_sheet(spark, path, sheet, kind) for kind, sheet in SHEETS.items()])
     else:
         prices = schemas.require(read_table(spark, path, schemas.PRICES), ("date", "country", "asset_class", "price"))
     return shared_countries(schemas.nan_to_null(prices))
@@ -144,7 +102,10 @@ class TableClient:
         self.table = table
 
     def fetch(self, series_id: str, start: dt.date, end: dt.date) -> DataFrame:
-        return self.table.filter((F.col("macro_id") == series_id) & F.col("date").between(start, end))
+        return self.fetch_all([series_id], start, end)
+
+    def fetch_all(self, ids: Iterable[str], start: dt.date, end: dt.date) -> DataFrame:
+        return self.table.filter(F.col("macro_id").isin(list(ids)) & F.col("date").between(start, end))
 
 
 class RetryingClient:
@@ -165,11 +126,11 @@ class RetryingClient:
 
 
 def load_macro(client: MacroClient, start: dt.date, end: dt.date, ids: tuple[str, ...] = MACRO_IDS) -> DataFrame:
-    """All series under one another."""
-    parts = [client.fetch(i, start, end).select("date", "macro_id", "value") for i in ids]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """All series: in one scan if the client has `fetch_all`, else under one another."""
+    if hasattr(client, "fetch_all"):
+        out = client.fetch_all(ids, start, end).select("date", "macro_id", "value")
+    else:
+        out = reduce(DataFrame.unionByName, [client.fetch(i, start, end).select("date", "macro_id", "value") for i in ids])
     return schemas.nan_to_null(out)
 
 
@@ -190,6 +151,11 @@ def file_fingerprint(path: str | Path) -> dict[str, str]:
     return {"path": str(p), "sha256": digest.hexdigest(), "mtime": dt.datetime.fromtimestamp(p.stat().st_mtime, dt.UTC).isoformat()}
 
 
+def fingerprint(spark: SparkSession, path: str | Path) -> dict:
+    """Of a local file its digest and time of change; of any other input, such as a folder of Parquet files, a tree's digest."""
+    return file_fingerprint(path) if "://" not in str(path) and Path(path).is_file() else input_fingerprint(spark, str(path))
+
+
 def code_version(folder: str | Path | None = None) -> str:
     """The commit, with a mark for changes; "unknown" where there is none."""
     git = lambda *a: subprocess.run(["git", *a], cwd=folder or Path(__file__).parent, capture_output=True, text=True, timeout=20, check=True).stdout.strip()

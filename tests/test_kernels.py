@@ -232,3 +232,48 @@ def test_no_composite_gives_no_gap(spark):
     reg = spark.createDataFrame([(DAY, "DM", "Risk-on")], "date date, cut string, tercile string")
     empty = spark.createDataFrame([], "date date, ticker string, price double")
     assert ex.internal_consistency(reg, empty, 3).count() == 0
+
+
+@pytest.mark.parametrize(("block", "window"), [(4, 6), (7, 3), (1000, 21)])
+def test_shares_by_update_match_all_eigenvalues(spark, block, window):
+    rng = np.random.default_rng(8)
+    values = rng.normal(0, 0.01, (150, 6)) + rng.normal(0, 0.02, (150, 1)) * np.array([1, 1, 1, 0, -1, 0.5])
+    values[:30, 1] = np.nan  # a series that begins later
+    values[60:70, 4] = np.nan
+    values[100, 2] = np.nan
+    values[110:, 3] = 0.25  # no variance, and a large mean
+    values[120:, :3] = 1e4 + values[120:, :3]  # cancellation
+    days = pd.bdate_range("2020-01-01", periods=150).date
+    rows = [(d, f"s{j}", None if np.isnan(v) else float(v)) for d, line in zip(days, values, strict=True) for j, v in enumerate(line)]
+    returns = spark.createDataFrame(rows, "date date, series_id string, r1 double")
+    members = spark.createDataFrame([("all", f"s{j}") for j in range(6)] + [("two", "s0"), ("two", "s4"), ("one", "s4")], "cut string, series_id string")
+    got = {(r.date, r.cut): r.pc1_share for r in co.first_component_share(returns, members, window, block=block).collect()}
+    assert len(got) == 450
+    for cut, cols in (("all", range(6)), ("two", (0, 4)), ("one", (4,))):
+        for i, d in enumerate(days):
+            w = values[max(i - window + 1, 0) : i + 1][:, list(cols)]
+            w = w[:, ~np.isnan(w).all(0)]
+            want = co.first_component(w) if i >= window - 1 else None
+            assert got[d, cut] == (None if want is None else pytest.approx(want, rel=1e-9, abs=1e-9)), (cut, i)
+
+
+def test_top_eigenvalue_of_close_and_crossing_values():
+    rng = np.random.default_rng(2)
+    for n in (2, 5, 30):
+        q = np.linalg.qr(rng.normal(size=(n, n)))[0]
+        for values_ in (np.ones(n), np.r_[np.zeros(n - 2), 1, 1 + 1e-9], np.arange(n), np.r_[np.zeros(n - 1), 2.0]):
+            c = q @ np.diag(values_) @ q.T
+            for start in (None, q[:, 0], np.zeros(n), q[:, -1]):
+                assert co.top_eigenvalue(c, start)[0] == pytest.approx(values_.max(), rel=1e-11)
+
+
+@pytest.mark.parametrize("size", [3, 1000])
+def test_ranks_over_many_tasks(spark, size):
+    rng = np.random.default_rng(1)
+    rows = [(k, i, None if rng.random() < 0.1 else 7.0 if rng.random() < 0.4 else float(rng.integers(0, 30))) for k in ("a", None) for i in range(150)]
+    df = spark.createDataFrame([*rows, ("c", 0, None)], "k string, n long, v double").repartition(4)
+    got = {(r.k, r.n): r.p for r in wi.percent_ranks(df, "v", ("k",), "p", size).collect()}
+    for k in ("a", None, "c"):
+        x = pd.Series([v for key, _, v in rows if key == k] if k != "c" else [None], dtype=float)
+        for n, p in enumerate(x.rank(pct=True)):
+            assert got[k, n] == (None if np.isnan(p) else pytest.approx(p, rel=1e-12))
