@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,9 +19,12 @@ from ..operators import validate as va
 from ..operators import windows as wi
 from ..operators.classify import classify
 from ..plans import backtest as bt
+from ..plans.engine import Run
 from ..report import bundle as rb
 from ..sources import fingerprints as fp
 from ..sources import panel as src
+from ..sources import runs
+from ..sources.files import joined, shared_dir
 from . import base
 from .base import Inputs, tidy
 from .sql import ASYM, ORDINAL, PC1, QUINTILE, TERCILE, q, r
@@ -108,6 +112,46 @@ UNION ALL SELECT g.date, g.cut, NULL, NULL, 'disagreement', 'Risk-on', {r('avg_p
 UNION ALL SELECT date, cut, NULL, NULL, 'validation_degradation', NULL, NULL, macro_id FROM rho WHERE abs(rho) < 0.3::DOUBLE"""
 query("s18_alert_rows", q(_ALERTS))(lambda x: al.all_alerts(x.regimes, x.pairwise, x.flags))
 
+
+
+def _place(x: Inputs, name: str) -> str:
+    return joined(shared_dir(x.spark), "crosscut", f"{name}-{uuid.uuid4().hex}")
+
+
+def _run(x: Inputs) -> Run:
+    """The whole run of the catalog's inputs."""
+    spine = x.both.select("date").distinct().crossJoin(cu.cut_table(x.spark))
+    correlation = co.correlation_panel(x.both, x.members, spine, base.CORR)
+    alerts = al.all_alerts(x.regimes, x.pairwise, x.flags)
+    return Run(None, x.returns, x.beta, x.regimes, correlation, x.rho, x.flags, x.gaps, x.tripwire, x.transitions, alerts, x.series)
+
+
+def _run_sink(x: Inputs) -> DataFrame:
+    """All artifacts written as a version under its manifest, and the slopes read back from there."""
+    folder = runs.write_run(_run(x).frames(), {}, _place(x, "runs"), "run", flat=False)
+    return runs.read_artifact(x.spark, folder, "beta_series")
+
+
+def _alerts_file(x: Inputs) -> DataFrame:
+    """The alerts as one sorted file, read back by its header with damage as an error."""
+    folder, (schema, order) = _place(x, "alerts"), runs.ARTIFACTS["alerts"]
+    runs.write_csv(al.all_alerts(x.regimes, x.pairwise, x.flags), f"{folder}/alerts.csv", schema, order)
+    return runs.read_artifact(x.spark, folder, "alerts")
+
+
+def _history_file(x: Inputs) -> DataFrame:
+    """The backtest's table of correlations, written and read back."""
+    path, schema = f"{_place(x, 'backtest')}/validation_corr_history.csv", "date date, segment string, fred_series string, rho double"
+    rows = x.rho.withColumnsRenamed({"cut": "segment", "macro_id": "fred_series"}).filter("rho is not null")
+    runs.write_csv(rows, path, schema, ("date", "_cut", "fred_series"))
+    names = runs.columns_of(schema)
+    return runs.read_rows(x.spark, [path], names, schema, ",".join(names))
+
+
+query("s10_run_sink", f"SELECT date, cut AS segment, scheme, beta, r2, n, suppressed, singular FROM ({_long('beta')}) t")(_run_sink)
+query("s11_alerts_file", q(_ALERTS))(_alerts_file)
+query("s22_history_file", q(f"SELECT date, cut AS segment, macro_id AS fred_series, {r('rho')} AS rho FROM rho WHERE rho IS NOT NULL"))(_history_file)
+
 # ---- filters and checks
 
 query("p1_universe_check", q("SELECT country FROM universe WHERE segment = 'DM' OR eq_mcap <= 0 OR fi_mcap <= 0"))(

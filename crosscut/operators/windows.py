@@ -50,7 +50,7 @@ def log_return(price: str, rows: int, key: Iterable[str] = ("series_id",), date:
     return safe_log_ratio(F.col(price), F.lag(price, rows).over(_over(key, date)))
 
 
-def ewma_vol(df: DataFrame, r: str, halflife: float, out: str, key: Iterable[str] = ("series_id",), date: str = "date", annual: int = YEAR, size: int | None = None) -> DataFrame:
+def ewma_vol(df: DataFrame, r: str, halflife: float, out: str, key: Iterable[str] = ("series_id",), date: str = "date", annual: int = YEAR, size: int | None = None, long: bool | None = None) -> DataFrame:
     """df with the annualised, demeaned and bias-corrected EWMA volatility of r; NULL rows carry the last value.
 
     Weights relative to the first observation are running products; scaled sums of them give all moments in one window.
@@ -62,8 +62,8 @@ def ewma_vol(df: DataFrame, r: str, halflife: float, out: str, key: Iterable[str
     alpha = 1.0 - math.exp(-math.log(2.0) / halflife)
     span = max(1, int(SAFE_SPAN / 2 * halflife))
     x = F.col(r)
-    if size is not None and blocks.is_long(df, key, size):
-        t = blocks.first_of_key(blocks.numbered(df, key, date), r, "_x0", key).withColumn("_block", blocks.block_of(span))
+    if size is not None and (blocks.is_long(df, key, size) if long is None else long):
+        t = blocks.first_of_key(df if "_i" in df.columns else blocks.numbered(df, key, date), r, "_x0", key).withColumn("_block", blocks.block_of(span))
         t = blocks.last_so_far(t, F.when(x.isNotNull(), F.col("_i")), "_p", key, inclusive=False)
         block, end = F.col("_block"), F.col("_end")
         start = F.when(x.isNotNull(), F.col("_x0"))

@@ -12,6 +12,7 @@ from .. import schemas
 from ..config import EngineConfig, to_dict
 from ..functions.labels import series_id
 from ..operators import alerts as al
+from ..operators import blocks
 from ..operators import correlation as co
 from ..operators import crosssection as cs
 from ..operators import cuts as cu
@@ -62,12 +63,19 @@ def schemas_missing(alerts: DataFrame) -> list[tuple[str, str]]:
     return [tuple(x.split()) for x in runs.ARTIFACTS["alerts"][0].split(", ") if x.split()[0] not in alerts.columns]
 
 
-def kernels(prices: DataFrame, window: int, halflife: float) -> DataFrame:
-    """date, series_id, asset_class, price, r1, ret, vol on each asset class's own dense calendar."""
+def kernels(prices: DataFrame, window: int, halflife: float, size: int = blocks.BLOCK) -> DataFrame:
+    """date, series_id, asset_class, price, r1, ret, vol on each asset class's own dense calendar.
+
+    A calendar of more than `size` dates is worked on in blocks, so that no task holds a whole series."""
     rows = prices.select("date", "asset_class", series_id(F.col("country"), F.col("asset_class")).alias("series_id"), "price")
     t = wi.dense(rows, ("asset_class", "series_id"), within=("asset_class",))
-    t = t.withColumns({"r1": wi.log_return("price", 1), "ret": wi.log_return("price", window)})
-    return wi.ewma_vol(t, "r1", halflife, "vol")
+    if not blocks.is_long(prices.select("asset_class", "date").distinct(), ("asset_class",), size):
+        t = t.withColumns({"r1": wi.log_return("price", 1), "ret": wi.log_return("price", window)})
+        return wi.ewma_vol(t, "r1", halflife, "vol")
+    t = blocks.halo(blocks.numbered(t, ("series_id",), "date"), window, size)
+    own = ("series_id", "_block")
+    t = t.withColumns({"r1": wi.log_return("price", 1, own), "ret": wi.log_return("price", window, own)}).filter("_own").drop("_own", "_block")
+    return wi.ewma_vol(t, "r1", halflife, "vol", size=size, long=True)
 
 
 def cross_sections(returns: DataFrame, members: DataFrame, series: DataFrame, min_n: int) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import crosssection as cs
 from ..operators import cuts as cu
 from ..operators import windows as wi
+from ..operators.blocks import BLOCK
 from ..plans.engine import kernels
 from ..sources import panel as src
 from ..sources import runs
@@ -73,8 +74,8 @@ def fitted(points: DataFrame, members: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def confirmed_runs(regimes: DataFrame, rows: int = CONFIRM, key: str = "segment") -> DataFrame:
-    held = wi.hysteresis(regimes.select("date", key, "tercile"), "tercile", rows, (key,))
-    return wi.run_lengths(held.select("date", key, "confirmed"), "confirmed", (key,))
+    held = wi.hysteresis(regimes.select("date", key, "tercile"), "tercile", rows, (key,), size=BLOCK)
+    return wi.run_lengths(held.select("date", key, "confirmed"), "confirmed", (key,), size=BLOCK)
 
 
 def slope_table(beta: DataFrame, scheme: str = "cap_wtd", key: str = "segment") -> DataFrame:

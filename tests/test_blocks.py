@@ -12,6 +12,7 @@ from crosscut.operators import blocks
 from crosscut.operators import windows as wi
 from crosscut.operators.classify import classify
 
+from .conftest import panel
 from .test_kernels import smooth
 
 DAY = dt.date(2020, 1, 1)
@@ -137,3 +138,16 @@ def test_one_history_is_many_tasks(spark):
         assert p[i] == ((w <= x[i]).sum() - 1) / max(len(w) - 1, 1)
     plan = t._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "collect_list" not in plan
+
+
+def test_price_kernels_in_blocks(spark):
+    from crosscut.plans.engine import kernels
+
+    rows, _ = panel(n_dates=45)
+    prices = spark.createDataFrame(rows[::2], "date date, country string, asset_class string, price double").cache()
+    names = ["date", "series_id", "asset_class", "price", "r1", "ret", "vol"]
+    whole = {tuple(r[:4]): r[4:] for r in map(tuple, kernels(prices, 5, 3.0).select(*names).collect())}
+    parts = kernels(prices, 5, 3.0, size=8).select(*names).collect()
+    assert len(parts) == len(whole)
+    for r in map(tuple, parts):
+        assert r[4:6] == whole[r[:4]][:2] and r[6] == (None if whole[r[:4]][2] is None else pytest.approx(whole[r[:4]][2], rel=1e-9))
