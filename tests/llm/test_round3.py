@@ -299,3 +299,43 @@ def test_passages_of_rows_without_an_id(spark):
     ).repartition(2)
     rows = [r for r in passages.repeats(docs).collect() if r.doc_id == 9]
     assert any(r.removed and r.size > 200 for r in rows)
+
+
+def slow_language(model, text):
+    """The prediction for a text by its definition, one n-gram and one language after the other."""
+    from crosscut.llm import langid
+
+    if not any(c.isalpha() for c in text):
+        return "und", 0.0
+    raw = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in text.encode())
+    total, count = np.zeros(model.codes.shape[1]), 0
+    for i in range(len(raw) - 1):
+        if raw[i] == raw[i + 1] == 32:
+            continue
+        total += model.weights[raw[i] << 8 | raw[i + 1]]
+        count += 1
+        if i + 2 < len(raw):
+            key = (raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % 2**32 >> 16
+            total += model.weights[langid.CELLS + key]
+            count += 1
+    margin = total / (count + 6)
+    losses = []
+    for code in model.codes:
+        losses.append(sum(t * math.log1p(math.exp(-langid.SHARPNESS * m * c)) for t, m, c in zip(model.trust, margin, code, strict=True)))
+    p = [math.exp(min(losses) - x) for x in losses]
+    best = max(range(len(p)), key=lambda i: (p[i], -i))
+    return model.langs[best], p[best] / sum(p)
+
+
+def test_language_query_against_its_definition(spark):
+    from crosscut.llm import langid
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit_on(docs.filter(~langid.held_out(F.col("doc_id"))))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = queries.QUERIES["op9_language_id"](spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        lang, score = slow_language(model, texts[r.doc_id])
+        assert r.score == pytest.approx(score, abs=1e-6)
+        assert r.lang_pred == lang or score < 0.51
