@@ -76,9 +76,7 @@ query("s2_shared_prices", q(f"SELECT date, country, asset_class, {r('price')} AS
 query("s4_macro_pull", q(f"SELECT date, macro_id, {r('value')} AS value FROM macro WHERE date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'"))(
     lambda x: src.load_macro(src.TableClient(x.macro), "1996-01-01", "1999-12-31")
 )
-query("s6_macro_ids", "SELECT unnest(['VIXCLS', 'BAMLC0A4CBBB', 'BAMLEMCBPIOAS', 'BAMLH0A0HYM2', 'T10Y2Y']) AS macro_id")(
-    lambda x: x.spark.range(1).select(F.explode(F.array(*[F.lit(i) for i in src.MACRO_IDS])).alias("macro_id"))
-)
+query("s6_macro_ids", q(f"SELECT DISTINCT macro_id FROM macro WHERE macro_id IN {src.MACRO_IDS}"))(lambda x: x.macro.filter(F.col("macro_id").isin(*src.MACRO_IDS)).select("macro_id").distinct())
 query("s7_series_hash", q("SELECT macro_id, sha256(string_agg(h, ',' ORDER BY h)) AS hash FROM (SELECT macro_id, md5(date::VARCHAR || '|' || value::VARCHAR) AS h FROM macro) t GROUP BY macro_id"))(lambda x: src.series_hash(x.macro))
 _FOLD = "SELECT macro_id, {label} AS label, sha256(string_agg(label || ':' || digest, ',' ORDER BY label)) AS digest FROM {t} GROUP BY ALL"
 _TREE = (

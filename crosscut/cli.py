@@ -13,6 +13,7 @@ from .config import load_config
 from .plans.backtest import run_backtest
 from .plans.engine import run
 from .report.html import build_report
+from .sources.files import Files, joined
 from .sources.live import LiveClient
 from .sources.panel import TableClient, read_table
 from .sources.runs import read_snapshot
@@ -29,15 +30,15 @@ def parser() -> argparse.ArgumentParser:
     r.add_argument("--date", required=True)
     r.add_argument("--as-of-data-date", required=True)
     r.add_argument("--ewma-halflife", type=int)
-    r.add_argument("--out", type=Path)
+    r.add_argument("--out")
     r.add_argument("--force", action="store_true")
     b.add_argument("--start", required=True)
     b.add_argument("--end", required=True)
     b.add_argument("--assert-gates", action="store_true")
     p = sub.add_parser("report", help="build the page of a run")
-    p.add_argument("--run-dir", required=True, type=Path)
-    p.add_argument("--data", type=Path, help="default: the snapshot's data_path")
-    p.add_argument("--out", type=Path, help="default: report.html in the run folder")
+    p.add_argument("--run-dir", required=True)
+    p.add_argument("--data", help="default: the snapshot's data_path")
+    p.add_argument("--out", help="default: report.html in the run folder")
     p.add_argument("--window", type=int, default=252)
     return top
 
@@ -47,10 +48,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("crosscut").getOrCreate()
     if args.command == "report":
         data = args.data or read_snapshot(args.run_dir).get("config_resolved", {}).get("data_path")
-        if not data or not Path(data).exists():
+        if not data or not Files(spark, data).exists():
             print("the source data can't be found; give --data", file=sys.stderr)
             return 2
-        print(build_report(spark, args.run_dir, data, args.out or args.run_dir / "report.html", args.window))
+        print(build_report(spark, args.run_dir, data, args.out or joined(args.run_dir, "report.html"), args.window))
         return 0
     given = {"ewma_halflife_days": getattr(args, "ewma_halflife", None), "output_dir": getattr(args, "out", None)}
     cfg = load_config(args.config, {k: v for k, v in given.items() if v is not None})

@@ -16,6 +16,7 @@ from ..operators.blocks import BLOCK
 from ..plans.engine import kernels
 from ..sources import panel as src
 from ..sources import runs
+from ..sources.files import Files
 
 BANDS = ("global", "DM", "EM", "EM_Eq", "EM_FI", "DM_Eq", "DM_FI", "LatAm")
 CONFIRM = 21
@@ -87,7 +88,7 @@ def load_bundle(spark: SparkSession, run_dir: str | Path, data_path: str | Path,
     snap = runs.read_snapshot(run_dir)
     cfg = snap.get("config_resolved", {})
     beta, regimes = runs.read_artifact(spark, run_dir, "beta_series"), runs.read_artifact(spark, run_dir, "regimes")
-    if not Path(data_path).exists():
+    if not Files(spark, data_path).exists():
         raise FileNotFoundError(data_path)
     universe, prices = src.load_universe(spark, data_path), src.load_prices(spark, data_path)
     series = cu.series_of(universe)

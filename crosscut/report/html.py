@@ -8,6 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from ..sources.runs import write_text
 from .bundle import load_bundle
 from .figures import all_figures
 
@@ -32,9 +33,8 @@ def assemble(figures: list[dict], run_date: str, version: str) -> str:
     )
 
 
-def build_report(spark: SparkSession, run_dir: str | Path, data_path: str | Path, out: str | Path, window: int = 252) -> Path:
+def build_report(spark: SparkSession, run_dir: str | Path, data_path: str | Path, out: str | Path, window: int = 252) -> str | Path:
+    """Writes the page to a path or a URI, in place of an older one, and returns it."""
     bundle = load_bundle(spark, run_dir, data_path, window)
-    page = assemble(all_figures(bundle), bundle.run_date, bundle.methodology_version)
-    Path(out).parent.mkdir(parents=True, exist_ok=True)
-    Path(out).write_text(page, encoding="utf-8")
-    return Path(out)
+    write_text(out, assemble(all_figures(bundle), bundle.run_date, bundle.methodology_version))
+    return out

@@ -36,6 +36,8 @@ ARTIFACTS = {
     "tripwire": (schemas.BETA.replace("cut string", "segment string"), ("scheme", "_cut", "date")),
 }
 DIGITS = 12
+#: Artifacts of so many rows at most are one part; larger ones are dealt into ranges.
+ONE_PART = 50_000
 
 
 class RunInputError(ValueError):
@@ -70,10 +72,11 @@ def write_parts(files: Files, place: str, df: DataFrame, schema: str, order: tup
     staging, seen = f"{place}.staging", Observation()
     df.withColumn("_cut", cut).select("_cut", *rounded).observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(files.at(staging))
     by = [*order, *[n for n in names if n not in order]]
-    rows = spark.read.parquet(files.at(staging)).repartitionByRange(*by).sortWithinPartitions(*by).select(*names)
-    rows.write.option("header", "false").option("nullValue", "").csv(files.at(place))
-    parts = [Part(n, size) for n, size, _, folder in files.listed(place) if n.startswith("part-") and not folder]
     n = seen.get["rows"]
+    rows = spark.read.parquet(files.at(staging))
+    rows = rows.repartition(1) if n <= ONE_PART else rows.repartitionByRange(*by)
+    rows.sortWithinPartitions(*by).select(*names).write.option("header", "false").option("nullValue", "").csv(files.at(place))
+    parts = [Part(n, size) for n, size, _, folder in files.listed(place) if n.startswith("part-") and not folder]
     if n and not any(p.bytes for p in parts):
         raise OSError(f"{n} rows were written to {files.at(place)}, but the driver finds none: is the folder shared?")
     files.delete(staging)

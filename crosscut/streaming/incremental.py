@@ -6,6 +6,7 @@ within a micro-batch; rows at or before the last date a series has seen are drop
 
 from __future__ import annotations
 
+import datetime as dt
 import math
 from collections.abc import Iterator
 
@@ -18,6 +19,7 @@ from ..config import YEAR
 
 STATE = "last_day long, price double, mean double, var double, s double, s2 double, seen long"
 OUT = "series_id string, date date, r1 double, vol double"
+EPOCH = dt.date(1970, 1, 1)
 
 
 def streaming_vol(prices: DataFrame, halflife: float, annual: int = YEAR) -> DataFrame:
@@ -30,11 +32,12 @@ def streaming_vol(prices: DataFrame, halflife: float, annual: int = YEAR) -> Dat
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, price, mean, var, s, s2, seen = state.get if state.exists else (-1, float("nan"), 0.0, 0.0, 1.0, 1.0, 0)
         rows = []
-        for _, row in pd.concat(list(frames)).sort_values("date").iterrows():
-            day = (row["date"] - pd.Timestamp("1970-01-01").date()).days
+        new = pd.concat(list(frames)).sort_values("date")
+        for date, now in zip(new["date"].tolist(), new["price"].tolist(), strict=True):
+            day = (date - EPOCH).days
             if day <= last:
                 continue
-            r = math.log(row["price"] / price) if price > 0 and row["price"] > 0 else float("nan")
+            r = math.log(now / price) if price > 0 and now > 0 else float("nan")
             if not math.isnan(r):
                 a = 1.0 if not seen else alpha
                 d = r - mean
@@ -42,8 +45,8 @@ def streaming_vol(prices: DataFrame, halflife: float, annual: int = YEAR) -> Dat
                 s2 = 1.0 if not seen else (1 - a) ** 2 * s2 + a * a
                 seen += 1
             vol = math.sqrt(var * s * s / (s * s - s2) * annual) if s * s > s2 and seen > 1 else None
-            rows.append((key[0], row["date"], None if math.isnan(r) else r, vol))
-            last, price = day, row["price"]
+            rows.append((key[0], date, None if math.isnan(r) else r, vol))
+            last, price = day, now
         state.update((last, price, mean, var, s, s2, seen))
         yield pd.DataFrame(rows, columns=["series_id", "date", "r1", "vol"])
 

@@ -31,7 +31,9 @@ def expected(fs, name="beta_series"):
     return sorted((tuple(round(x, runs.DIGITS) if isinstance(x, float) else x for x in (r[n] for n in names)) for r in fs[name].collect()), key=repr)
 
 
-def test_files_and_versions_hold_the_rows_in_order(spark, tmp_path):
+@pytest.mark.parametrize("one_part", [0, runs.ONE_PART])
+def test_files_and_versions_hold_the_rows_in_order(spark, tmp_path, monkeypatch, one_part):
+    monkeypatch.setattr(runs, "ONE_PART", one_part)
     fs = frames(spark)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so that a small artifact has several parts
     try:
@@ -41,7 +43,7 @@ def test_files_and_versions_hold_the_rows_in_order(spark, tmp_path):
     for name in ("beta_series", "tripwire", "alerts"):
         assert content(spark, folder, name) == expected(fs, name)
     version = runs.RunStore(spark, folder).current()
-    assert len(version["artifacts"]["beta_series"]["parts"]) > 1 and version["artifacts"]["beta_series"]["rows"] == 240
+    assert (len(version["artifacts"]["beta_series"]["parts"]) > 1) == (one_part == 0) and version["artifacts"]["beta_series"]["rows"] == 240
     head, *lines = (folder / "beta_series.csv").read_text().splitlines()
     assert head == "date,segment,scheme,beta,r2,n,suppressed,singular" and len(lines) == 240
     place = [(x[2], CUT.index(x[1]), x[0]) for x in (line.split(",") for line in lines)]
