@@ -199,7 +199,8 @@ def mixed(
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # so that no name of the table meets one of ours
     id_, text, source = (f"c{names.index(c)}" for c in (id_col, text_col, source_col))
     cuts = _Cuts(_sized(plain, id_, text, source, seed, odds), weights, most)
-    place = rank(draw(plain[id_], seed), odds(words_of(plain[text])))
-    out = cuts.copies(plain, plain[source], plain[id_], place).filter(F.col("__copies") > 0)
+    # a column of its own below the joins, so that a text's words are counted once
+    ranked = plain.withColumn("__u", rank(draw(plain[id_], seed), odds(words_of(plain[text]))))
+    out = cuts.copies(ranked, ranked[source], ranked[id_], ranked["__u"]).filter(F.col("__copies") > 0)
     again = F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__turn")
-    return out.select(*[plain[c] for c in plain.columns], again).drop("__turn").toDF(*names)
+    return out.select(*[ranked[c] for c in plain.columns], again).drop("__turn").toDF(*names)
