@@ -421,6 +421,15 @@ def pre_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return low[inner], place[np.flatnonzero(begin)], tokens[offs]
 
 
+def _same(low: np.ndarray, start: np.ndarray, stop: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each word has the bytes of the word that it is like; words lie one after the other."""
+    size = stop - start
+    if (size != size[like]).any():
+        return False
+    shift = np.repeat((start - start[like]).astype(np.int32), size)
+    return bool((low.take(np.arange(len(low), dtype=np.int32) - shift) == low).all())
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, with each distinct pre-token encoded once."""
 
@@ -510,7 +519,12 @@ class Encoder:
             key = mix64((run[stop] - run[start]) * down[start] + (stop - start).astype(np.uint64))
             _, pick, kind = np.unique(key, return_index=True, return_inverse=True)
             raw = low.tobytes()
-            words = [raw[i:j] for i, j in zip(start[pick].tolist(), stop[pick].tolist(), strict=True)]
+            if _same(low, start, stop, pick[kind]):
+                words = [raw[i:j] for i, j in zip(start[pick].tolist(), stop[pick].tolist(), strict=True)]
+            else:  # two words have one hash
+                every = [raw[i:j] for i, j in zip(start.tolist(), stop.tolist(), strict=True)]
+                number = {w: i for i, w in enumerate(dict.fromkeys(every))}
+                words, kind = list(number), np.array([number[w] for w in every])
             self.now += 1
             if len(self.index) + len(words) > self.cache and len(self.index) > self.cache // 2:
                 self._forget()
