@@ -8,7 +8,8 @@ stays. A run that is repeated by chance of 40 equal words counts, too; none of f
 
 1. The hashes of picked runs are counted over the corpus, about one for 6 words, and a bitmap of those that occur twice
    (at most 2**`HIGH` bits, 64 MB) is broadcast. It only saves work: where it is too small, more runs pass it.
-2. Runs that pass are grouped by hash, exactly; a run held by many documents is aggregated before it is shuffled.
+2. Runs that pass are grouped by their 64-bit hash; a run held by many documents is aggregated before it is shuffled. The
+   words behind equal hashes aren't compared: of 3e12 runs (about 100 TB) some 2e5 would be false repeats.
 3. Adjacent runs that repeat adjacent runs of one document are joined to one row.
 
 What is reported consists of whole picked runs, so either end of a shared passage may go unreported for up to

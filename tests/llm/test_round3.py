@@ -339,3 +339,20 @@ def test_language_query_against_its_definition(spark):
         lang, score = slow_language(model, texts[r.doc_id])
         assert r.score == pytest.approx(score, abs=1e-6)
         assert r.lang_pred == lang or score < 0.51
+
+
+def test_words_of_one_hash_keep_their_ids(monkeypatch):
+    """Where the hashes of pre-tokens meet, their bytes tell them apart."""
+    from tokenizers import Tokenizer
+
+    from crosscut.llm import token_file
+
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    library, rng = Tokenizer.from_file(path), random.Random(5)
+    texts = [" ".join(rng.choice(["one", "two", "six", "three", "Ünder", "it's", "42", "x,y"]) for _ in range(30)) for _ in range(20)]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offs = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    for mask in (2**64 - 1, 7, 0):
+        monkeypatch.setattr(token_file, "mix64", lambda x, mask=mask: x & np.uint64(mask))
+        ids, n = token_file.Encoder(path).encode(data, offs, 2)
+        assert ids.tolist() == [i for t in texts for i in (*library.encode(t, add_special_tokens=False).ids, 2)] and n.sum() == len(ids)
