@@ -44,10 +44,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, filled, flat, mix64, powers, scratch
+from .common import by_bytes, filled, flat, lean, mix64, powers, scratch, small_batches
 
 BLOCK = 1024
-GROUP = 4096  # blocks in lockstep
+GROUP = 8192  # blocks in lockstep
 SEGMENT = BLOCK * GROUP
 SLICE = 2 << 20
 MAGIC = b"CMR3"
@@ -221,7 +221,7 @@ def _encode_group(grid: np.ndarray, prior: _Prior) -> list[bytes]:
                 by = go * U16
                 low <<= by
                 span <<= by
-                idx, at_once = np.flatnonzero(go), False
+                idx, at_once = np.flatnonzero(((low ^ (low + span)) < TOP) | (span < BOTTOM)), False  # few move on again
                 continue
             idx, lo_, sp_ = idx[go], lo_[go], sp_[go]
             if not len(idx):
@@ -286,7 +286,7 @@ def _decode_group(codes: list[bytes], steps: int, prior: _Prior) -> np.ndarray:
                 at += go
                 low <<= by
                 span <<= by
-                idx, at_once = np.flatnonzero(go), False
+                idx, at_once = np.flatnonzero(((low ^ (low + span)) < TOP) | (span < BOTTOM)), False  # few move on again
                 continue
             idx, lo_, sp_ = idx[go], lo_[go], sp_[go]
             if not len(idx):
@@ -586,8 +586,9 @@ def _write(path: str, end: int):
 def write(docs: DataFrame, tokenizer: str, path: str, id_col: str = "doc_id", text_col: str = "text", end: int = 2) -> None:
     """Writes the ids of all documents below path, in ascending order of id."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), filled(F.col(text_col)).alias("body"))
+    small_batches(docs.sparkSession)
     rows = rows.repartitionByRange("id").sortWithinPartitions("id")
-    rows.mapInArrow(_write(tokenizer, end), SEGMENTS).write.option("compression", "none").parquet(path)
+    rows.mapInArrow(lean(_write(tokenizer, end)), SEGMENTS).write.option("compression", "none").parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -620,7 +621,7 @@ def read(spark, path: str) -> DataFrame:
     segs = files.select("part", "seg", F.coalesce(F.sum("ids").over(within), F.lit(0)).alias("seg_start"))
     starts = segs.join(parts, "part").select("part", "seg", (F.col("seg_start") + F.col("part_start")).alias("base"))
     docs = files.select("part", "seg", "segment").mapInArrow(
-        _read, "part int, seg int, id long, within long, n_tokens long, ids_crc32 long"
+        lean(_read), "part int, seg int, id long, within long, n_tokens long, ids_crc32 long"
     )
     return docs.join(starts, ["part", "seg"]).select("id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
 
