@@ -122,7 +122,7 @@ class Inputs:
 
     @cached_property
     def pairwise(self) -> DataFrame:
-        return co.avg_pairwise(self.both, self.members, CORR)
+        return shared(co.avg_pairwise(self.both, self.members, CORR), "pairwise")
 
     @cached_property
     def macro(self) -> DataFrame:
@@ -135,7 +135,7 @@ class Inputs:
 
     @cached_property
     def rho(self) -> DataFrame:
-        return ex.external_corr(self.regimes, self.macro, RHO)
+        return shared(ex.external_corr(self.regimes, self.macro, RHO), "rho")
 
     @cached_property
     def composites(self) -> DataFrame:

@@ -119,7 +119,8 @@ def _place(x: Inputs, name: str) -> str:
 def _run(x: Inputs) -> Run:
     """The whole run of the catalog's inputs."""
     spine = x.both.select("date").distinct().crossJoin(cu.cut_table(x.spark))
-    correlation = co.correlation_panel(x.both, x.members, spine, base.CORR)
+    share = co.first_component_share(x.both, x.members, base.CORR)
+    correlation = spine.select("date", "cut").join(x.pairwise, ["date", "cut"], "left").join(share, ["date", "cut"], "left")
     alerts = al.all_alerts(x.regimes, x.pairwise, x.flags)
     return Run(None, x.returns, x.beta, x.regimes, correlation, x.rho, x.flags, x.gaps, x.tripwire, x.transitions, alerts, x.series)
 

@@ -86,7 +86,7 @@ def cross_sections(returns: DataFrame, members: DataFrame, series: DataFrame, mi
 
 
 def build(prices: DataFrame, universe: DataFrame, macro: DataFrame, cfg: EngineConfig, composites: DataFrame | None = None, latam: tuple[str, ...] = cu.LATAM) -> Run:
-    """The whole graph. Returns and slopes are cached, as several branches use them."""
+    """The whole graph. Returns, slopes, regimes and correlations are cached, as several branches use them."""
     spark = prices.sparkSession
     series = cu.series_of(universe)
     members = cu.membership(series, latam)
@@ -98,8 +98,8 @@ def build(prices: DataFrame, universe: DataFrame, macro: DataFrame, cfg: EngineC
     # both calendars side by side: a date that one asset class lacks is a missing return
     both = wi.dense(returns.select("date", "series_id", "r1"), ("series_id",))
     spine = both.select("date").distinct().crossJoin(F.broadcast(cu.cut_table(spark)))
-    correlation = co.correlation_panel(both, members, spine, cfg.return_window_days)
-    rho = ex.external_corr(regimes, macro, cfg.external_corr_window_days)
+    correlation = co.correlation_panel(both, members, spine, cfg.return_window_days).cache()
+    rho = ex.external_corr(regimes, macro, cfg.external_corr_window_days).cache()
     flags = ex.below_threshold(rho, cfg.external_corr_alert_threshold)
     comp = composites if composites is not None else spark.createDataFrame([], schemas.COMPOSITES)
     gaps = ex.internal_consistency(regimes, comp, cfg.return_window_days)
