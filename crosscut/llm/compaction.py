@@ -17,7 +17,8 @@ A store is a folder of immutable shards (Parquet files below `data/`) and versio
 The manifest has for each shard its number, version, rows, bytes (of the file), smallest and largest id and path.
 
 Defined results: null texts and ids are stored as they are; repeated rows stay as often as they come; an empty table
-gives a manifest without shards, which reads as an empty table of the same columns; all columns are stored whatever their names, but for the reserved `__crosscut_shard`.
+gives a manifest without shards, which reads as an empty table of the same columns; all columns are stored whatever their names, but for the
+reserved `__crosscut_shard` and `_metadata`. A claim that stays empty for `STALE` seconds has lost its writer; others step over it.
 """
 
 from __future__ import annotations
