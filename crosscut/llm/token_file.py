@@ -30,10 +30,8 @@ raise an error that names the block; ids may be any unsigned 32-bit integers und
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -48,9 +46,9 @@ from .common import by_bytes, filled, flat, lean, mix64, powers, scratch, small_
 
 BLOCK = 1024
 GROUP = 8192  # blocks in lockstep
-SEGMENT = BLOCK * GROUP
-SLICE = 2 << 20
-MAGIC = b"CMR3"
+SEGMENT = 8 << 20  # ids of a segment, about
+SLICE = 1 << 20
+MAGIC = b"CMR4"
 ONE, TWO = 128, 256  # cells of the context tables of a block
 BITS, STEP, RATE = 14, 24, 4  # the classes' distribution sums to 2**BITS, each has at least about STEP / 3; it learns from every second id
 TOTAL = 20  # bits of a mixed decision
@@ -62,6 +60,7 @@ THIRDS = np.array([1000, 1260, 1587])
 #: A successor is stored for ids seen so often, if it follows so large a share of them.
 FOLLOWED, CLEAR = 8, 0.25
 DENSE = 1 << 22  # ids under it are counted in an array
+PLACES = 1 << 22  # up to so many places of classes, a table has the rank of each
 
 
 class _Prior:
@@ -90,6 +89,7 @@ class _Prior:
         ends = np.concatenate(([0], np.cumsum(self.width)))
         self.low = ends[:-1] - ends[first[:-1]][cls] if n else self.width
         self.ends = ends[1:]  # class c has the places from c << bits on
+        self.small = np.uint16 if n < (1 << 16) - 1 else np.int32  # holds a rank + 1
         share = np.concatenate(([0], np.cumsum(mass * size.astype(bool))))
         room = (1 << BITS) - self.classes * STEP
         self.cdf = share * room // max(int(share[-1]), 1) + np.arange(self.classes + 1) * STEP
@@ -103,23 +103,38 @@ class _Prior:
         if len(ids) and int(ids.max()) < DENSE:
             count = np.bincount(ids)
             names = np.flatnonzero(count)
-            where, count = (np.cumsum(count > 0) - 1)[ids], count[names]
+            where, count = (np.cumsum(count > 0, dtype=np.int32) - 1).take(ids), count[names]
         else:
             names, where, count = np.unique(ids, return_inverse=True, return_counts=True)
         level = np.round(3 * np.log2(np.maximum(count, 1))).astype(np.uint8)
         bare = cls(names, level, np.zeros(len(names), np.int32))
-        ranks = bare.rank[where] if len(ids) else np.zeros(0, np.int64)
+        ranks = bare.rank.astype(np.int32).take(where) if len(ids) else np.zeros(0, np.int32)
         follow = np.zeros(len(names), np.int64)
         if len(ids) > 1:
-            pair, times = np.unique(ranks[:-1] << 32 | ranks[1:], return_counts=True)
+            pair = ranks[:-1].astype(np.int64) << 32 | ranks[1:]
+            pair.sort()
+            at = np.flatnonzero(pair[1:] != pair[:-1]) + 1
+            at, times = np.append(0, at), np.diff(at, prepend=0, append=len(pair))
+            pair = pair[at]
             seen = np.zeros(len(names), np.int64)
             seen[bare.rank] = count
-            before = pair >> 32
-            good = np.flatnonzero((seen[before] >= FOLLOWED) & (times >= CLEAR * seen[before]))
+            had = seen[pair >> 32]
+            good = np.flatnonzero((had >= FOLLOWED) & (times >= CLEAR * had))
             good = good[np.argsort(times[good], kind="stable")]
-            follow[before[good]] = (pair[good] & 0xFFFFFFFF) + 1
+            follow[pair[good] >> 32] = (pair[good] & 0xFFFFFFFF) + 1
         return cls(names, level, follow), ranks
 
+    def held(self) -> np.ndarray | None:
+        """The rank + 1 that holds each place, if there aren't too many places."""
+        if self.classes << self.bits > PLACES:
+            return None
+        return np.repeat(np.arange(1, len(self.ids) + 1).astype(self.small), self.width)
+
+    def places(self) -> tuple[np.uint64, np.ndarray, np.ndarray]:
+        """The bits of a place, and for each rank + 1 its first place and their number; for 0 all places."""
+        start, width = np.append(0, self.low), np.append(1 << self.bits, self.width)
+        return np.uint64(self.bits), start.astype(np.uint64), width.astype(np.uint64)
+
     def pack(self) -> bytes:
         n = len(self.ids)
         steps = np.diff(self.ids, prepend=0).astype("<u4")
@@ -136,8 +151,8 @@ class _Model:
     """The predictions of all lanes."""
 
     def __init__(self, lanes: int, prior: _Prior) -> None:
-        self.lane, self.follow, n = np.arange(lanes, dtype=np.int32), prior.follow, prior.classes
-        self.one, self.two = np.zeros(lanes * ONE, np.int32), np.zeros(lanes * TWO, np.int32)
+        self.lane, self.follow, n = np.arange(lanes, dtype=np.int32), prior.follow.astype(prior.small), prior.classes
+        self.one, self.two = np.zeros(lanes * ONE, prior.small), np.zeros(lanes * TWO, prior.small)
         self.base1, self.base2 = self.lane * np.int32(ONE), self.lane * np.int32(TWO)
         self.cdf = np.repeat(prior.cdf[:, None], lanes, 1).astype(np.int16)
         self.flat = self.cdf.reshape(-1)
@@ -169,7 +184,12 @@ class _Model:
 
     def update(self, coded: np.ndarray, cls: np.ndarray, k: int) -> None:
         for h, p in ((self.hit2, self.p2), (self.hit1, self.p1)):
-            h += ((p == coded) * np.int32(SURE) + DOUBT - h >> 4) * (p > 0)
+            step = (p == coded) * np.int32(SURE)
+            step += np.int32(DOUBT)
+            step -= h
+            step >>= 4
+            step *= p > 0
+            h += step
         if not k & 1:
             c = self.cdf[1:-1]
             step = (self.rows > cls) * self.room
@@ -178,35 +198,33 @@ class _Model:
             step >>= RATE
             c += step
         self.one[self.i1] = self.two[self.i2] = coded
-        self.before, self.last = self.last, coded
+        self.before, self.last = self.last, coded.astype(np.int32)
 
 
 def _encode_group(grid: np.ndarray, prior: _Prior) -> list[bytes]:
-    """grid: ranks, steps x lanes. The code of each lane."""
+    """grid: ranks + 1, steps x lanes. The code of each lane."""
     steps, n = grid.shape
     m = _Model(n, prior)
     low, span = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0), np.uint64)
     out = np.zeros((n, 3 * steps + 8), np.uint16)
     cells, at = out.reshape(-1), np.arange(n) * out.shape[1]
-    bits, start, width_of = np.uint64(prior.bits), prior.low.astype(np.uint64), prior.width.astype(np.uint64)
-    coded = (grid + 1).astype(np.int32)
-    classes = prior.cls.take(coded)
+    bits, start, width_of = prior.places()
     for k in range(steps):
-        x, cls = coded[k], classes[k]
+        x = grid[k]
+        cls = prior.cls.take(x)
         m.predict()
         is2 = m.p2 == x
         is1 = (m.p1 == x) & (m.w1 > 0)
         miss = ~(is2 | is1)
         lo, width = m.within(cls.astype(np.int32))
         span >>= np.uint64(TOTAL)
-        low += span * np.where(miss, m.w12 + lo, m.w2 * is1).astype(np.uint64)
-        span *= np.where(miss, width, np.where(is2, m.w2, m.w1)).astype(np.uint64)
+        low += span * np.where(miss, m.w12 + lo, m.w2 * is1).view(np.uint64)
+        span *= np.where(miss, width, np.where(is2, m.w2, m.w1)).view(np.uint64)
         # the place within the class: all of it where orders 1 and 2 were right
-        i = np.flatnonzero(miss)
-        r = grid[k].take(i)
-        unit = span[i] >> bits
-        low[i] += unit * start.take(r)
-        span[i] = unit * width_of.take(r)
+        r = x * miss
+        span >>= bits
+        low += span * start.take(r)
+        span *= width_of.take(r)
         at_once, idx = True, None
         while True:
             lo_, sp_ = (low, span) if at_once else (low[idx], span[idx])
@@ -234,24 +252,24 @@ def _encode_group(grid: np.ndarray, prior: _Prior) -> list[bytes]:
         cells[at] = (low >> np.uint64(shift)) & np.uint64(0xFFFF)
         at += 1
     used = at - np.arange(n) * out.shape[1]
-    big = out.byteswap()
-    return [big[i, : used[i]].tobytes() for i in range(n)]
+    return [out[i, : used[i]].tobytes() for i in range(n)]
 
 
 def _decode_group(codes: list[bytes], steps: int, prior: _Prior) -> np.ndarray:
-    """The grid that _encode_group coded."""
+    """The grid that _encode_group coded, of ranks + 1."""
     n = len(codes)
     sizes = np.array([len(c) // 2 for c in codes])
-    cells = np.frombuffer(b"".join(codes) + bytes(8), ">u2").astype(np.uint64)
+    cells = np.frombuffer(b"".join(codes) + bytes(8), "<u2")
     at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     m = _Model(n, prior)
     low, span, code = np.zeros(n, np.uint64), np.full(n, ~np.uint64(0), np.uint64), np.zeros(n, np.uint64)
     for _ in range(4):
-        code = code << U16 | cells.take(at, mode="clip")
+        code = code << U16 | cells.take(at, mode="clip").astype(np.uint64)
         at += 1
-    bits, start, width_of = np.uint64(prior.bits), prior.low.astype(np.uint64), prior.width.astype(np.uint64)
-    grid = np.zeros((steps, n), np.int32)
+    bits, start, width_of = prior.places()
+    grid = np.zeros((steps, n), prior.small)
     most, last_place, last_rank = np.uint64((1 << TOTAL) - 1), np.uint64((1 << prior.bits) - 1), len(prior.by_rank) - 1
+    held = prior.held()
     for k in range(steps):
         m.predict()
         span >>= np.uint64(TOTAL)
@@ -259,18 +277,21 @@ def _decode_group(codes: list[bytes], steps: int, prior: _Prior) -> np.ndarray:
         is2 = v < m.w2
         miss = v >= m.w12
         y = ((np.maximum(v - m.w12, 0).astype(np.int64) + 1 << BITS) - 1) // m.rest
-        cls = (m.cdf[1:-1] <= y.astype(np.int16)).sum(0, dtype=np.int32)
+        cls = (m.cdf[1:-1] <= y.astype(np.int16)).sum(0, dtype=np.int8).astype(np.int32)
         lo, width = m.within(cls)
-        low += span * np.where(miss, m.w12 + lo, m.w2 * ~is2).astype(np.uint64)
-        span *= np.where(miss, width, np.where(is2, m.w2, m.w1)).astype(np.uint64)
-        x = np.where(is2, m.p2, m.p1)
-        i = np.flatnonzero(miss)
-        unit = span[i] >> bits
-        place = np.minimum((code[i] - low[i]) // unit, last_place).astype(np.int64)
-        r = np.minimum(np.searchsorted(prior.ends, place + (cls[i].astype(np.int64) << prior.bits), "right"), last_rank)
-        x[i] = r + 1
-        low[i] += unit * start.take(r)
-        span[i] = unit * width_of.take(r)
+        low += span * np.where(miss, m.w12 + lo, m.w2 * ~is2).view(np.uint64)
+        span *= np.where(miss, width, np.where(is2, m.w2, m.w1)).view(np.uint64)
+        span >>= bits
+        place = np.minimum((code - low) // span, last_place).astype(np.int64)
+        place += cls.astype(np.int64) << prior.bits
+        if held is None:
+            r = (np.minimum(np.searchsorted(prior.ends, place, "right"), last_rank) + 1).astype(prior.small)
+        else:
+            r = held.take(place, mode="clip")
+        r *= miss
+        x = np.where(miss, r, np.where(is2, m.p2, m.p1))
+        low += span * start.take(r)
+        span *= width_of.take(r)
         at_once, idx = True, None
         while True:
             lo_, sp_ = (low, span) if at_once else (low[idx], span[idx])
@@ -282,7 +303,7 @@ def _decode_group(codes: list[bytes], steps: int, prior: _Prior) -> np.ndarray:
             if at_once:
                 by = go * U16
                 code <<= by
-                code |= cells.take(at, mode="clip") * go
+                code |= cells.take(at, mode="clip") * go  # of 16 bits until here
                 at += go
                 low <<= by
                 span <<= by
@@ -291,12 +312,12 @@ def _decode_group(codes: list[bytes], steps: int, prior: _Prior) -> np.ndarray:
             idx, lo_, sp_ = idx[go], lo_[go], sp_[go]
             if not len(idx):
                 break
-            code[idx] = code[idx] << U16 | cells.take(at[idx], mode="clip")
+            code[idx] = code[idx] << U16 | cells.take(at[idx], mode="clip").astype(np.uint64)
             at[idx] += 1
             low[idx], span[idx] = lo_ << U16, sp_ << U16
         grid[k] = x
         m.update(x, prior.cls.take(x, mode="clip"), k)
-    return grid - 1
+    return grid
 
 
 def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes:
@@ -306,8 +327,9 @@ def pack(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray) -> bytes
         raise ValueError("ids must be unsigned 32-bit integers under 2**32 - 1")
     prior, ranks = _Prior.of(ids)
     blocks = -(-n // BLOCK)
-    padded = np.zeros(blocks * BLOCK, np.int64)
+    padded = np.ones(blocks * BLOCK, prior.small)
     padded[:n] = ranks
+    padded[:n] += 1
     codes: list[bytes] = []
     for g in range(0, blocks, GROUP):
         part = padded[g * BLOCK : (g + GROUP) * BLOCK].reshape(-1, BLOCK)
@@ -341,12 +363,12 @@ def unpack(segment: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     sums = np.frombuffer(head, "<u4", blocks, 17 * docs + 4 * blocks)
     prior = _Prior.unpack(head[17 * docs + 8 * blocks :])
     ends = np.cumsum(lengths) + 28 + size
-    out = np.zeros(blocks * BLOCK, np.int64)
+    out, named = np.zeros(blocks * BLOCK, np.int64), np.append(0, prior.by_rank)
     for g in range(0, blocks, GROUP):
         codes = [segment[e - k : e] for e, k in zip(ends[g : g + GROUP], lengths[g : g + GROUP], strict=True)]
         grid = _decode_group(codes, BLOCK if blocks > 1 else n, prior)
         part = out[g * BLOCK : (g + GROUP) * BLOCK].reshape(-1, BLOCK)
-        part[:, : len(grid)] = prior.by_rank[grid.T]
+        part[:, : len(grid)] = named.take(np.ascontiguousarray(grid.T))
     out = out[:n]
     le = out.astype("<u4")
     for i in range(blocks):
@@ -365,19 +387,20 @@ _KIND[65:91] = _KIND[97:123] = _KIND[128:] = LETTER
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 LATIN = 0xC3  # the first byte of U+00C0 to U+00FF
-_WIDE = re.compile(b"[\x80-\xff](?<!\xc3)(?<!\xc3.)", re.S)
 # The characters that byte-level vocabularies write for bytes; the space between words stays.
 _AS_IS = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _MAPPED = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_AS_IS))) if b != 0x20}
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
-#: Distinct words that a worker's cache holds; beyond it the half that was used longest ago goes.
-CACHE = 600_000
-JOINED = 1000  # words that the library gets as one text
+_CODE = np.array([_MAPPED.get(b, b) for b in range(256)], "<u4")
+_BYTE = np.where(_KIND == SPACE, np.uint64(0), mix64(np.arange(1, 257, dtype=np.uint64)))
+#: Distinct words that a worker's cache holds, besides those of the texts at hand, with so many bytes a word on average;
+#: beyond it the half that was used longest ago goes.
+CACHE, CACHE_BYTES = 400_000, 64
+JOINED = 100  # words that the library gets as one text
 
 
-def pre_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts without marks: the bytes without white space (lower-cased but for words that stay whole), where each
-    pre-token begins in them, and the first pre-token of each text (n + 1)."""
+def pre_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts without marks: the bytes (lower-cased but for words that stay whole), where each pre-token begins and ends
+    in them, and the first pre-token of each text (n + 1)."""
     n = len(data)
     kind, low = _KIND[data], _FOLD[data]
     high = data >= 128
@@ -416,18 +439,85 @@ def pre_tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
         own = np.flatnonzero(wide[np.maximum(word, 0)] & inner)
         begin[own] = before[own] == SPACE
         low[own] = data[own]
-    tokens = np.concatenate(([0], np.cumsum(begin)))
-    place = np.concatenate(([0], np.cumsum(inner)))
-    return low[inner], place[np.flatnonzero(begin)], tokens[offs]
-
-
-def _same(low: np.ndarray, start: np.ndarray, stop: np.ndarray, like: np.ndarray) -> bool:
-    """Whether each word has the bytes of the word that it is like; words lie one after the other."""
-    size = stop - start
-    if (size != size[like]).any():
-        return False
-    shift = np.repeat((start - start[like]).astype(np.int32), size)
-    return bool((low.take(np.arange(len(low), dtype=np.int32) - shift) == low).all())
+    last = inner.copy()
+    last[:-1] &= begin[1:] | ~inner[1:]
+    start = np.flatnonzero(begin)
+    return low, start, np.flatnonzero(last) + 1, np.searchsorted(start, offs)
+
+
+def _joined(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The elements of many runs, one run after the other."""
+    end = np.cumsum(size)
+    return data.take(np.repeat(start - end + size, size) + np.arange(int(end[-1]) if len(end) else 0))
+
+
+def _appended(held: np.ndarray, n: int, more: np.ndarray) -> np.ndarray:
+    """The first n elements and then more, with room to grow."""
+    if n + len(more) > len(held):
+        held = np.concatenate((held[:n], np.zeros(len(more) + (n + len(more)) // 4, held.dtype)))
+    held[n : n + len(more)] = more
+    return held
+
+
+class Words:
+    """Words with their ids, found by hash: a table of slots by the hash's low bits, with linear probing. Of words with one
+    hash the table has the first; the others are in a dictionary by their bytes."""
+
+    def __init__(self) -> None:
+        self.n = self.n_ids = self.n_raw = 0  # word 0 is none
+        self.key, self.used = np.zeros(1 << 10, np.uint64), np.zeros(1 << 10, np.int32)
+        self.begin, self.size, self.ids = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32), np.zeros(1 << 12, np.int32)
+        self.start, self.length, self.raw = np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32), np.zeros(1 << 12, np.uint8)
+        self.slots, self.odd = np.zeros(1 << 12, np.int32), {}
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The word of each hash; 0 if there is none."""
+        most = len(self.slots) - 1
+        slot = (key & np.uint64(most)).astype(np.int64)
+        word = self.slots.take(slot)
+        todo = np.flatnonzero(self.key.take(word) != key)
+        while len(todo):
+            todo = todo[word[todo] > 0]
+            slot[todo] = slot[todo] + 1 & most
+            word[todo] = self.slots.take(slot[todo])
+            todo = todo[self.key.take(word[todo]) != key[todo]]
+        return word
+
+    def add(self, key: np.ndarray, raw: np.ndarray, length: np.ndarray, ids: np.ndarray, size: np.ndarray, now: int | np.ndarray) -> np.ndarray:
+        """Adds words, whose bytes and ids lie one after the other, and returns their numbers; the table is left as it is."""
+        n, new = self.n + 1, len(key)
+        self.key, self.used = _appended(self.key, n, key), _appended(self.used, n, np.broadcast_to(now, new))
+        self.begin, self.size = _appended(self.begin, n, np.cumsum(size) - size + self.n_ids), _appended(self.size, n, size)
+        self.start, self.length = _appended(self.start, n, np.cumsum(length) - length + self.n_raw), _appended(self.length, n, length)
+        self.ids, self.raw = _appended(self.ids, self.n_ids, ids), _appended(self.raw, self.n_raw, raw)
+        self.n, self.n_ids, self.n_raw = self.n + new, self.n_ids + len(ids), self.n_raw + len(raw)
+        return np.arange(n, n + new, dtype=np.int32)
+
+    def place(self, word: np.ndarray) -> None:
+        """Puts words of distinct hashes, which aren't there yet, into the table."""
+        if 3 * self.n > len(self.slots):
+            old = self.slots[self.slots > 0]
+            self.slots = np.zeros(1 << (6 * self.n).bit_length(), np.int32)
+            self.place(old)
+        most = len(self.slots) - 1
+        slot = (self.key[word] & np.uint64(most)).astype(np.int64)
+        while len(word):
+            free = self.slots[slot] == 0
+            self.slots[slot[free]] = word[free]  # of several the last stays
+            todo = np.flatnonzero(self.slots[slot] != word)
+            word, slot = word[todo], slot[todo] + 1 & most
+
+    def last(self, words: int, most: int) -> Words:
+        """The words used last: so many, and of so many bytes in all."""
+        order = 1 + np.argsort(-self.used[1 : self.n + 1], kind="stable")[:words]
+        keep = np.sort(order[np.cumsum(self.length[order], dtype=np.int64) <= most])
+        size, length, kept = self.size[keep], self.length[keep], Words()
+        number = np.zeros(self.n + 1, np.int32)
+        number[keep] = kept.add(self.key[keep], _joined(self.raw, self.start[keep], length), length, _joined(self.ids, self.begin[keep], size), size, self.used[keep])
+        kept.odd = {w: number[i] for w, i in self.odd.items() if number[i]}
+        placed = number[self.slots]
+        kept.place(placed[placed > 0])
+        return kept
 
 
 class Encoder:
@@ -445,44 +535,70 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # of ids, whether a word ends there
         self.ends[[i for piece, i in vocab.items() if suffix and piece.endswith(suffix)]] = True
         self.marks = [t.content.encode() for t in self.tok.get_added_tokens_decoder().values()]
-        self.index: dict[bytes, int] = {}
-        self.start, self.size, self.ids, self.used, self.now = array("q"), array("q"), array("q"), array("q"), 0
-
-    def _learn(self, new: list[bytes]) -> None:
-        plain, other = [], []
-        for w in new:
-            (other if _WIDE.search(w) else plain).append(w)
-        # many words are one text for the library; its ids tell where each word ends
-        texts = [b" ".join(plain[i : i + JOINED]).decode("latin-1").translate(_MAPPED) for i in range(0, len(plain), JOINED)]
-        found = [e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
-        ids = np.array(list(chain.from_iterable(found)), np.int64)
-        stop = np.flatnonzero(self.ends[ids]) + 1
-        if len(stop) == len(plain) and len(ids) == (stop[-1] if len(stop) else 0):
-            self._add(plain, np.diff(stop, prepend=0), ids)
-        else:
-            other = new
-        found = [e.ids for e in self.tok.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)]
-        self._add(other, np.array([len(x) for x in found], np.int64), np.array(list(chain.from_iterable(found)), np.int64))
-
-    def _add(self, words: list[bytes], size: np.ndarray, ids: np.ndarray) -> None:
-        n = len(self.start)
-        self.index.update(zip(words, range(n, n + len(words)), strict=True))
-        self.start.frombytes((np.cumsum(size) - size + len(self.ids)).tobytes())
-        self.size.frombytes(size.tobytes())
-        self.ids.frombytes(ids.tobytes())
-        self.used.extend([self.now] * len(words))
-
-    def _forget(self) -> None:
-        """Keeps the words used last."""
-        used, start, size, ids = (np.array(x) for x in (self.used, self.start, self.size, self.ids))
-        keep = np.sort(np.argsort(-used, kind="stable")[: self.cache // 2])
-        run = np.concatenate(([0], np.cumsum(size[keep])))
-        at = np.repeat(start[keep] - run[:-1], size[keep]) + np.arange(run[-1])
-        new = np.full(len(used), -1)
-        new[keep] = np.arange(len(keep))
-        new = new.tolist()
-        self.index = {w: new[i] for w, i in self.index.items() if new[i] >= 0}
-        self.start, self.size, self.ids, self.used = (array("q", x.tobytes()) for x in (run[:-1], size[keep], ids[at], used[keep]))
+        self.words, self.now = Words(), 0
+
+    def _learn(self, key: np.ndarray, low: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Has the library encode words, and returns their numbers."""
+        raw, size = _joined(low, start, size), size.astype(np.int32)
+        high = raw >= 128
+        pair = np.flatnonzero(raw == LATIN)
+        high[pair] = high[pair + 1] = False
+        other = np.add.reduceat(high, np.cumsum(size) - size, dtype=np.int32) > 0
+        number = np.zeros(len(key), np.int32)
+        at = np.flatnonzero(~other)
+        if len(at):
+            own, long = raw[~np.repeat(other, size)], size[at]
+            # many words are one text for the library; its ids tell where each word ends
+            code = np.full(len(own) + len(at), 0x20, "<u4")
+            stop = np.cumsum(long) + np.arange(1, len(at) + 1)
+            code[np.arange(len(own)) + np.repeat(np.arange(len(at)), long)] = _CODE.take(own)
+            ends = [0, *stop[JOINED - 1 : -1 : JOINED].tolist(), len(code)]
+            texts = [code[i:j].tobytes().decode("utf-32-le") for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            found = [e.ids for e in self.bare.encode_batch_fast(texts, add_special_tokens=False)]
+            ids = np.array(list(chain.from_iterable(found)), np.int32)
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(at) and len(ids) == last[-1]:
+                number[at] = self.words.add(key[at], own, long, ids, np.diff(last, prepend=0).astype(np.int32), self.now)
+            else:
+                other[:] = True
+        at = np.flatnonzero(other)
+        if len(at):
+            own, long = raw[np.repeat(other, size)], size[at]
+            whole, stop = own.tobytes(), np.cumsum(long)
+            texts = [whole[i:j].decode() for i, j in zip((stop - long).tolist(), stop.tolist(), strict=True)]
+            found = [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+            count = np.array([len(x) for x in found], np.int32)
+            number[at] = self.words.add(key[at], own, long, np.array(list(chain.from_iterable(found)), np.int32), count, self.now)
+        return number
+
+    def _number(self, key: np.ndarray, low: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The number of each word; between words there may be white space. New ones are learned."""
+        words = self.words
+        word = words.find(key)
+        new = np.flatnonzero(word == 0)
+        if len(new):
+            names, pick, kind = np.unique(key[new], return_index=True, return_inverse=True)
+            pick = new[pick]
+            learned = self._learn(names, low, start[pick], size[pick])
+            words.place(learned)
+            word[new] = learned[kind]
+        if (words.length.take(word) == size).all():
+            first, count = int(start[0]), np.diff(start, append=len(low))
+            like = np.repeat((words.start.take(word) - start + first).astype(np.int32), count)
+            like += np.arange(len(like), dtype=np.int32)
+            same = words.raw.take(like, mode="clip") == low[first:]
+            if same.all() or (same | (_KIND.take(low[first:]) == SPACE)).all():
+                return word
+        # two words have one hash
+        raw, held = low.tobytes(), words.raw.tobytes()
+        every = [raw[i:j] for i, j in zip(start.tolist(), (start + size).tolist(), strict=True)]
+        like = zip(words.start[word].tolist(), words.length[word].tolist(), strict=True)
+        wrong = [i for i, (w, (at, n)) in enumerate(zip(every, like, strict=True)) if held[at : at + n] != w]
+        first = {every[i]: i for i in reversed(wrong) if every[i] not in words.odd}
+        pick = np.array(list(first.values()), np.int64)
+        words.odd.update(zip(first, self._learn(key[pick], low, start[pick], size[pick]).tolist(), strict=True))
+        word[wrong] = [words.odd[every[i]] for i in wrong]
+        return word
 
     def encode(self, data: np.ndarray, offs: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (UTF-8, one after the other), each followed by the end id, and how many each has."""
@@ -511,36 +627,23 @@ class Encoder:
             at = raw.find(mark, at + 1)
 
     def _encode(self, data: np.ndarray, offs: np.ndarray, end: int | None) -> tuple[np.ndarray, np.ndarray]:
-        low, start, first = pre_tokens(data, offs)
+        low, start, stop, first = pre_tokens(data, offs)
+        self.now += 1
+        if self.words.n > self.cache or self.words.n_raw > CACHE_BYTES * self.cache:
+            self.words = self.words.last(self.cache // 2, CACHE_BYTES * self.cache // 2)
         if len(start):
             up, down = powers(len(low))
-            run = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTE[low] * up[: len(low)])))
-            stop = np.append(start[1:], len(low))
-            key = mix64((run[stop] - run[start]) * down[start] + (stop - start).astype(np.uint64))
-            _, pick, kind = np.unique(key, return_index=True, return_inverse=True)
-            raw = low.tobytes()
-            if _same(low, start, stop, pick[kind]):
-                words = [raw[i:j] for i, j in zip(start[pick].tolist(), stop[pick].tolist(), strict=True)]
-            else:  # two words have one hash
-                every = [raw[i:j] for i, j in zip(start.tolist(), stop.tolist(), strict=True)]
-                number = {w: i for i, w in enumerate(dict.fromkeys(every))}
-                words, kind = list(number), np.array([number[w] for w in every])
-            self.now += 1
-            if len(self.index) + len(words) > self.cache and len(self.index) > self.cache // 2:
-                self._forget()
-            found = list(map(self.index.get, words))
-            if None in found:
-                self._learn([w for w, k in zip(words, found, strict=True) if k is None])
-                found = list(map(self.index.get, words))
-            known = np.array(found, np.int64)
-            np.frombuffer(self.used, np.int64)[known] = self.now
-            at = known[kind]
+            run = np.cumsum(_BYTE.take(low) * up[: len(low)])  # white space adds nothing
+            at = run.take(stop - 1)
+            at[1:] -= at[:-1].copy()
+            key = mix64(at * down.take(start))
+            word = self._number(key, low, start, stop - start)
+            self.words.used[word] = self.now
         else:
-            at = np.zeros(0, np.int64)
-        view = lambda x: np.frombuffer(x, np.int64) if len(x) else np.zeros(0, np.int64)
-        size, begin = view(self.size)[at], view(self.start)[at]
+            word = np.zeros(0, np.int32)
+        size = self.words.size.take(word)
         run = np.concatenate(([0], np.cumsum(size)))
-        ids = view(self.ids)[np.repeat(begin - run[:-1], size) + np.arange(run[-1])]
+        ids = self.words.ids.take(np.repeat(self.words.begin.take(word) - run[:-1], size) + np.arange(run[-1]))
         edges = run[first]
         if end is not None:
             ids = np.insert(ids, edges[1:], end)
