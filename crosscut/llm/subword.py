@@ -82,7 +82,14 @@ class Vocabulary:
                 at = nodes[at * v + k]
             self.piece[at], logw[at] = i, float(w)
         keys = np.array(sorted(nodes), np.int64)
-        self.keys, self.next = keys, np.array([nodes[k] for k in keys.tolist()], np.int32)
+        self.slots = 1 << (8 * len(keys)).bit_length()  # of a table by hash, with linear probing
+        self.keys, self.next = np.full(self.slots, -1, np.int64), np.zeros(self.slots, np.int32)
+        to, slot = np.array([nodes[k] for k in keys.tolist()], np.int32), self._slot(keys)
+        while len(keys):
+            free = self.keys[slot] < 0
+            self.keys[slot[free]], self.next[slot[free]] = keys[free], to[free]  # of several the last stays
+            todo = np.flatnonzero(self.keys[slot] != keys)
+            keys, to, slot = keys[todo], to[todo], slot[todo] + 1 & self.slots - 1
         self.piece, self.logw = np.array(self.piece, np.int32), np.array(logw)
         raw = [b""] * n
         for i in range(n):
@@ -95,11 +102,23 @@ class Vocabulary:
         self.raw_at = np.concatenate(([0], np.cumsum(self.raw_size)))
         self.raw_data = np.frombuffer(b"".join(raw), np.uint8)
 
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * GOLD >> np.uint64(65 - self.slots.bit_length())).astype(np.int64)
+
     def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The trie's next node; 0 if there is none."""
         key = node.astype(np.int64) * self.v + char
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.next[at], 0)
+        slot = self._slot(key)
+        held, out = self.keys.take(slot), self.next.take(slot)
+        todo = np.flatnonzero(held != key)
+        out[todo] = 0
+        todo = todo[held[todo] >= 0]
+        while len(todo):
+            slot[todo] = at = slot[todo] + 1 & self.slots - 1
+            held = self.keys.take(at)
+            out[todo] = np.where(held == key[todo], self.next.take(at), 0)
+            todo = todo[(held != key[todo]) & (held >= 0)]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the space that encoding puts in front goes."""
@@ -113,61 +132,80 @@ def vocabulary(path: str, alpha: float = 1.0) -> Vocabulary:
 
 
 class Lattice:
-    """Edges and their probabilities for flat parts: part i has the characters from start[i] to start[i + 1]."""
+    """Edges and their probabilities for flat parts: part i has the characters from start[i] to start[i + 1].
+
+    It is made by levels, which hold the nodes of all parts that have so many characters left, the longest part first: the
+    nodes of a level, and those an edge leads to, lie side by side."""
 
     def __init__(self, voc: Vocabulary, code: np.ndarray, start: np.ndarray) -> None:
         n, size = len(code), np.diff(start)
-        char = voc.char[code]
+        char = voc.char.take(code)
         left = np.repeat(start[1:], size) - np.arange(n)  # characters to the part's end
-        most = max(1, min(voc.longest, int(left.max(initial=1))))
-        self.edge = np.full((n, most), -1, np.int32)
-        logw = np.full((n, most), -np.inf, np.float32)
+        levels = int(left.max(initial=0))
+        turn = np.empty(len(size), np.int64)
+        turn[np.argsort(-size, kind="stable")] = np.arange(len(size))
+        level = np.concatenate(([0, len(size)], len(size) + np.cumsum(np.bincount(left, minlength=levels + 1)[1:])))
+        place = level[left] - len(size) + np.repeat(turn, size)  # of each node; level 0, the ends, isn't counted
+        most = max(1, min(voc.longest, levels))
+        edge, logw = np.full((most, n), -1, np.int32), np.full((most, n), -np.inf, np.float32)
         at, node = np.arange(n), np.zeros(n, np.int32)
         for k in range(most):
-            node = voc.step(node, char[at + k])
-            keep = node > 0
-            at, node = at[keep], node[keep]
-            good = voc.piece[node] >= 0
-            self.edge[at[good], k] = voc.piece[node[good]]
-            logw[at[good], k] = voc.logw[node[good]]
-            more = left[at] > k + 1
-            at, node = at[more], node[more]
+            node = voc.step(node, char.take(at + k))
+            keep = np.flatnonzero(node)
+            at, node = at.take(keep), node.take(keep)
+            piece = voc.piece.take(node)
+            good = np.flatnonzero(piece >= 0)
+            to = place.take(at.take(good))
+            edge[k][to], logw[k][to] = piece.take(good), voc.logw.take(node.take(good))
+            more = np.flatnonzero(left.take(at) > k + 1)
+            at, node = at.take(more), node.take(more)
             if not len(at):
                 break
-        most = max(1, int((self.edge >= 0).any(0).nonzero()[0].max(initial=0)) + 1)
-        self.edge, logw = np.ascontiguousarray(self.edge[:, :most]), np.ascontiguousarray(logw[:, :most])
-        alone = np.flatnonzero(self.edge[:, 0] < 0)  # byte pieces: weight 1
-        self.edge[alone, 0] = -2 - code[alone]
-        logw[alone, 0] = 0.0
-        beta = np.zeros(n + most + 1)
-        order = np.argsort(left, kind="stable")
-        ends = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
-        offs = np.arange(1, most + 1)
-        for d in range(len(ends) - 1):
-            i = order[ends[d] : ends[d + 1]]
-            wide = min(most, d + 1)
-            # the node at the end of the part has 0; it shares its index with the next part's first
-            s = logw[i, :wide] + np.where(offs[:wide] == d + 1, 0.0, beta[i[:, None] + offs[:wide]])
-            top = s.max(1)
-            beta[i] = z = top + np.log(np.exp(s - top[:, None]).sum(1))
-            logw[i, :wide] = s - z[:, None]
-        self.left, self.most, self.logp = left, most, logw  # the log probability of each edge
-        ok = self.edge != -1
-        self.single = ok.sum(1) == 1
-        self.only = ok.argmax(1)
-        self.logp[np.flatnonzero(self.single), self.only[self.single]] = 0.0
-        self.cum = np.cumsum(np.exp(self.logp), 1, dtype=np.float32)
-        last = most - 1 - np.argmax(ok[:, ::-1], 1)
-        self.cum[np.arange(most)[None, :] >= last[:, None]] = 2.0  # sums that rounding leaves under 1
-
-    def log_others(self, node: np.ndarray, lp: np.ndarray) -> np.ndarray:
-        """The log of the probability that all edges but the one of log probability lp have together."""
-        with np.errstate(divide="ignore"):
-            return np.where(self.single[node], -np.inf, np.log(-np.expm1(np.minimum(lp, 0.0))))
+        while most > 1 and (edge[most - 1] < 0).all():
+            most -= 1
+        edge, logw = edge[:most], logw[:most]
+        own = np.empty(n, np.int64)
+        own[place] = code
+        alone = np.flatnonzero(edge[0] < 0)  # byte pieces: weight 1
+        edge[0, alone] = -2 - own[alone]
+        logw[0, alone] = 0.0
+        beta, ends = np.zeros(level[-1]), len(size)
+        for d in range(1, levels + 1):
+            lo, hi, wide = int(level[d]), int(level[d + 1]), min(most, d)
+            s = beta.take(level[d - wide : d][::-1, None] + np.arange(hi - lo))
+            s += logw[:wide, lo - ends : hi - ends]
+            top = s.max(0)
+            beta[lo:hi] = top + np.log(np.exp(s - top).sum(0))
+            s -= beta[lo:hi]
+            logw[:wide, lo - ends : hi - ends] = s
+        ok = edge != -1
+        single = ok.sum(0, dtype=np.int8) == 1  # the edge of one character is always there
+        logw[0, single] = 0.0
+        self.left, self.most, self.single, self.place = left, most, single.take(place), place
+        self.edge_by, self.logp_by = edge.reshape(-1), logw.reshape(-1)  # edges of one length side by side, by level
+        # the last edge takes what is left, so its sum isn't kept
+        cum = np.full((max(1, -(-(most - 1) // 8)) * 8, n), 2.0, np.float32)
+        np.cumsum(np.exp(logw[: most - 1]), 0, dtype=np.float32, out=cum[: most - 1])
+        later = np.zeros(n, bool)
+        for k in range(most - 2, -1, -1):
+            later |= ok[k + 1]
+            np.maximum(cum[k], np.float32(2) * ~later, out=cum[k])  # sums that rounding leaves under 1
+        self.cum = np.ascontiguousarray(cum.T).take(place, 0)
+
+    def at(self, node: np.ndarray, edge: np.ndarray) -> np.ndarray:
+        """Where edges are."""
+        return edge * len(self.place) + self.place.take(node)
 
     def probabilities(self, nodes: np.ndarray) -> np.ndarray:
         """nodes x edges."""
-        return np.exp(self.logp[nodes].astype(np.float64))
+        lp = self.logp_by.reshape(self.most, -1)[:, self.place.take(nodes)]
+        return np.exp(np.ascontiguousarray(lp.T).astype(np.float64))
+
+
+def _log_others(lp: np.ndarray) -> np.ndarray:
+    """The log of the probability that all edges of a node but the one of log probability lp have together; 0 is sure."""
+    with np.errstate(divide="ignore"):
+        return np.log(-np.expm1(np.minimum(lp, 0.0)))
 
 
 def _uniform(key: np.ndarray) -> np.ndarray:
@@ -176,8 +214,8 @@ def _uniform(key: np.ndarray) -> np.ndarray:
 
 def _draw(lat: Lattice, at: np.ndarray, r: np.ndarray) -> np.ndarray:
     """The edge (its length - 1) chosen by a uniform draw."""
-    cum = lat.cum.take(at, 0)
-    return (cum <= r.astype(np.float32)[:, None]).sum(1)
+    below = lat.cum.take(at, 0) <= r.astype(np.float32)[:, None]
+    return np.bitwise_count(below.view(np.uint64)).sum(1, dtype=np.int64)  # eight at once
 
 
 def _walk(lat: Lattice, part: np.ndarray, start: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,12 +223,13 @@ def _walk(lat: Lattice, part: np.ndarray, start: np.ndarray, key: np.ndarray) ->
     live, at, k = np.arange(len(part)), start.copy(), 0
     got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(live):
-        e = lat.only[at]
-        many = np.flatnonzero(~lat.single[at])
-        e[many] = _draw(lat, at[many], _uniform(key[live[many]] + np.uint64(k * 0xD1B54A32D192ED03 & (1 << 64) - 1)))
+        e = np.zeros(len(at), np.int64)  # the only edge of a node is that of one character
+        many = np.flatnonzero(~lat.single.take(at))
+        e[many] = _draw(lat, at.take(many), _uniform(key.take(live.take(many)) + np.uint64(k * 0xD1B54A32D192ED03 & (1 << 64) - 1)))
         got.append((live, at, e))
-        go = lat.left[at] > e + 1
-        live, at, k = live[go], at[go] + e[go] + 1, k + 1
+        e = e + 1
+        go = np.flatnonzero(lat.left.take(at) > e)
+        live, at, k = live.take(go), at.take(go) + e.take(go), k + 1
     if not got:
         z = np.zeros(0, np.int64)
         return z, z, z
@@ -242,7 +281,7 @@ def sample(voc: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed: in
 
     def scored(which_doc: np.ndarray, node: np.ndarray, edge: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Running log probability before each step and of the whole, by text; bounds: first step of each text."""
-        lp = lat.logp.take(node * lat.most + edge).astype(np.float64)
+        lp = lat.logp_by.take(lat.at(node, edge)).astype(np.float64)
         run = np.concatenate(([0.0], np.cumsum(lp)))
         return run[:-1] - run[bounds[which_doc]], lp
 
@@ -261,7 +300,7 @@ def sample(voc: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed: in
         total = np.add.reduceat(np.append(lp, 0.0), np.minimum(bounds[:-1], len(lp))) * (np.diff(bounds) > 0)
         step = np.arange(len(d)) - bounds[d]
         banned = np.int64(1) << edge
-        loc = before + lat.log_others(node, lp)
+        loc = before + _log_others(lp)
         bound = np.full(len(d), -np.inf)
         open_ = np.flatnonzero(~np.isneginf(loc) & (step > fork[d]))
         bound[open_] = _truncated(loc[open_], top[d[open_]], _uniform(key(d[open_], step[open_], j, 3)))
@@ -326,7 +365,7 @@ def sample(voc: Vocabulary, texts: list[str], keys: np.ndarray, k: int, seed: in
         top = best
     kappa = best if n else np.zeros(0)
     result: list[list[tuple[np.ndarray, float, float]]] = []
-    flat_ids = [_ids(voc, lat.edge[p[1], p[2]]) for p in paths]
+    flat_ids = [_ids(voc, lat.edge_by.take(lat.at(p[1], p[2]))) for p in paths]
     for i in range(n):
         rows = []
         for j, s, total_lp in out[i]:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from crosscut.llm import token_file
+from crosscut.llm import subword, token_file
 from crosscut.llm.common import flat
 from crosscut.llm.queries import tokenizer_path
 
@@ -64,3 +64,43 @@ def test_places_of_a_table_are_those_of_a_search():
         m.setattr(token_file, "PLACES", 0)
         assert (token_file.unpack(few)[2] == ids).all()
     assert (token_file.unpack(few)[2] == ids).all()
+
+
+def test_pieces_are_found_without_search(monkeypatch):
+    voc = subword.vocabulary(tokenizer_path("piece_bpe_32k.model"))
+    node, char = (x.ravel() for x in np.meshgrid(np.arange(0, len(voc.piece), 97), np.arange(voc.v), indexing="ij"))
+
+    def searches(*args, **kw):
+        raise AssertionError("the trie was searched")
+
+    with monkeypatch.context() as m:
+        m.setattr(np, "searchsorted", searches)
+        got = voc.step(node, char)
+    held = dict(zip(voc.keys[voc.keys >= 0].tolist(), voc.next[voc.keys >= 0].tolist(), strict=True))
+    assert len(held) == len(voc.piece) - 1
+    assert got.tolist() == [held.get(x, 0) for x in (node * voc.v + char).tolist()]
+
+
+def test_lattice_against_one_part_at_a_time():
+    voc, rng = subword.vocabulary(tokenizer_path("piece_bpe_32k.model")), random.Random(7)
+    pieces = [p.decode("utf-8", "replace").replace(" ", "\u2581") for p in voc.raw if p]
+    parts = ["".join(rng.choices(["in", "the", "on", "\u2581", "x", "\u65e5", "\x01", rng.choice(pieces)], k=rng.randrange(1, 9))) for _ in range(60)] + ["e" * 300]
+    code = np.array([ord(c) for p in parts for c in p], np.int64)
+    start = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
+    lat = subword.Lattice(voc, code, start)
+    known = dict(zip((p.decode("utf-8", "replace").replace(" ", "\u2581") for p in voc.raw), range(len(voc.raw)), strict=True))
+    weight = np.zeros(len(voc.raw))
+    weight[voc.piece[voc.piece >= 0]] = voc.logw[voc.piece >= 0]
+    known = {p: i for p, i in known.items() if i in set(voc.piece.tolist())}
+    for part, lo in zip(parts, start.tolist(), strict=False):
+        beta = [0.0] * (len(part) + 1)
+        for i in range(len(part) - 1, -1, -1):
+            edges = {k: weight[known[part[i : i + k]]] for k in range(1, min(lat.most, len(part) - i) + 1) if part[i : i + k] in known}
+            edges.setdefault(1, 0.0)
+            beta[i] = np.logaddexp.reduce([w + beta[i + k] for k, w in edges.items()])
+            want = np.array([np.exp(edges[k] + beta[i + k] - beta[i]) if k in edges else 0.0 for k in range(1, lat.most + 1)])
+            node = np.array([lo + i])
+            assert lat.probabilities(node)[0] == pytest.approx(want, abs=2e-6)
+            ids = [int(lat.edge_by[lat.at(node, np.array([k - 1]))[0]]) for k in edges]
+            assert ids == [known.get(part[i : i + k], -2 - ord(part[i])) for k in edges]
+            assert bool(lat.single[lo + i]) == (len(edges) == 1)
